@@ -372,6 +372,10 @@ def digest(spans: Column, only_base: bool) -> Column:
     return F.concat_ws(",", F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def redact(text: str, found: list[tuple[int, int, int, bool]]) -> str:
     """The text with each span, or run of overlapping spans, replaced by its first kind in brackets."""
     out, at = [], 0
