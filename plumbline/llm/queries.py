@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language, pii, quality, simhash, toxicity
+from plumbline.llm import decontaminate, language, pii, quality, simhash, toxicity
 from plumbline.llm.shared import fold
 
 #: Score from which a document is toxic.
@@ -61,12 +61,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id").select("doc_id", "item_id", "similarity", "start", "n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_pii": op3_pii,
     "op4_language": op4_language,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
