@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language, pii, quality, simhash, toxicity
+from plumbline.llm import decontaminate, language, mix, pii, quality, simhash, toxicity
 from plumbline.llm.shared import fold
 
 #: Score from which a document is toxic.
@@ -61,6 +61,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id").select("doc_id", "item_id", "similarity", "start", "n_words")
@@ -72,8 +76,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
+    "op8_mix": op8_mix,
     "op10_decontaminate": op10_decontaminate,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_mix": """
+        WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+        means AS (
+            SELECT source, (SELECT sum(n) FROM sizes)::DOUBLE * 1.0 / ((SELECT count(*) FROM sizes)::DOUBLE * n) AS rate,
+                   greatest(1, ceil((SELECT sum(n) FROM sizes)::DOUBLE * 1.0 / ((SELECT count(*) FROM sizes)::DOUBLE * n) / 8.0))::INT AS parts
+            FROM sizes),
+        terms AS (SELECT source, parts, k, exp(-(rate / parts) + k * ln(rate / parts) - lgamma(k + 1)) AS p FROM means, range(48) AS t(k)),
+        cumulative AS (SELECT source, parts, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
+        keyed AS (
+            SELECT d.*, part, ('0x' || substr(md5('17|' || part || '|' || d.doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS u
+            FROM documents d JOIN means m ON d.source IS NOT DISTINCT FROM m.source, range(1, m.parts + 1) AS t(part)),
+        counted AS (
+            SELECT k.doc_id, count(*) AS copies
+            FROM keyed k JOIN cumulative c ON k.source IS NOT DISTINCT FROM c.source AND c.c <= k.u GROUP BY k.doc_id)
+        SELECT d.*, copy::INT AS copy FROM documents d JOIN counted c USING (doc_id), range(1, c.copies + 1) AS t(copy)
+    """,
+}
