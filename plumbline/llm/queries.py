@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language, mix, neighbours, pii, quality, simhash, toxicity
+from plumbline.llm import chat, decontaminate, language, licences, mix, neighbours, pii, quality, simhash, toxicity
 from plumbline.llm.shared import fold
 
 #: Score from which a document is toxic.
@@ -46,6 +46,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.documents_scores(table(spark, sf_dir, "documents"))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/doc_id``."""
+    docs = table(spark, sf_dir, "documents")
+    found = licences.scan(docs.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text"))
+    doc_id = F.element_at(F.split("path", "/"), -1).cast("long")
+    return found.select(doc_id.alias("doc_id"), "licence", F.round("score", 6).alias("score"), "found", "origin")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, fold("doc_id", 3) != 1)
@@ -69,6 +77,11 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.rendered(chat.repair(table(spark, sf_dir, "conversations")))
+    return found.select(F.col("conv").alias("conv_id"), "turn_no", "role", "text", "n_given", "rendered")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id").select("doc_id", "item_id", "similarity", "start", "n_words")
@@ -79,9 +92,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_neighbours": op2_neighbours,
     "op3_pii": op3_pii,
     "op4_language": op4_language,
+    "op5_licences": op5_licences,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_mix": op8_mix,
+    "op9_chat": op9_chat,
     "op10_decontaminate": op10_decontaminate,
 }
 
