@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.catalog import MOJIBAKE, MOJIBAKE_LEADS
 
@@ -37,12 +38,12 @@ def _lines(text: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _repair(texts: pd.Series) -> pd.Series:
     return texts.map(repair_python, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _lines(unicodedata.normalize("NFKC", t)), na_action="ignore")
 

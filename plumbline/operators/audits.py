@@ -25,7 +25,7 @@ def truth_audit(cases: DataFrame, catalog: Catalog = RECORDS) -> DataFrame:
     """From ``(case_id, raw_text, cleaned_text, truths)``: one row per case and field. Each text is normalized once."""
     clean = evidence(cases.withColumnRenamed("evidence", "__e") if "evidence" in cases.columns else cases, catalog, "cleaned_text").withColumnRenamed("evidence", "clean").drop("abstentions")
     both = evidence(clean, catalog, "raw_text").withColumnRenamed("evidence", "raw").drop("abstentions")
-    spread = both.select("case_id", "truths", F.explode(F.arrays_zip("clean", "raw")).alias("z"))
+    spread = both.select("case_id", "truths", F.explode_outer(F.arrays_zip("clean", "raw")).alias("z"))
     name = F.col("z.clean.field_name")
     truth = F.coalesce(F.try_element_at("truths", name), F.lit(False))
     labels = F.create_map(*[F.lit(x) for pair in catalog.labels.items() for x in pair])

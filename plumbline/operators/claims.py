@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.catalog import CLAIM_SIGNALS, CLAIM_TYPES, NO_CLAIM
 from plumbline.functions import text as t
+from plumbline.functions.held import held
 from plumbline.operators.cleanup import any_of
 
 BULLET = r"^\s*(?:[-*\u2022]+|\d+[.)])\s*"
@@ -27,18 +30,30 @@ def units(text: Column, prepared: bool = False) -> Column:
     return t.distinct_compact(F.flatten(F.transform(F.split(value, "\n"), cut)))
 
 
-def looks_like_claim(unit: Column) -> Column:
+@dataclass(frozen=True)
+class Lexicon:
+    """What signs a claim, what opens a unit that makes none, and the types in order of precedence."""
+
+    signals: tuple[str, ...] = CLAIM_SIGNALS
+    openings: tuple[str, ...] = NO_CLAIM
+    types: dict[str, str] = field(default_factory=lambda: CLAIM_TYPES)
+
+
+RECORDS = Lexicon()
+
+
+def looks_like_claim(unit: Column, lexicon: Lexicon = RECORDS) -> Column:
     """At least LEAST_WORDS words, no opening that makes no claim, and some sign of one."""
     low = F.lower(unit)
-    return (F.size(F.split(low, " ")) >= LEAST_WORDS) & ~any_of(low, NO_CLAIM) & any_of(low, CLAIM_SIGNALS)
+    return (F.size(F.split(low, " ")) >= LEAST_WORDS) & ~any_of(low, lexicon.openings) & any_of(low, lexicon.signals)
 
 
-def claim_type(unit: Column) -> Column:
+def claim_type(unit: Column, lexicon: Lexicon = RECORDS) -> Column:
     """The first type, in order, whose words the unit holds; else other."""
     low = F.lower(unit)
-    kind = None
-    for name, pattern in CLAIM_TYPES.items():
-        kind = F.when(low.rlike(pattern), name) if kind is None else kind.when(low.rlike(pattern), name)
+    kind = F.when(F.lit(False), "other")
+    for name, pattern in lexicon.types.items():
+        kind = kind.when(low.rlike(pattern), name)
     return kind.otherwise("other")
 
 
@@ -46,14 +61,14 @@ def claim_id(prefix: Column, number: Column) -> Column:
     return F.concat(prefix, F.lit("_"), F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string")))
 
 
-def breakdown(responses: DataFrame, text_col: str = "text", prefix: Column | str = "claim") -> DataFrame:
+def breakdown(responses: DataFrame, text_col: str = "text", prefix: Column | str = "claim", lexicon: Lexicon = RECORDS) -> DataFrame:
     """Adds ``units``: (unit_index from one, source_text, normalized_text, looks_like_claim, claim_type, claim_id).
 
     Claims are numbered among themselves; other units have neither type nor id.
     """
     name = F.lit(prefix) if isinstance(prefix, str) else prefix
-    step = responses.withColumn("__units", units(F.col(text_col)))
-    step = step.withColumn("__kept", F.filter("__units", looks_like_claim)).withColumn("__prefix", name)
+    step = held(responses, __units=units(F.col(text_col)), __prefix=name)
+    step = held(step, __kept=F.filter("__units", lambda u: looks_like_claim(u, lexicon)))
 
     def unit(u: Column, i: Column) -> Column:
         kept = F.array_position("__kept", u)
@@ -62,11 +77,11 @@ def breakdown(responses: DataFrame, text_col: str = "text", prefix: Column | str
             u.alias("source_text"),
             F.lower(u).alias("normalized_text"),
             (kept > 0).alias("looks_like_claim"),
-            F.when(kept > 0, claim_type(u)).alias("claim_type"),
+            F.when(kept > 0, claim_type(u, lexicon)).alias("claim_type"),
             F.when(kept > 0, claim_id(F.col("__prefix"), kept)).alias("claim_id"),
         )
 
-    return step.select(*responses.columns, F.transform("__units", unit).alias("units"))
+    return held(step, units=F.transform("__units", unit)).drop("__units", "__prefix", "__kept")
 
 
 def count_by(values: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog import INLINE_GUIDANCE, MARKERS, TEMPLATE_LINES
 from plumbline.functions import text as t
+from plumbline.functions.held import held
 
 #: Removals that an audit shows.
 EXAMPLES = 25
@@ -50,22 +51,16 @@ def clean(documents: DataFrame, text_col: str = "raw_text", template: tuple[str,
     raw and kept lines and characters, the removals by reason, and the first EXAMPLES of them.
     """
     raw = F.coalesce(F.col(text_col), F.lit(""))
-    cut = documents.withColumn("__lines", F.filter(F.transform(t.lines(raw), t.compact), lambda x: x != ""))
-    cut = cut.withColumn("__parts", F.transform("__lines", lambda x: line_parts(x, template, guidance, markers)))
-    cut = cut.withColumn("__keys", F.transform("__parts", lambda p: F.lower(p["kept"])))
+    cut = held(documents, __lines=F.filter(F.transform(t.lines(raw), t.compact), lambda x: x != ""))
+    cut = held(cut, __parts=F.transform("__lines", lambda x: line_parts(x, template, guidance, markers)))
+    cut = held(cut, __keys=F.transform("__parts", lambda p: F.lower(p["kept"])))
     # a line is a duplicate if an earlier one has its key
-    cut = cut.withColumn(
-        "__steps",
-        F.transform(
-            "__parts",
-            lambda p, i: F.struct(
-                p["kept"].alias("kept"), p["removed"].alias("removed"), ((p["kept"] != "") & (F.array_position("__keys", F.lower(p["kept"])) <= i)).alias("again")
-            ),
-        ),
-    )
+    first = lambda p: F.array_position("__keys", F.lower(p["kept"]))
+    step = lambda p, i: F.struct(p["kept"].alias("kept"), p["removed"].alias("removed"), ((p["kept"] != "") & (first(p) <= i)).alias("again"))
+    cut = held(cut, __steps=F.transform("__parts", step))
     again = lambda s: F.concat(s["removed"], F.when(s["again"], F.array(F.struct(F.lit(DUPLICATE_REASON).alias("reason"), s["kept"].alias("text")))).otherwise(F.array().cast("array<struct<reason:string,text:string>>")))
-    cut = cut.withColumn("__kept", F.transform(F.filter("__steps", lambda s: (s["kept"] != "") & ~s["again"]), lambda s: s["kept"]))
-    cut = cut.withColumn("__removed", F.flatten(F.transform("__steps", again)))
+    stay = F.transform(F.filter("__steps", lambda s: (s["kept"] != "") & ~s["again"]), lambda s: s["kept"])
+    cut = held(cut, __kept=stay, __removed=F.flatten(F.transform("__steps", again)))
     reasons = [GUIDANCE_REASON, DUPLICATE_REASON, LINE_REASON, MARKER_REASON]
     counts = F.map_from_entries(
         F.filter(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog import RECORDS, Catalog, required_literal
 from plumbline.functions import text as t
+from plumbline.functions.held import held
 
 #: Hits and patterns shown of each field and polarity.
 SHOWN = 5
@@ -42,7 +43,7 @@ def evidence(texts: DataFrame, catalog: Catalog = RECORDS, text_col: str = "text
     text that already is normalized.
     """
     text = t.normalized(F.col(text_col)) if normalize else F.col(text_col)
-    step = texts.withColumn("__text", text)
+    step = held(texts, __text=text)
     names = catalog.fields
     raw = [c for i, n in enumerate(names) for c in (hits(F.col("__text"), catalog.rules[n].positive).alias(f"__p{i}"), hits(F.col("__text"), catalog.rules[n].negative).alias(f"__n{i}"))]
     step = step.select(*texts.columns, abstentions(F.col("__text"), catalog).alias("abstentions"), *raw)
@@ -85,6 +86,9 @@ def abstention_text(found: Column) -> Column:
 
 
 def by_field(found: DataFrame) -> DataFrame:
-    """One row per field: the struct's members as columns beside those of the text."""
+    """One row per field: the struct's members as columns beside those of the text.
+
+    The outer form keeps Catalyst from inferring a filter on the array's size, which would work out all evidence twice.
+    """
     rest = [c for c in found.columns if c not in ("evidence", "abstentions")]
-    return found.select(*rest, F.explode("evidence").alias("e")).select(*rest, "e.*")
+    return found.select(*rest, F.explode_outer("evidence").alias("e")).select(*rest, "e.*")

@@ -45,7 +45,7 @@ def field_results(found: DataFrame, truths: DataFrame, catalog: Catalog = RECORD
     covered = F.coalesce(F.try_element_at(coverage_map(catalog), F.col("prompt_id")), F.raise_error(F.concat(F.lit("no fields are scored for prompt "), F.col("prompt_id"))).cast("array<string>"))
     keyed = keyed.withColumn("truths", truth).withColumn("__covered", covered)
     rest = [c for c in found.columns if c not in ("evidence", "abstentions")]
-    spread = keyed.select(*rest, "truths", "__covered", F.explode("evidence").alias("e"))
+    spread = keyed.select(*rest, "truths", "__covered", F.explode_outer("evidence").alias("e"))
     scored = F.array_contains("__covered", F.col("e.field_name"))
     actual = F.try_element_at("truths", F.col("e.field_name"))
     out = spread.select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog import STOP_WORDS, UNSUPPORTABLE
 from plumbline.functions import text as t
+from plumbline.functions.held import held
 from plumbline.operators.claims import count_by
 
 KEYWORD = r"[a-z0-9][a-z0-9:-]{2,}"
@@ -84,9 +85,9 @@ def verdict(claim: Column, words: Column, best: Column, source: Column) -> Colum
 
 def support(claims: DataFrame, documents: DataFrame, key: str = "case_id") -> DataFrame:
     """From ``breakdown`` and ``sources``: adds ``claims`` with their support, and the counts by type and status."""
-    joined = claims.join(documents, key, "left")
+    joined = claims.join(documents, key, "left")  # within the row from here on
     kept = F.transform(F.filter("units", lambda u: u["looks_like_claim"]), lambda u: F.struct(u.alias("u"), keywords(u["source_text"]).alias("words")))
-    step = joined.withColumn("__kept", kept)
+    step = held(joined, __kept=kept)
     step = step.withColumn("__best", F.transform("__kept", lambda k: F.struct(k["u"].alias("u"), k["words"].alias("words"), best_unit(k["words"], F.coalesce("source_units", F.array())).alias("best"))))
 
     def claim(k: Column) -> Column:
@@ -98,7 +99,7 @@ def support(claims: DataFrame, documents: DataFrame, key: str = "case_id") -> Da
 
     step = step.withColumn("__claims", F.transform("__best", claim))
     flat = F.transform("__claims", lambda c: F.struct(*[c[x].alias(x) for x in ("claim_id", "source_text", "normalized_text", "claim_type", "source_unit_index")], *[c["v"][x].alias(x) for x in ("support_status", "support_reason", "support_evidence", "support_score")]))
-    step = step.withColumn("claims", flat)
+    step = held(step, claims=flat)
     return step.select(
         *claims.columns,
         F.size("units").cast("bigint").alias("source_unit_count"),
@@ -107,3 +108,48 @@ def support(claims: DataFrame, documents: DataFrame, key: str = "case_id") -> Da
         count_by(F.transform("claims", lambda c: c["support_status"])).alias("claim_support_counts"),
         "claims",
     )
+
+
+def best_by_join(claims: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """The best unit of each claim by a hash join on keywords: for sources too long to search within a row.
+
+    claims: ``(key, claim, at, words)``; candidates: ``(key, unit, before, text, words)``. A unit may serve a claim
+    if ``before < at``. Returns ``(key, claim, overlap, unit, text)``: most words, then the first unit; a claim
+    without any has overlap 0, unit null and the empty text.
+    """
+    left = claims.select(key, "claim", "at", F.explode("words").alias("word"))
+    right = candidates.select(key, "unit", "before", F.explode("words").alias("word"))
+    met = left.join(right, [key, "word"]).where("before < at").groupBy(key, "claim", "unit").agg(F.count("*").cast("int").alias("overlap"))
+    top = met.groupBy(key, "claim").agg(F.max(F.struct(F.col("overlap"), (-F.col("unit")).alias("minus"))).alias("top"))
+    top = top.select(key, "claim", F.col("top.overlap").alias("overlap"), (-F.col("top.minus")).alias("unit"))
+    found = claims.select(key, "claim").join(top, [key, "claim"], "left").join(candidates.select(key, "unit", "text"), [key, "unit"], "left")
+    return found.select(key, "claim", F.coalesce("overlap", F.lit(0)).alias("overlap"), "unit", F.coalesce("text", F.lit("")).alias("text"))
+
+
+#: Words of the runs by which ``contained`` finds texts.
+RUN = 3
+#: Items whose runs are sent to every task; beyond, the join shuffles.
+BROADCAST_ITEMS = 50_000
+
+
+def contained(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
+    """``(key, item_key)`` of every item whose text stands within a document's, exactly.
+
+    Instead of trying every pair: the inner words of an item stand in the document as they are, so the pair
+    meets in a hash join on the hash of RUN of them, and only then are texts compared. Items without
+    enough inner words are tried on every document. Null and empty items are in none.
+    """
+    split = lambda c: F.split(c, r"[ \t-\r]+")
+    runs = lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - RUN), lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(RUN)]))
+    # texts are split at white space; the first and the last word of an item may be parts of words
+    items = items.select(F.col(item_key), F.col("text").alias("item_text")).where(F.coalesce("item_text", F.lit("")) != "").withColumn("ws", split("item_text"))
+    long = items.where(F.size("ws") >= RUN + 2).select(item_key, "item_text", F.xxhash64(*[F.get("ws", F.lit(1 + k)) for k in range(RUN)]).alias("h"))
+    short = items.where(F.size("ws") < RUN + 2).select(item_key, "item_text")
+    small = items.count() <= BROADCAST_ITEMS
+    texts = documents.select(key, "text", split("text").alias("ws"))
+    spread = texts.where(F.size("ws") >= RUN).select(key, "text", F.explode(F.array_distinct(runs(F.col("ws")))).alias("h"))
+    met = spread.join(F.broadcast(long) if small else long, "h")
+    found = met.where(F.contains("text", F.col("item_text"))).select(key, item_key)
+    if not short.isEmpty():
+        found = found.unionByName(documents.select(key, "text").join(F.broadcast(short) if small else short, F.contains("text", F.col("item_text"))).select(key, item_key))
+    return found.distinct()
