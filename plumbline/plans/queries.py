@@ -268,9 +268,9 @@ def _accuracies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return right.withColumn("accuracy_percent", F.round(F.col("correct_scored_fields") * 100.0 / F.col("scored_field_count"), 2))
 
 
-@query(f"WITH {_RESULTS} SELECT doc_id, field_name, scored_in_prompt, predicted, ground_truth, is_match, error_type FROM typed")
+@query(f"WITH {_RESULTS} SELECT doc_id, field_name, scored_in_prompt, predicted, ground_truth, coalesce(is_match::VARCHAR, 'none') AS is_match, error_type FROM typed")
 def q13_field_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fields(spark, sf_dir).select("doc_id", "field_name", "scored_in_prompt", "predicted", "ground_truth", "is_match", "error_type")
+    return _fields(spark, sf_dir).select("doc_id", "field_name", "scored_in_prompt", "predicted", "ground_truth", F.coalesce(F.col("is_match").cast("string"), F.lit("none")).alias("is_match"), "error_type")
 
 
 @query(f"""WITH {_RESULTS} SELECT lang, source, sum(correct_scored_fields)::BIGINT AS correct, sum(scored_field_count)::BIGINT AS scored, count(*) AS evaluations,
@@ -336,9 +336,9 @@ _BEST = f"""{TURN_UNITS},
 """
 
 
-@query(f"WITH {_BEST} SELECT conv_id, claim, n_words::INT AS n_words, coalesce(overlap, 0)::INT AS overlap, unit, coalesce(text, '') AS evidence FROM best WHERE nth = 1")
+@query(f"WITH {_BEST} SELECT conv_id, claim, n_words::INT AS n_words, coalesce(overlap, 0)::INT AS overlap, coalesce(unit, -1) AS unit, coalesce(text, '') AS evidence FROM best WHERE nth = 1")
 def q19_best_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _overlaps(spark, sf_dir).select("conv_id", "claim", "n_words", "overlap", "unit", F.col("text").alias("evidence"))
+    return _overlaps(spark, sf_dir).select("conv_id", "claim", "n_words", "overlap", F.coalesce("unit", F.lit(-1)).alias("unit"), F.col("text").alias("evidence"))
 
 
 @query(f"""WITH {_BEST}, judged AS (SELECT CASE WHEN n_words = 0 THEN 'unclear' WHEN 100 * coalesce(overlap, 0) >= 55 * n_words AND overlap >= 3 THEN 'supported'
@@ -363,10 +363,10 @@ def q21_never_or_always(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_KEPT}, cleaned AS (SELECT doc_id, string_agg(kept, chr(10) ORDER BY pos) FILTER (kept <> '' AND nth = 1) AS text FROM ranked GROUP BY doc_id),
     {_FIELDS}, {_fields_sql("coalesce(c.text, '')", "documents d LEFT JOIN cleaned c USING (doc_id)", "2")},
-    both AS (SELECT f.field_name, len(f.pos) > 0 AS raw, len(g.pos) > 0 AS clean, f.field_name = 'low_quality' AND quality = 0 OR f.field_name = 'toxic_language' AND toxic = 1 AS truth
+    paired AS (SELECT f.field_name, len(f.pos) > 0 AS raw, len(g.pos) > 0 AS clean, f.field_name = 'low_quality' AND quality = 0 OR f.field_name = 'toxic_language' AND toxic = 1 AS truth
              FROM fields f JOIN fields2 g USING (doc_id, field_name) JOIN labels USING (doc_id))
     SELECT field_name, CASE WHEN truth AND clean THEN 'source_hit_found' WHEN truth THEN 'needs_manual_note_true_field' WHEN raw AND NOT clean THEN 'template_hit_removed'
-        WHEN raw THEN 'needs_manual_review_false_field' ELSE 'not_found_in_source' END AS review_status, count(*) AS n FROM both GROUP BY ALL""")
+        WHEN raw THEN 'needs_manual_review_false_field' ELSE 'not_found_in_source' END AS review_status, count(*) AS n FROM paired GROUP BY ALL""")
 def q22_truth_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     key = F.create_map(F.lit("low_quality"), F.col("quality") == 0, F.lit("toxic_language"), F.col("toxic") == 1)
