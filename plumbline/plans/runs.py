@@ -73,7 +73,7 @@ def issues(spark: SparkSession, folder: str, wanted: Sequence[str] | None = None
 def prompt_issues(spark: SparkSession, folder: str) -> DataFrame:
     names = files.PROMPT_FILES
     wanted = spark.createDataFrame(list(names.items()), "prompt_id string, name string")
-    found = files.files(spark, f"{folder}/master_prompts", "*", False).select("name", t.clean_prompt(F.decode("content", "UTF-8")).alias("text"))
+    found = files.files(spark, f"{folder}/master_prompts", "*", False).select("name", t.clean_prompt(F.col("content").cast("string")).alias("text"))
     both = wanted.join(found, "name", "left")
     what = F.when(F.col("text").isNull(), F.concat(F.lit("missing prompt: "), "name")).when(F.col("text") == "", F.concat(F.lit("empty prompt: "), "name")).when(F.col("text").rlike("[âÃ]"), F.concat(F.lit("broken encoding in prompt: "), "name"))
     return both.select(F.lit("").alias("case_id"), what.alias("issue")).where("issue is not null")

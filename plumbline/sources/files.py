@@ -71,14 +71,14 @@ def truth(texts: DataFrame, catalog: Catalog = RECORDS) -> DataFrame:
 
 
 def json_texts(found: DataFrame) -> DataFrame:
-    return found.select(F.col("folder").alias("case_id"), "name", F.decode("content", "UTF-8").alias("text"))
+    return found.select(F.col("folder").alias("case_id"), "name", F.col("content").cast("string").alias("text"))
 
 
 def prompts(spark: SparkSession, folder: str, names: dict[str, str] = PROMPT_FILES) -> DataFrame:
     """``(prompt_id, text)`` of the named files, repaired; one that is missing or empty fails."""
     ids = F.create_map(*[F.lit(x) for k, v in names.items() for x in (v, k)])
     found = files(spark, folder, "*", False).where(F.col("name").isin(*names.values()))
-    out = found.select(F.element_at(ids, F.col("name")).alias("prompt_id"), t.clean_prompt(F.decode("content", "UTF-8")).alias("text"))
+    out = found.select(F.element_at(ids, F.col("name")).alias("prompt_id"), t.clean_prompt(F.col("content").cast("string")).alias("text"))
     lengths = {r[0]: r[1] for r in out.select("prompt_id", F.length("text")).collect()}
     if missing := [v for k, v in names.items() if k not in lengths]:
         raise FileNotFoundError(f"missing prompt files: {', '.join(missing)}")
@@ -118,7 +118,7 @@ def runs(spark: SparkSession, root: str) -> DataFrame:
 
 def latest_run(spark: SparkSession, root: str, group: str) -> str:
     """The marked run if there is a mark that is not empty, else the last by name."""
-    mark = files(spark, f"{root}/{group}", "latest_run.txt", False).select(F.trim(F.regexp_replace(F.decode("content", "UTF-8"), r"\s+", " ")).alias("m")).where("m <> ''")
+    mark = files(spark, f"{root}/{group}", "latest_run.txt", False).select(F.trim(F.regexp_replace(F.col("content").cast("string"), r"\s+", " ")).alias("m")).where("m <> ''")
     if row := mark.first():
         return row[0]
     last = runs(spark, root).where(F.col("run_group") == group).agg(F.max("run_id")).first()[0]

@@ -68,7 +68,7 @@ class Store:
         path = self.path(run, name)
         if not self.exists(path):
             return None
-        return self.spark.read.option("wholetext", True).text(path).first()[0]
+        return self.spark.read.text(path, wholetext=True).first()[0]
 
     def read_json(self, run: str, name: str) -> dict[str, Any]:
         """Empty if the file is missing."""
