@@ -84,7 +84,7 @@ def stretch_costs(roles: list[str | None]) -> np.ndarray:
 
 
 def stretch_way(roles: list[str | None], first: int, last: int) -> list[Way]:
-    """The cheapest way through the turns between two states; ties as ``ways`` prefers, from the last turn back."""
+    """The cheapest way through the turns between two states; ties, from the last turn back, go to the smaller state before, then as ``ways`` prefers."""
     cost = [[np.inf] * 4 for _ in range(len(roles) + 1)]
     cost[0][first] = 0.0
     back: list[list] = [[None] * 4 for _ in roles]
@@ -136,9 +136,9 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     Turns of a conversation go by number (null first), then role and text. Rows that repeat all four are one
     turn. Roles are compared as ``role_of`` names them; an unknown or null role may become any at the
-    cost NAME. A null text is empty. Null conversations are one conversation. Of equally cheap ways,
-    keeping comes before joining, an empty turn, and another role. An empty table gives an empty result;
-    other columns are not read.
+    cost NAME. A null text is empty. Null conversations are one conversation. Equally cheap ways are told
+    apart from the last turn back: by the smaller state before it, then keeping, joining, an empty turn, another role.
+    An empty table gives an empty result; other columns are not read.
     """
     conv = turns.schema[conv_col].dataType.simpleString()
     rows = turns.select(
