@@ -14,6 +14,8 @@ from plumbline.catalog import MOJIBAKE, MOJIBAKE_LEADS
 
 #: White space as Python's regular expressions know it; Java's own class lacks the later ones.
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The same characters.
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 #: Line ends as ``str.splitlines`` knows them.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: Texts of characters that neither NFKC nor the repair of encodings ever touches, alone or side by side.
@@ -68,8 +70,8 @@ def nfkc(text: Column) -> Column:
     return _only_where_needed(text, _nfkc)
 
 
-def strip(c: Column, characters: str = SPACE) -> Column:
-    return F.regexp_replace(c, f"^{characters}+|{characters}+$", "")
+def strip(c: Column) -> Column:
+    return F.trim(c, F.lit(SPACES))
 
 
 def compact(c: Column) -> Column:
@@ -113,7 +115,8 @@ def lines(text: Column) -> Column:
 def without_adjacent(items: Column) -> Column:
     """Items that are not empty and differ from the last kept one."""
     full = F.filter(items, lambda x: x != "")
-    return F.filter(full, lambda x, i: (i == 0) | (x != F.get(full, i - 1)))
+    before = F.concat(F.array(F.lit("")), full)
+    return F.filter(F.zip_with(full, before, lambda x, b: F.when(x != b, x)), lambda x: x.isNotNull())
 
 
 def distinct_compact(items: Column) -> Column:

@@ -13,6 +13,8 @@ from plumbline.functions.held import held
 from plumbline.operators.cleanup import any_of
 
 BULLET = r"^\s*(?:[-*\u2022]+|\d+[.)])\s*"
+#: What BULLET does not leave as it is.
+BULLET_LINE = r"^(?:[-*\u2022]|\d+[.)])"
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z0-9\"'])"
 #: Words of the shortest claim.
 LEAST_WORDS = 4
@@ -22,12 +24,10 @@ def units(text: Column, prepared: bool = False) -> Column:
     """Bullet lines whole, other lines by sentence; blanks compacted, the first of equal units kept. ``prepared``: the text is ``claim_text``."""
 
     def cut(line: Column) -> Column:
-        line = t.strip(line)
-        bare = F.regexp_replace(line, BULLET, "")
-        return F.when(bare != line, F.array(bare)).otherwise(F.split(line, SENTENCE_END))
+        return F.when(line.rlike(BULLET_LINE), F.array(F.regexp_replace(line, BULLET, ""))).otherwise(F.split(line, SENTENCE_END))
 
     value = text if prepared else t.claim_text(text)
-    return t.distinct_compact(F.flatten(F.transform(F.split(value, "\n"), cut)))
+    return t.distinct_compact(F.flatten(F.transform(F.transform(F.split(value, "\n"), t.strip), cut)))
 
 
 @dataclass(frozen=True)
