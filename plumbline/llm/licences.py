@@ -1,6 +1,6 @@
 """Licence scans by sparse TF-IDF cosine and directory inheritance (operator 5), in DataFrame functions only.
 
-A header is a line that holds one of MARKS. Headers, and the whole text of short files, become sparse
+A header is a line that holds one of MARKS. Headers, and the whole text of files that have one, become sparse
 vectors: the terms of the templates weighed by their inverse document frequency over all files, and
 every other word as a dimension of its own with the weight of a word that no file holds. A file's licence is that of
 its best header. A file that is, as a whole, like a template is a licence file of its
@@ -16,6 +16,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.held import held
+
 # Names and usual notices of licences.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -32,8 +34,6 @@ TEMPLATES = {
 MARKS = r"(?i)licen[cs]e|copyright|spdx|public domain|all rights reserved"
 #: Cosine from which a header has a template's licence, and from which a whole file is a licence file.
 HEADER, FILE = 0.6, 0.5
-#: Characters up to which a whole text may be a licence file; notices are short, and a longer text's cosine is below FILE.
-FILE_CHARS = 20_000
 
 
 def words(text: Column) -> Column:
@@ -48,22 +48,22 @@ def frequencies(texts: DataFrame, text_col: str) -> tuple[int, dict[str, int]]:
     """The number of texts, and how many hold each word of the templates; at most one row per such word is collected."""
     terms = sorted({w for ws in _template_words().values() for w in ws})
     known = F.array(*[F.lit(w) for w in terms])
-    held = texts.select(F.explode(F.array_intersect(words(F.col(text_col)), known)).alias("word"))
-    counts = {r[0]: r[1] for r in held.groupBy("word").count().collect()}
+    having = texts.select(F.explode(F.array_intersect(words(F.col(text_col)), known)).alias("word"))
+    counts = {r[0]: r[1] for r in having.groupBy("word").count().collect()}
     return texts.count(), {w: counts.get(w, 0) for w in terms}
 
 
-def _matched(units: DataFrame, total: int, held: dict[str, int]) -> DataFrame:
-    """``units(..., ws)`` with ``best``: (cosine, licence) of the template most like the words, ties to the smaller name."""
-    idf = {w: log((1 + total) / (1 + n)) + 1 for w, n in held.items()}
+def _matched(units: DataFrame, total: int, having: dict[str, int]) -> DataFrame:
+    """``units(..., unit)`` with ``best``: (cosine, licence) of the template most like the unit's words, ties to the smaller name."""
+    idf = {w: log((1 + total) / (1 + n)) + 1 for w, n in having.items()}
     unseen = (log(1 + total) + 1) ** 2
     weight = F.create_map(*[F.lit(x) for w, v in idf.items() for x in (w, v)])
-    counted = F.transform(F.array_distinct(F.filter("ws", lambda w: F.map_contains_key(weight, w))), lambda w: F.struct(w.alias("w"), F.size(F.filter("ws", lambda x: x == w)).cast("double").alias("tf")))
-    units = units.withColumn("counted", counted)
-    inside = F.aggregate("counted", F.lit(0.0), lambda a, c: a + c["tf"])
+    units = held(units, ws=words(F.col("unit")))
+    units = held(units, known=F.filter("ws", lambda w: w.isin(*idf)), others=F.size(F.filter("ws", lambda w: ~w.isin(*idf)))).drop("ws")
+    counted = F.transform(F.array_distinct("known"), lambda w: F.struct(w.alias("w"), F.size(F.filter("known", lambda x: x == w)).cast("double").alias("tf")))
+    units = held(units, counted=counted).drop("known")
     norm = F.aggregate("counted", F.lit(0.0), lambda a, c: a + F.pow(c["tf"] * F.element_at(weight, c["w"]), F.lit(2.0)))
-    norm = F.sqrt(norm + (F.size("ws") - inside) * F.lit(unseen))
-    units = units.withColumn("norm", norm)
+    units = held(units, norm=F.sqrt(norm + F.col("others") * F.lit(unseen)))
     scored = []
     for name, ws in _template_words().items():
         tf = {w: ws.count(w) for w in ws}
@@ -71,7 +71,7 @@ def _matched(units: DataFrame, total: int, held: dict[str, int]) -> DataFrame:
         product = F.create_map(*[F.lit(x) for w, c in sorted(tf.items()) for x in (w, c * idf[w] ** 2)])
         scored.append(F.struct((_dot(product) / (F.col("norm") * length)).alias("score"), F.lit(name).alias("licence")))
     ordered = F.array_sort(F.array(*scored), lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).otherwise(F.when(a["licence"] < b["licence"], -1).otherwise(1)))
-    return units.withColumn("best", F.get(ordered, 0)).drop("counted", "norm")
+    return held(units, best=F.get(ordered, 0)).drop("counted", "norm", "others")
 
 
 def _dot(product: Column) -> Column:
@@ -88,21 +88,24 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text") -> Da
     path are judged by themselves. An empty table gives an empty result; other columns are not read.
     """
     cut = files.select(F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    total, held = frequencies(cut, "text")
+    total, having = frequencies(cut, "text")
     directory = F.regexp_replace(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "/+$", "")
     lines = F.when(F.col("text").rlike(MARKS), F.filter(F.split("text", "\n"), lambda x: x.rlike(MARKS))).otherwise(F.array().cast("array<string>"))
-    narrow = cut.select("path", directory.alias("directory"), F.array_distinct(lines).alias("lines"), F.when((F.size(lines) > 0) & (F.length("text") <= FILE_CHARS), F.col("text")).alias("whole"))
-    headed = narrow.where(F.size("lines") > 0)
-    units = headed.select("path", "directory", F.array_distinct(F.concat("lines", F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(F.array().cast("array<string>")))).alias("units"), "lines", "whole")
-    one = units.withColumn("key", F.xxhash64("path", "lines", "whole")).select("path", "directory", "key", "lines", "whole", F.explode("units").alias("unit"))
-    matched = _matched(one.withColumn("ws", words(F.col("unit"))), total, held)
+    narrow = cut.select("path", directory.alias("directory"), F.xxhash64("path", "text").alias("key"), F.col("text").rlike(MARKS).alias("headed"), "text")
+    headed = narrow.where("headed").select("path", "directory", "key", "text", F.array_distinct(lines).alias("lines"))
+    unit = lambda text, header, file: F.struct(text.alias("unit"), header.alias("header"), file.alias("file"))
+    of_lines = F.transform("lines", lambda x: unit(x, F.lit(True), x == F.col("text")))
+    of_text = F.when(~F.array_contains("lines", F.col("text")), F.array(unit(F.col("text"), F.lit(False), F.lit(True)))).otherwise(F.array().cast("array<struct<unit:string,header:boolean,file:boolean>>"))
+    one = headed.select("path", "directory", "key", F.concat(of_lines, of_text).alias("units")).select("path", "directory", "key", F.inline("units"))
+    matched = _matched(one, total, having)
+    found = F.struct((-F.col("best.score")).alias("minus"), F.col("best.licence").alias("licence"))
     good = matched.select(
         "path", "directory", "key",
-        F.when(F.array_contains("lines", F.col("unit")) & (F.col("best.score") >= HEADER), F.struct((-F.col("best.score")).alias("minus"), F.col("best.licence").alias("licence"))).alias("header"),
-        F.when(F.col("whole").eqNullSafe(F.col("unit")) & (F.col("best.score") >= FILE), F.struct((-F.col("best.score")).alias("minus"), F.col("best.licence").alias("licence"))).alias("file"),
+        F.when(F.col("header") & (F.col("best.score") >= HEADER), found).alias("header"),
+        F.when(F.col("file") & (F.col("best.score") >= FILE), found).alias("file"),
     )
     own = good.groupBy("path", "directory", "key").agg(F.min("header").alias("header"), F.min("file").alias("file"))
-    return _inherited(narrow, own)
+    return _inherited(narrow.drop("text"), own)
 
 
 def _inherited(narrow: DataFrame, own: DataFrame) -> DataFrame:
@@ -113,8 +116,8 @@ def _inherited(narrow: DataFrame, own: DataFrame) -> DataFrame:
     nearest = directories.join(licensed, "ancestor").groupBy("directory").agg(F.max(F.struct(F.length("ancestor").alias("n"), "ancestor", "file")).alias("near")).select("directory", "near")
     place = F.when(F.col("path").isNotNull(), F.col("directory")).alias("directory")
     mine = own.where("header is not null").groupBy("key").agg(F.min("header").alias("header"))
-    with_lines = narrow.where(F.size("lines") > 0).select("path", place, F.xxhash64("path", "lines", "whole").alias("key")).join(mine, "key", "left")
-    without = narrow.where(F.size("lines") == 0).select("path", place, F.lit(None).cast(mine.schema["header"].dataType).alias("header"))
+    with_lines = narrow.where("headed").select("path", place, "key").join(mine, "key", "left")
+    without = narrow.where("not headed").select("path", place, F.lit(None).cast(mine.schema["header"].dataType).alias("header"))
     joined = with_lines.select("path", "directory", "header").unionByName(without).join(nearest, "directory", "left")
     found = F.when(F.col("header").isNotNull(), "header").when(F.col("near").isNotNull(), "inherited")
     return joined.select(

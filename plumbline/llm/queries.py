@@ -47,11 +47,13 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files ``source/lang/doc_id``."""
+    """Documents as files ``source/lang/doc_id``; of a file without a licence all columns are empty or zero."""
     docs = table(spark, sf_dir, "documents")
     found = licences.scan(docs.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text"))
     doc_id = F.element_at(F.split("path", "/"), -1).cast("long")
-    return found.select(doc_id.alias("doc_id"), "licence", F.round("score", 6).alias("score"), "found", "origin")
+    given = {"licence": F.lit(""), "found": F.lit("none"), "origin": F.lit("")}
+    rest = {c: F.coalesce(c, empty).alias(c) for c, empty in given.items()}
+    return found.select(doc_id.alias("doc_id"), rest["licence"], F.coalesce(F.round("score", 6), F.lit(0.0)).alias("score"), rest["found"], rest["origin"])
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,10 +102,61 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
+_TEMPLATES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licences.TEMPLATES.items())
+_WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {
+    "op5_licences": f"""
+        WITH templates AS (SELECT name, unnest({_WORDS.format("body")}) AS w FROM (VALUES {_TEMPLATES}) AS t(name, body)),
+        of_template AS (SELECT name, w, count(*)::DOUBLE AS tf FROM templates GROUP BY ALL),
+        files AS (
+            SELECT row_number() OVER () AS file_no, doc_id, concat_ws('/', source, lang) AS directory, coalesce(text, '') AS text FROM documents),
+        total AS (SELECT count(*) AS n FROM files),
+        holding AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct({_WORDS.format("text")})) AS w FROM files) GROUP BY w),
+        idf AS (
+            SELECT w, ln((1 + (SELECT n FROM total)) / (1.0 + coalesce(max(h.n), 0))) + 1 AS idf
+            FROM of_template LEFT JOIN holding h USING (w) GROUP BY w),
+        lengths AS (SELECT name, sqrt(sum((tf * idf) ** 2)) AS length FROM of_template JOIN idf USING (w) GROUP BY name),
+        lines AS (SELECT DISTINCT file_no, unnest(string_split(text, chr(10))) AS unit FROM files),
+        headers AS (SELECT file_no, unit FROM lines WHERE regexp_matches(unit, '{licences.MARKS}')),
+        units AS (
+            SELECT file_no, unit, bool_or(header) AS header, bool_or(file) AS file FROM (
+                SELECT file_no, unit, true AS header, false AS file FROM headers
+                UNION ALL SELECT file_no, text, false, true FROM files WHERE file_no IN (SELECT file_no FROM headers))
+            GROUP BY ALL),
+        numbered AS (SELECT row_number() OVER () AS unit_no, * FROM units),
+        of_unit AS (SELECT unit_no, w, count(*)::DOUBLE AS tf FROM (SELECT unit_no, unnest({_WORDS.format("unit")}) AS w FROM numbered) GROUP BY ALL),
+        norms AS (
+            SELECT unit_no, sqrt(sum(CASE WHEN idf IS NULL THEN tf * (ln(1 + (SELECT n FROM total)) + 1) ** 2 ELSE (tf * idf) ** 2 END)) AS norm
+            FROM of_unit LEFT JOIN idf USING (w) GROUP BY unit_no),
+        scores AS (
+            SELECT unit_no, name, sum(u.tf * t.tf * idf ** 2) / (any_value(norm) * any_value(length)) AS score
+            FROM of_unit u JOIN of_template t USING (w) JOIN idf USING (w) JOIN norms USING (unit_no) JOIN lengths USING (name) GROUP BY unit_no, name),
+        best AS (
+            SELECT unit_no, name, score FROM scores
+            QUALIFY row_number() OVER (PARTITION BY unit_no ORDER BY round(score, 12) DESC, name) = 1),
+        matched AS (SELECT * FROM numbered JOIN best USING (unit_no)),
+        own AS (
+            SELECT file_no, name, score FROM matched WHERE header AND score >= {licences.HEADER}
+            QUALIFY row_number() OVER (PARTITION BY file_no ORDER BY round(score, 12) DESC, name) = 1),
+        licensed AS (
+            SELECT directory AS ancestor, name, score FROM matched JOIN files USING (file_no) WHERE file AND score >= {licences.FILE}
+            QUALIFY row_number() OVER (PARTITION BY directory ORDER BY round(score, 12) DESC, name) = 1),
+        above AS (
+            SELECT DISTINCT directory, array_to_string(string_split(directory, '/')[1:i], '/') AS ancestor
+            FROM (SELECT directory, unnest(range(0, len(string_split(directory, '/')) + 1)) AS i FROM (SELECT DISTINCT directory FROM files))),
+        nearest AS (
+            SELECT directory, ancestor, name, score FROM above JOIN licensed USING (ancestor)
+            QUALIFY row_number() OVER (PARTITION BY directory ORDER BY length(ancestor) DESC) = 1)
+        SELECT doc_id, coalesce(o.name, n.name, '') AS licence, coalesce(round(coalesce(o.score, n.score), 6), 0.0) AS score,
+               CASE WHEN o.name IS NOT NULL THEN 'header' WHEN n.name IS NOT NULL THEN 'inherited' ELSE 'none' END AS found,
+               CASE WHEN o.name IS NULL AND n.name IS NOT NULL THEN n.ancestor ELSE '' END AS origin
+        FROM files f LEFT JOIN own o USING (file_no) LEFT JOIN nearest n ON f.directory = n.directory
+    """,
     "op8_mix": """
-        WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+        WITH numbered AS (SELECT row_number() OVER () AS row_no, * FROM documents),
+        sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
         means AS (
             SELECT source, (SELECT sum(n) FROM sizes)::DOUBLE * 1.0 / ((SELECT count(*) FROM sizes)::DOUBLE * n) AS rate,
                    greatest(1, ceil((SELECT sum(n) FROM sizes)::DOUBLE * 1.0 / ((SELECT count(*) FROM sizes)::DOUBLE * n) / 8.0))::INT AS parts
@@ -111,11 +164,11 @@ ORACLES: dict[str, str] = {
         terms AS (SELECT source, parts, k, exp(-(rate / parts) + k * ln(rate / parts) - lgamma(k + 1)) AS p FROM means, range(48) AS t(k)),
         cumulative AS (SELECT source, parts, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
         keyed AS (
-            SELECT d.*, part, ('0x' || substr(md5('17|' || part || '|' || d.doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS u
-            FROM documents d JOIN means m ON d.source IS NOT DISTINCT FROM m.source, range(1, m.parts + 1) AS t(part)),
+            SELECT row_no, d.source, part, ('0x' || substr(md5('17|' || part || '|' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS u
+            FROM numbered d JOIN means m ON d.source IS NOT DISTINCT FROM m.source, range(1, m.parts + 1) AS t(part)),
         counted AS (
-            SELECT k.doc_id, count(*) AS copies
-            FROM keyed k JOIN cumulative c ON k.source IS NOT DISTINCT FROM c.source AND c.c <= k.u GROUP BY k.doc_id)
-        SELECT d.*, copy::INT AS copy FROM documents d JOIN counted c USING (doc_id), range(1, c.copies + 1) AS t(copy)
+            SELECT row_no, count(*) AS copies
+            FROM keyed k JOIN cumulative c ON k.source IS NOT DISTINCT FROM c.source AND c.c <= k.u GROUP BY row_no)
+        SELECT d.* EXCLUDE (row_no), copy::INT AS copy FROM numbered d JOIN counted c USING (row_no), range(1, c.copies + 1) AS t(copy)
     """,
 }

@@ -8,12 +8,13 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, language, licences, mix, neighbours, pii, quality, shared, simhash, toxicity
+from plumbline.llm import chat, decontaminate, language, licences, mix, neighbours, pii, quality, queries, shared, simhash, toxicity
 from plumbline.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, fp string, word string"
@@ -287,6 +288,20 @@ def test_licences(spark):
         ("a", None, None, None), (None, "CC-BY-NC-4.0", "header", None), ("d/w.txt", None, None, None),
     }
     assert licences.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+    # a notice that fills a long text makes a licence file of it
+    long = [("p/NOTICE", "Released under the MIT License.\n" * 5000), ("p/q/x", "none"), ("p/NOTICE", "Released under the MIT License.\n" * 5000)]
+    assert {(r.path, r.licence, r.found, r.origin) for r in licences.scan(spark.createDataFrame(long, "path string, text string")).collect()} == {("p/NOTICE", "MIT", "header", None), ("p/q/x", "MIT", "inherited", "p")}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_are_their_sql(spark, tables, name):
+    con = duckdb.connect()
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS FROM '{tables}/{table}.parquet'")
+    got, want = queries.QUERIES[name](spark, tables), con.execute(queries.ORACLES[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(repr, map(tuple, got.select(columns).collect()))) == sorted(map(repr, want.fetchall()))
 
 
 def test_mix(spark):
