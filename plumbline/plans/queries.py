@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog import Catalog, Rule
 from plumbline.functions import text as t
+from plumbline.functions.held import held
 from plumbline.operators import audits, claims, cleanup, evidence, metrics, scoring, support
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,7 +190,7 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DOC_UNITS} SELECT doc_id, count(*) AS n_units, md5(string_agg(unit, chr(10) ORDER BY unit_index)) AS units_md5 FROM units GROUP BY doc_id")
 def q06_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", claims.units(F.col("text")).alias("u")).where(F.size("u") > 0)
+    found = held(table(spark, sf_dir, "documents", "doc_id", "text"), u=claims.units(F.col("text"))).where(F.size("u") > 0)
     return found.select("doc_id", F.size("u").cast("bigint").alias("n_units"), F.md5(F.array_join("u", "\n")).alias("units_md5"))
 
 
