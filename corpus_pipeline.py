@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, mix, pii, simhash, toxicity
+from plumbline.llm import decontaminate, mix, pii, similar, toxicity
 from plumbline.llm.queries import TOXIC, table
 from plumbline.llm.shared import fold, staged
 
@@ -20,8 +20,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def reject_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the smallest id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates (five-word shingles 0.8 alike), the one of the smallest id."""
+    return similar.drop_near_duplicates(docs)
 
 
 def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

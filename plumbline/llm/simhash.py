@@ -257,7 +257,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows that repeat an id within a component count as one document, of which one row stays.
     """
-    found = staged(near_duplicates(docs, id_col, text_col, radius), "components")
+    return one_of_each(docs, near_duplicates(docs, id_col, text_col, radius), id_col)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with the rows whose id is the ``component_id`` of ``found(id, component_id)``, one row an id, and those without an id."""
+    found = staged(found, "components")
     kept = found.where("id = component_id or id is null")
     rows, ids = found.agg(F.count("id"), F.count_distinct("id")).first()
     stay = docs.join(kept.where("id is not null").select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi").select(docs.columns)

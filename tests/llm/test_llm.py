@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, language, licences, mix, neighbours, pii, quality, queries, shared, simhash, toxicity
+from plumbline.llm import chat, decontaminate, language, licences, mix, neighbours, pii, quality, queries, shared, simhash, similar, toxicity
 from plumbline.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, fp string, word string"
@@ -99,6 +99,41 @@ def test_one_row_of_a_group_stays(spark):
     assert simhash.drop_near_duplicates(docs.limit(0)).columns == docs.columns
 
 
+def test_pipeline_copies_are_brute_force_jaccard(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+
+    def edited(text, times):
+        w = text.split()
+        for _ in range(times):
+            w[r.randrange(len(w))] = prose(r.random(), 1)
+        return " ".join(w)
+
+    bases = [prose(700 + i, n) for i, n in enumerate((9, 12, 30, 90, 200, 200, 400))]
+    line = prose(720, 12)
+    texts = [(10 * i + j, edited(x, j * len(x.split()) // 120 + j // 4)) for i, x in enumerate(bases) for j in range(9)]
+    texts += [(200 + i, line + " " + prose(730 + i, 40)) for i in range(30)] + [(300 + i, " ".join(bases[4].split()[i * 6 :])) for i in range(12)]
+    texts += [(i + 1000, x) for i, (_, x) in enumerate(ODD)] + [(None, bases[3])]
+    sets = {}
+    for _, x in texts:
+        w = words(x)
+        sets[x] = frozenset([tuple(w[k : k + 5]) for k in range(len(w) - 4)] or [tuple(w)][: len(w)])
+    nodes = sorted(set(sets.values()), key=lambda s: min(i for i, x in texts if i is not None and sets[x] == s))
+    number = {s: k for k, s in enumerate(nodes)}
+    root = linked(range(len(nodes)), lambda a, b: a == b or 5 * len(nodes[a] & nodes[b]) >= 4 * len(nodes[a] | nodes[b]))
+    least = {}
+    for i, x in texts:
+        if i is not None:
+            least[root[number[sets[x]]]] = min(i, least.get(root[number[sets[x]]], i))
+    want = Counter((i, least[root[number[sets[x]]]]) for i, x in texts)
+    for chunk in (7, simhash.CHUNK):
+        assert Counter((z.id, z.component_id) for z in similar.near_duplicates(documents(spark, texts), chunk=chunk).collect()) == want
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, documents(spark, texts), "")
+    assert sorted(z.doc_id for z in kept.where("doc_id is not null").collect()) == sorted(set(least.values()))
+    assert similar.drop_near_duplicates(documents(spark, texts).limit(0)).count() == 0
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     roots = {r.node: r.root for r in components(edges).collect()}
