@@ -3,7 +3,7 @@
 A window as long as an item, and at least SIMILAR to it, misses few of the item's shingles; so it shares
 one of any ``missable + 1`` of them. Those of the smallest hashes are the item's anchors. The corpus is
 scanned once for anchors (a hash join with the items' side, whose size is checked); where one stands,
-the item-sized windows around the aligned place are cut out. Each window gets a SimHash; a
+all item-sized windows that hold it are cut out, each once, wherever the item has the anchor. Each window gets a SimHash; a
 window and an item within RADIUS bits agree on one of RADIUS + 1 blocks, which is looked up first; the
 Hamming distance is checked next, and what remains is decided by the exact similarity.
 """
@@ -83,14 +83,18 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> DataF
 
 
 def _scan(docs: DataFrame, anchors: DataFrame, size: int) -> DataFrame:
-    """Places ``(id, item_id, n, slack, at, region)``: the words of ``docs`` around an aligned anchor, from word ``at``."""
+    """Places ``(id, item_id, n, at, anchor, last, region)``: the words of ``docs``, from word ``at``, of all windows that hold an anchor.
+
+    anchor: the anchor's place in the region; last: the place of the last window.
+    """
     cut = docs.select("id", "ws").where(F.size("ws") >= size)
     hit = cut.select("id", "ws", F.posexplode(shingles(F.col("ws"), size)).alias("pos", "h")).join(anchors, "h")
-    low = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.size("ws") - F.col("n")) - F.col("slack"))
-    high = F.least(F.size("ws"), F.greatest(F.col("pos") - F.col("offset"), F.lit(0)) + F.col("n") + F.col("slack"))
-    return hit.select("id", "item_id", "n", low.alias("at"), high.alias("to"), "ws").select(
-        "id", "item_id", "n", "at", F.slice("ws", F.col("at") + 1, F.col("to") - F.col("at")).alias("region")
-    )
+    low = F.greatest(F.lit(0), F.col("pos") + size - F.col("n"))
+    last = F.least(F.col("pos"), F.greatest(F.lit(0), F.size("ws") - F.col("n")))
+    return hit.select("id", "item_id", "n", low.alias("at"), last.alias("end"), "pos", "ws").select(
+        "id", "item_id", "n", "at", (F.col("pos") - F.col("at")).alias("anchor"), (F.col("end") - F.col("at")).alias("last"),
+        F.slice("ws", F.col("at") + 1, F.least(F.size("ws"), F.col("end") + F.col("n")) - F.col("at")).alias("region"),
+    )
 
 
 def contaminated(
@@ -99,9 +103,8 @@ def contaminated(
     """``(id, item_id, similarity, start, n_words)``: for each document and item the window most like the item, if similar enough.
 
     Words are lower-cased runs of letters and digits. A window has the item's number of words, or is
-    the whole of a shorter document; ``start`` is its first word, counted from zero. Windows stand where a
-    shared shingle aligns them, give or take as many words as an equal number of shingles may differ.
-    Similarity is the weighted Jaccard of the shingles. Items and texts without words, null among them,
+    the whole of a shorter document; ``start`` is its first word, counted from zero. Every such window is
+    looked at, also where the item's sentences stand in another order. Similarity is the weighted Jaccard of the shingles. Items and texts without words, null among them,
     match nothing. Rows of ``docs`` that repeat an id give one row per item, the best window of any; so
     do repeated items. Null ids are an id. Empty tables give an empty result; other columns are not read.
     """
@@ -114,20 +117,20 @@ def contaminated(
         items = _items(benchmark, item_col, item_text_col, size).select("*", F.size("hashes").alias("m")).select(
             "*",
             (F.floor(F.col("m") * (den - num) / den).cast("int") + 1).alias("keep"),
-            F.floor(F.col("m") * (den - num) / (den + num)).cast("int").alias("slack"),
         )
-        tops = items.select("item_id", "n", "slack", "hashes", F.slice(F.array_sort(F.array_distinct("hashes")), 1, F.col("keep")).alias("top"))
-        anchors = (
-            tops.select("item_id", "n", "slack", "top", F.posexplode("hashes").alias("offset", "h"))
-            .where(F.array_contains("top", F.col("h"))).select("h", "item_id", "n", "slack", "offset")
-        )
+        tops = items.select("item_id", "n", F.slice(F.array_sort(F.array_distinct("hashes")), 1, F.col("keep")).alias("top")).distinct()
+        anchors = tops.select("item_id", "n", F.explode("top").alias("h")).distinct()
+        of_item = tops.select("item_id", F.col("n").alias("top_n"), "top")
         parts = -(-anchors.count() // BROADCAST_ROWS)
         for part in range(parts):
             here = anchors if parts == 1 else anchors.where(F.pmod("h", F.lit(parts)) == part)
-            places = _scan(cut, F.broadcast(here), size).distinct()
+            places = _scan(cut, F.broadcast(here), size).join(_bounded(of_item), "item_id").where("n = top_n")
+            # a window with several anchors is cut at its first one
+            earlier = F.transform(F.slice("all", 1, F.col("anchor")), lambda h, i: F.when(F.array_contains("top", h), i).otherwise(-1))
+            starts = F.slice(F.sequence(F.lit(0), F.col("last")), F.coalesce(F.array_max(earlier), F.lit(-1)) + 2, F.col("last") + 1)
             windows = (
                 places.select("*", shingles(F.col("region"), size).alias("all"))
-                .select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("region") - F.col("n")))).alias("shift"))
+                .select("id", "item_id", "n", "at", "all", F.explode(starts).alias("shift"))
                 .select("id", "item_id", "n", (F.col("at") + F.col("shift")).alias("start"), F.slice("all", F.col("shift") + 1, F.col("n") - size + 1).alias("window"))
             )
             marked = items.select("item_id", F.col("n").alias("item_n"), "hashes", simhash(F.col("hashes")).alias("item_fp"))

@@ -435,6 +435,26 @@ def test_decontamination_is_brute_force(spark):
     assert decontaminate.contaminated(documents(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_reordered_passages_are_found(spark):
+    items = {1: prose(110, 60).split(), 2: prose(111, 100).split(), 3: prose(112, 45).split()}
+    swapped = {(i, cut): w[cut:] + w[:cut] for i, w in items.items() for cut in (10, len(w) // 2)}
+    docs = [(10 * i + k, " ".join([*prose(120 + i, 35).split(), *w, *prose(130 + i, 35).split()]), i, w) for k, ((i, _), w) in enumerate(swapped.items())]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.id, r.item_id): (round(r.similarity, 9), r.start) for r in decontaminate.contaminated(documents(spark, [d[:2] for d in docs]), bench).collect()}
+    want = {}
+    for d, text, _, _ in docs:
+        w = text.split()
+        for i, item in items.items():
+            n = len(item)
+            mine = Counter(tuple(item[k : k + 5]) for k in range(n - 4))
+            for s in range(len(w) - n + 1):
+                theirs = Counter(tuple(w[k : k + 5]) for k in range(s, s + n - 4))
+                sim = round(sum((mine & theirs).values()) / sum((mine | theirs).values()), 9)
+                if sim >= 0.8 and sim > want.get((d, i), (0,))[0]:
+                    want[d, i] = (sim, s)
+    assert got == want and len(want) == 6
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("tables")
