@@ -36,7 +36,10 @@ DOTTED = re.compile(r"[0-9][0-9.]*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-ANCHOR = re.compile(r"[0-9]+|@|[\[({]\s?at\s?[\])}]", re.IGNORECASE)
+#: A plain "at" counts only before a dot within a domain's length.
+ANCHOR = re.compile(r"[0-9]+|@|[\[({]\s?at\s?[\])}]|\sat\s(?=[^@]{1,40}?(?:\sdot\s|[\[({]\s?dot\s?[\])}]|\.[^\W\d_]))", re.IGNORECASE)
+#: Four groups of digits with nothing but signs between them.
+FOUR = re.compile(r"[0-9]+(?:[^\w]{1,7}[0-9]+){3}")
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_")
 AT = re.compile(r"[\[({]\s?at\s?[\])}]|\sat\s", re.IGNORECASE)
 DOT = re.compile(r"[\[({]\s?dot\s?[\])}]|\sdot\s", re.IGNORECASE)
@@ -115,18 +118,21 @@ def candidates(text: str) -> tuple[list[re.Match], list[tuple[int, int, int, tup
     out = []
     for i, first in enumerate(tokens):
         head = first[0]
-        numeric = head.isdigit() or head in "+("
+        numeric, dotted, groups = head.isdigit() or head in "+(", head.isdigit(), 0
         for j in range(i + 1, min(i + MAX_TOKENS, len(tokens)) + 1):
             last = tokens[j - 1]
             start, end = first.start(), last.end()
             span = text[start:end]
-            if numeric and j > i + 1 and not (last[0].isdigit() or last[0] in "+()-./"):
-                numeric = False
-            if numeric and last[0].isdigit() and len(span) - span.count(" ") < 40:
+            groups += last[0].isdigit()
+            if j > i + 1 and not last[0].isdigit():
+                numeric = numeric and last[0] in "+()-./"
+                dotted = dotted and last[0] in "()[]{}-./"
+            if (numeric or dotted) and last[0].isdigit() and len(span) - span.count(" ") < 40:
                 n = _count(span)
-                if n >= 7:
+                kinds = [1] * (dotted and groups == 4 and n >= 4) + [2, 3] * (numeric and n >= 7)
+                if kinds:
                     common = _numeric(text, span, start, end, n)
-                    out += [(i, j, kind, common) for kind in (1, 2, 3)]
+                    out += [(i, j, kind, common) for kind in kinds]
             if head[0].isalnum() and last[0].isalpha() and any(start < a and b < end for a, b in marks):
                 out.append((i, j, 0, _written(text, span, start, end)))
     return tokens, out
@@ -282,6 +288,7 @@ def training_windows(n: int = 360, seed: int = 7) -> list[tuple[str, list[Span]]
         lambda: f"{word()} at {word()}. {word()}",
         lambda: f"@{word()} {word()} {word()}.",
         lambda: " ".join(str(r.randint(1, 9999)) for _ in range(r.randint(3, 7))),
+        lambda: r.choice([" ", " - ", "] [", "][", ") (", ")("]).join(str(r.randint(0, r.choice([9, 255]))) for _ in range(4)),
         lambda: "-".join([digits(3), digits(1), digits(2), digits(6), digits(1)]),
     ]
     out = []
@@ -323,7 +330,7 @@ def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     found = []
     for low, high in areas:
         part = text[low:high]
-        if _count(part) < 7 and "@" not in part and not AT.search(part):
+        if _count(part) < 7 and "@" not in part and not AT.search(part) and not FOUR.search(part):
             continue
         tokens, segments = candidates(part)
         found += [(k, low + tokens[i].start(), low + tokens[j - 1].end()) for i, j, k in field.best(tokens, segments)]

@@ -197,6 +197,23 @@ def test_field_adds_and_leaves_alone():
         assert pii.spans_of(text, field) == []
 
 
+@pytest.mark.parametrize("kind, form", [(1, " . "), (1, "[.]"), (1, "(.)"), (0, " at ")])
+def test_field_finds_each_form(kind, form):
+    r = random.Random(form)
+    field, hits = pii.trained(), []
+    for i in range(100):
+        octets = [str(r.randint(0, 9 if i % 2 else 255)) for _ in range(4)]
+        body = form.join(octets) if kind else f"{prose(r.random(), 1, 'mnopqr')} at {prose(r.random(), 1, 'mnopqr')} dot {r.choice(['com', 'net', 'org'])}"
+        before, after = prose(r.random(), 9, "mnopqrstuvwxyz"), prose(r.random(), 9, "mnopqrstuvwxyz")
+        hits.append(pii.spans_of(f"{before} {body} {after}", field) == [(kind, len(before) + 1, len(before) + 1 + len(body), False)])
+    assert np.mean(hits) >= 0.9
+
+
+def test_field_leaves_lists_alone():
+    for text in ("see [1] [2] [3] [4] there", "as in [1][2][3][4].", "(1) (2) (3) (4) done", "take 1 2 3 4 of them", "levels 10 - 20 - 30 - 40 here", "we met at noon. Then at home.org news"):
+        assert pii.spans_of(text, pii.trained()) == [], text
+
+
 def test_best_segmentation_is_exhaustive():
     field = pii.trained()
 
