@@ -1,25 +1,29 @@
 """Language-model scoring by a weighted backoff automaton (operator 4).
 
-Counting, over all training texts: documents are dealt to blocks by a hash of their key; each block
-counts its words and sends ``(word, block, count)``; one aggregation gives every word its count in the
-corpus and the list of blocks that hold it. Words of a relative frequency of at least ``history_rate``
-may be histories (there are at most ``1 / history_rate`` of them, at any size of corpus); pairs of such
-words of a relative frequency of at least ``arc_rate`` become arcs, of which there are at most
-``1 / arc_rate``, so the automaton has a proven size and is sent to every task. Everything else backs
-off: a state's failure arc carries the mass that discounting freed, and leads to the root, whose arcs
-are all words of the corpus. Those are not sent to every task: the word counts go back to the blocks
-that hold the words, and meet the documents there.
+States are the root, the words and the pairs of words that training texts hold. The root has an arc for every word; a
+word state one for each word that follows it somewhere, a pair state likewise. An arc's probability is
+smoothed by the next shorter state's, ``(count + weight * shorter) / (count of the state + weight)``, and a state's
+failure arc carries what is left for all other words, ``weight / (count of the state + weight)``; so the
+probabilities out of a state sum to one. A text is walked from left to right: each word takes the arc of the longest
+state that has one, after the failure arcs of longer ones.
+
+All words, pairs and triples of the corpus are counted, none is cut off by a threshold, and nothing of that is sent to
+every task. Texts lie in blocks of bounded size. Each block sends its distinct n-grams as sorted 64-bit hashes,
+cut into ranges; one task a range adds up the counts of all blocks and answers each block in the
+order it asked in, so an n-gram costs one entry a block however often it stands. Triples are asked for
+only where both of their pairs stand twice in all texts: any other triple stands where its rare pair does, and nowhere
+else. Each block then walks its texts through that part of the automaton that they can reach.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +31,13 @@ from plumbline.llm.shared import binaries, fold, shuffle_partitions, small_batch
 
 #: The token after a text's last word. No word can hold a newline.
 END = b"\n"
-#: Share of tokens from which a word can be a history.
-HISTORY_RATE = 5e-5
-#: Share of tokens from which a pair of words has an arc of its own.
-ARC_RATE = 1e-6
-#: Absolute discount of a pair's count.
-DISCOUNT = 0.5
-#: Bytes of text that a block holds on average.
-BLOCK_BYTES = 24 << 20
-#: Pairs that a task counts before it sends them on.
-PAIRS = 1 << 22
+#: Weights of the shorter state in an arc of a word state and of a pair state.
+WORD_WEIGHT, PAIR_WEIGHT = 400.0, 4.0
+#: Least and largest bytes of text in a block; a longer text is a block of its own.
+BLOCK_BYTES = (1 << 20, 16 << 20)
+#: Bytes of text that are compressed together.
+CHUNK_BYTES = 1 << 20
+SEED = 42
 
 
 def words(text: bytes) -> list[bytes]:
@@ -46,75 +47,189 @@ def words(text: bytes) -> list[bytes]:
     return found
 
 
-@dataclass
-class Automaton:
-    """States are the root and one for each history that has arcs; all other words lead to the root.
+END_HASH = np.uint64(xxhash.xxh64_intdigest(END, SEED))
 
-    codes: sorted ``history * len(histories) + word`` of the arcs; arcs: their log10 probabilities;
-    failure: log10 weight of each history's failure arc, 0 where the history has no state.
-    """
 
-    histories: list[bytes]
-    codes: np.ndarray
-    arcs: np.ndarray
-    failure: np.ndarray
-    total: int
-    distinct: int
-
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of words of these counts at the root."""
-        return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
-
-    def walk(self, ids: np.ndarray, root: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of every token, left to right.
-
-        ids: each token's number among the histories, or -1; root: its log10 probability at the root;
-        first: where a text starts. A text starts in the state of the end token. The state after a token
-        depends on that token alone, so all steps of the walk are taken at once.
-        """
-        n = len(self.histories)
-        state = np.empty_like(ids)
-        state[1:] = ids[:-1]
-        state[first] = self.histories.index(END) if END in self.histories else -1
-        failure = np.append(self.failure, 0.0)  # state -1, the root, fails to itself at no cost
-        out = root + failure[state]
-        known = np.flatnonzero((state >= 0) & (ids >= 0))
-        code = state[known].astype(np.int64) * n + ids[known]
-        at = np.searchsorted(self.codes, code)
-        hit = at < len(self.codes)
-        hit[hit] = self.codes[at[hit]] == code[hit]
-        out[known[hit]] = self.arcs[at[hit]]
-        return out
-
-
-def automaton(histories: dict[bytes, int], pairs: list[tuple[int, int, int]], total: int, distinct: int, discount: float = DISCOUNT) -> Automaton:
-    """From the histories' counts, and ``(history, word, count)`` of the pairs that get arcs (numbers in the dict's order).
-
-    An arc interpolates: its discounted share plus the failure weight times the root's probability, so
-    that the probabilities out of a state sum to one.
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair of hashes, order told apart. Of n n-grams about n * n / 2 ** 65 pairs share one."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Tokens:
+    """The tokens of a block's texts: hashes of words and pairs, and where texts start."""
+
+    def __init__(self, texts: Iterator[bytes], learn: np.ndarray):
+        number: dict[bytes, int] = {}
+        ids, sizes = [], []
+        for text in texts:
+            found = words(text)
+            ids.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
+            sizes.append(len(found))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, number, repeat(SEED)), np.uint64, len(number))
+        self.word = hashes[np.concatenate(ids)] if ids else np.empty(0, np.uint64)
+        self.sizes = np.array(sizes, np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.learn = np.repeat(learn, self.sizes)
+        before = np.empty_like(self.word)
+        before[1:] = self.word[:-1]
+        before[self.first] = END_HASH
+        self.pair = paired(before, self.word)
+        self.later = np.ones(len(self.word), bool)  # tokens that have a pair before them
+        self.later[self.first] = False
+
+    def triples(self, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the tokens whose triple is to be counted, and those triples. again: whether a token's pair stands twice."""
+        at = np.flatnonzero(self.later[1:] & again[1:] & again[:-1]) + 1
+        return at, paired(self.pair[at - 1], self.word[at])
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Eight-byte numbers, byte by byte: of sorted or small numbers most bytes are alike, and compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+ASKED = "part int, block long, length int, keys binary, learnt binary, everywhere binary"
+ANSWERED = "block long, length int, part int, learnt binary, again binary, total long, distinct long"
+
+
+def _asked(block: int, length: int, keys: np.ndarray, learnt: np.ndarray, everywhere: np.ndarray, parts: int) -> Iterator[tuple]:
+    """Rows of ASKED: the block's n-grams of a length by range of their hashes."""
+    bounds = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+    cuts = np.r_[0, np.searchsorted(keys, bounds), len(keys)]
+    for p in np.flatnonzero(cuts[1:] > cuts[:-1]):
+        s = slice(cuts[p], cuts[p + 1])
+        yield int(p), block, length, packed(keys[s]), packed(learnt[s]), packed(everywhere[s])
+
+
+def _counted(values: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, each value's place among them, and how often they stand in training texts and in all."""
+    keys, place = np.unique(values, return_inverse=True)
+    return keys, place, np.bincount(place, learn, len(keys)).astype(np.int64), np.bincount(place, minlength=len(keys))
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+_ASKED = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("length", pa.int32()), ("keys", pa.binary()), ("learnt", pa.binary()), ("everywhere", pa.binary())])
+_ANSWERED = pa.schema(
+    [("block", pa.int64()), ("length", pa.int32()), ("part", pa.int32()), ("learnt", pa.binary()), ("again", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())]
+)
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """Counts of one range's n-grams over all blocks, in the order of each block's question; block -1 has the range's sums."""
+    out = []
+    lengths = asked.column("length").to_numpy()
+    for length in np.unique(lengths).tolist():
+        rows = asked.filter(pa.array(lengths == length))
+        keys = [unpacked(x, np.uint64) for x in rows.column("keys").to_pylist()]
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        learnt = _summed(place, rows.column("learnt"))
+        again = _summed(place, rows.column("everywhere")) > 1
+        at = 0
+        for block, part, size in zip(rows.column("block").to_pylist(), rows.column("part").to_pylist(), map(len, keys), strict=True):
+            here = place[at : at + size]
+            out.append((block, length, part, packed(learnt[here]), again[here].tobytes(), 0, 0))
+            at += size
+        out.append((-1, length, part, b"", b"", int(learnt.sum()), int((learnt > 0).sum())))
+    return _table(out, _ANSWERED)
+
+
+def _summed(place: np.ndarray, column: pa.ChunkedArray) -> np.ndarray:
+    n = np.concatenate([unpacked(x, np.int64) for x in column.to_pylist()])
+    sums = np.zeros(int(place.max()) + 1, np.int64)
+    np.add.at(sums, place, n)
+    return sums
+
+
+def _read(docs: pa.Table) -> Tokens:
+    def texts() -> Iterator[bytes]:
+        for data, ends in zip(docs.column("texts").to_pylist(), docs.column("ends").to_pylist(), strict=True):
+            whole, at = (pa.decompress(data, ends[-1], codec="zstd", asbytes=True) if ends[-1] else b""), 0
+            for end in ends:
+                yield whole[at:end]
+                at = end
+
+    return Tokens(texts(), np.array([x for c in docs.column("training").to_pylist() for x in c], bool))
+
+
+def _answers(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts in training texts, and whether it stands twice, of the block's distinct n-grams of a length, in their order."""
+    rows = rows.filter(pa.array(rows.column("length").to_numpy() == length)).sort_by("part")
+    learnt = [unpacked(x, np.int64) for x in rows.column("learnt").to_pylist()]
+    again = b"".join(rows.column("again").to_pylist())
+    return (np.concatenate(learnt) if learnt else np.empty(0, np.int64)), np.frombuffer(again, bool)
+
+
+def walk(tokens: Tokens, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, total: int, distinct: int, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of every token at the root, and along the automaton, left to right.
+
+    c1, c2, c3: counts of each token's word, of the pair and the triple that it ends; texts: the number of training
+    texts, the count of the state in which a text starts. No step depends on more than the two tokens before it, so all are
+    taken at once.
     """
-    names, n = list(histories), len(histories)
-    counts = np.array(list(histories.values()), np.float64)
-    if not pairs:
-        return Automaton(names, np.empty(0, np.int64), np.empty(0), np.zeros(n), total, distinct)
-    h, w, c = (np.array(x) for x in zip(*pairs, strict=True))
-    share = np.maximum(c - discount, 0) / counts[h]
-    left = np.maximum(1 - np.bincount(h, share, n), 1e-12)
-    root = (counts + 0.5) / (total + 0.5 * (distinct + 1))
-    codes = h.astype(np.int64) * n + w
-    order = np.argsort(codes)
-    return Automaton(names, codes[order], np.log10(share + left[h] * root[w])[order], np.log10(left), total, distinct)
-
-
-def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", history_rate: float = HISTORY_RATE, arc_rate: float = ARC_RATE) -> DataFrame:
+    root = (c1 + 0.5) / (total + 0.5 * (distinct + 1))
+    of_word = np.empty(len(c1))  # counts of the states before each token
+    of_word[1:] = c1[:-1]
+    of_word[tokens.first] = texts
+    of_pair = np.empty(len(c1))
+    of_pair[1:] = c2[:-1]
+    of_pair[tokens.first] = 0
+    base = np.log10(root)
+    arc = (c2 + WORD_WEIGHT * root) / (of_word + WORD_WEIGHT)
+    out = np.where(c2 > 0, np.log10(arc), np.log10(WORD_WEIGHT / (of_word + WORD_WEIGHT)) + base)
+    arc = (c3 + PAIR_WEIGHT * 10**out) / (of_pair + PAIR_WEIGHT)
+    return base, np.where(c3 > 0, np.log10(arc), np.log10(PAIR_WEIGHT / (of_pair + PAIR_WEIGHT)) + out)
+
+
+def _blocks(narrow: DataFrame, block_bytes: int) -> DataFrame:
+    """``(block, ids, training, ends, texts)``: texts in compressed chunks, chunks in blocks of about ``block_bytes``."""
+    kind = narrow.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, sizes, of_block = TaskContext.get().partitionId() << 32, [], 0, 0
+
+        def chunk() -> pa.RecordBatch:
+            ids, learn, texts = zip(*held, strict=True)
+            whole = b"".join(texts)
+            columns = [[block], [[x.as_py() for x in ids]], [list(learn)], [np.cumsum([len(x) for x in texts])], [pa.compress(whole, codec="zstd", asbytes=True) if whole else b""]]
+            types = [pa.int64(), pa.list_(ids[0].type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["block", "ids", "training", "ends", "texts"])
+
+        for b in batches:
+            for i, learn, text in zip(b.column(0), b.column(1).to_pylist(), binaries(b.column(2)), strict=True):
+                held.append((i, learn, text))
+                sizes += len(text) + 1
+                of_block += len(text) + 1
+                if sizes >= CHUNK_BYTES or of_block >= block_bytes:
+                    yield chunk()
+                    held, sizes = [], 0
+                    if of_block >= block_bytes:
+                        block, of_block = block + 1, 0
+        if held:
+            yield chunk()
+
+    return narrow.mapInArrow(run, f"block long, ids array<{kind}>, training array<boolean>, ends array<long>, texts binary")
+
+
+def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", block_range: tuple[int, int] = BLOCK_BYTES) -> DataFrame:
     """Score every whole text under a model of the texts for which the condition ``training`` holds.
 
     Returns ``(id, training, n_tokens, n_known, train_tokens, base_score, score)``: tokens with the end
     token, those that training texts hold, tokens of all training texts, log10 probability by smoothed
     word counts alone, and that of the automaton. One row per row of ``docs``. A null or empty text is its
-    end token alone. A null ``training`` is false. Without training texts every word has probability
-    one by the formula. Repeated rows count and are scored as often as they stand. An empty table gives
-    an empty result; other columns are not read.
+    end token alone; a text of any length is one row of one block. A null ``training`` is false. Without training texts
+    every word has probability one by the formula. Repeated rows count and are scored as often as they stand. An empty table
+    gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -123,101 +238,55 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
         F.col(id_col).alias("id"), F.coalesce(training, F.lit(False)).alias("training"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(shuffle_partitions(spark), -(-size // BLOCK_BYTES))
-    dealt = narrow.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(blocks)).cast("int")).repartition(int(blocks), "block")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_block: dict[int, tuple[Counter, Counter]] = {}
-        for b in batches:
-            for text, learn, block in zip(binaries(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                by_block.setdefault(block, (Counter(), Counter()))[bool(learn)].update(words(text))
-        for block, (held, learnt) in by_block.items():
-            found = list(learnt.keys() | held.keys())
-            for at in range(0, len(found), 1 << 17):
-                part = found[at : at + (1 << 17)]
-                n = np.fromiter(map(learnt.get, part, repeat(0)), np.int64, len(part))
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(np.full(len(part), block, np.int32)), pa.array(n)], names=["word", "block", "n"])
-
-    counted = dealt.select("text", "training", "block").mapInArrow(count, "word binary, block int, n long")
-    vocabulary = staged(counted.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")), "vocabulary")
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    frequent = vocabulary.where((F.col("n") > 0) & (F.col("n") >= history_rate * total)).select("word", "n")
-    histories = {bytes(w): n for w, n in sorted((bytes(w), n) for w, n in frequent.collect())}  # at most 1 / history_rate
-    model = automaton(histories, _pairs(narrow, list(histories), arc_rate * total), total, distinct)
-
-    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        number = {w: i for i, w in enumerate(right.column("word").to_pylist())}
-        counts = right.column("n").to_numpy().astype(np.float64)
-        places = np.fromiter((number.get(w, -1) for w in model.histories), np.int64, len(model.histories))
-        history = np.full(len(counts), -1, np.int32)
-        history[places[places >= 0]] = np.flatnonzero(places >= 0)
-        root_of = model.root(counts)
-        texts = left.column("text").combine_chunks() if left.num_rows else left.column("text")
-        sums = np.zeros((left.num_rows, 2))
-        ns = np.zeros((left.num_rows, 2), np.int64)
-        rows, held, tokens = [], [], 0
-
-        def flush() -> None:
-            ids = np.fromiter(map(number.__getitem__, chain.from_iterable(held)), np.int64, tokens)
-            first = np.cumsum([0, *map(len, held[:-1])])
-            root, at = root_of[ids], np.array(rows)
-            sums[at, 0] = np.add.reduceat(root, first)
-            sums[at, 1] = np.add.reduceat(model.walk(history[ids], root, first), first)
-            ns[at, 0] = list(map(len, held))
-            ns[at, 1] = np.add.reduceat((counts[ids] > 0).astype(np.int64), first)
-
-        for i, text in enumerate(binaries(texts)):
-            rows.append(i)
-            held.append(words(text))
-            tokens += len(held[-1])
-            if tokens > 1 << 19:
-                flush()
-                rows, held, tokens = [], [], 0
-        if rows:
-            flush()
-        values = [left.column("id").combine_chunks(), left.column("training").combine_chunks(), ns[:, 0], ns[:, 1], np.full(left.num_rows, model.total, np.int64), sums[:, 0], sums[:, 1]]
+    wide = shuffle_partitions(spark)
+    if narrow.rdd.getNumPartitions() * 4 <= wide:  # a table in few files
+        narrow = narrow.repartition(wide)
+    block_bytes = min(max(size // (2 * wide), block_range[0]), block_range[1])
+    blocks = staged(_blocks(narrow, block_bytes), "blocks")
+    parts = max(wide, size // (2 * BLOCK_BYTES[1]))
+
+    def ask(docs: pa.Table) -> pa.Table:
+        tokens, block = _read(docs), docs.column("block")[0].as_py()
+        rows = []
+        for length, values in ((1, tokens.word), (2, tokens.pair)):
+            keys, _, learnt, everywhere = _counted(values, tokens.learn)
+            rows += _asked(block, length, keys, learnt, everywhere, parts)
+        return _table(rows, _ASKED)
+
+    def ask_triples(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        tokens, block = _read(docs), docs.column("block")[0].as_py()
+        at, values = tokens.triples(_answers(answers, 2)[1][np.unique(tokens.pair, return_inverse=True)[1]])
+        keys, _, learnt, everywhere = _counted(values, tokens.learn[at])
+        return _table(list(_asked(block, 3, keys, learnt, everywhere, parts)), _ASKED)
+
+    answered = staged(blocks.groupBy("block").applyInArrow(ask, ASKED).groupBy("part").applyInArrow(_answer, ANSWERED), "counts")
+    of_blocks = answered.where("block >= 0")
+    total, distinct = answered.where("block < 0 and length = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    texts = blocks.agg(F.coalesce(F.sum(F.size(F.filter("training", lambda x: x))), F.lit(0))).first()[0]
+    asked = blocks.groupBy("block").cogroup(of_blocks.where("length = 2").groupBy("block")).applyInArrow(ask_triples, ASKED)
+    of_triples = staged(asked.groupBy("part").applyInArrow(_answer, ANSWERED), "triples").where("block >= 0")
+
+    def scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        tokens = _read(docs)
+        c1 = _answers(answers, 1)[0][np.unique(tokens.word, return_inverse=True)[1]]
+        learnt, again = _answers(answers, 2)
+        place = np.unique(tokens.pair, return_inverse=True)[1]
+        c2 = learnt[place]
+        c3 = (tokens.learn & tokens.later).astype(np.int64)  # a triple of a pair that stands once stands once
+        at, values = tokens.triples(again[place])
+        c3[at] = _answers(answers, 3)[0][np.unique(values, return_inverse=True)[1]]
+        base, along = walk(tokens, c1, c2, c3, total, distinct, texts)
+        n, first = len(tokens.sizes), tokens.first
+        ids = pa.concat_arrays([x.flatten() for x in docs.column("ids").chunks])
+        learn = [x for c in docs.column("training").to_pylist() for x in c]
+        values = [ids, learn, tokens.sizes, np.add.reduceat((c1 > 0).astype(np.int64), first), np.full(n, total, np.int64), np.add.reduceat(base, first), np.add.reduceat(along, first)]
         return pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in values], names=names)
 
     names = ["id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    back = vocabulary.select("word", "n", F.explode("blocks").alias("block"))
-    both = dealt.groupBy("block").cogroup(back.groupBy("block"))
+    both = blocks.groupBy("block").cogroup(of_blocks.unionByName(of_triples).groupBy("block"))
     return both.applyInArrow(scored, f"id {key}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _pairs(narrow: DataFrame, histories: list[bytes], least: float) -> list[tuple[int, int, int]]:
-    """``(history, word, count)`` of the pairs of frequent words that training texts hold at least ``least`` times."""
-    n = len(histories)
-    number = {w: i for i, w in enumerate(histories)}
-    start = number.get(END, -1)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = number.get
-        held: list[np.ndarray] = []
-        size = 0
-
-        def combined() -> pa.RecordBatch:
-            code, times = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(times)], names=["code", "n"])
-
-        for b in batches:
-            for text in binaries(b.column(0)):
-                found = words(text)
-                ids = np.fromiter(chain((start,), map(get, found, repeat(-1))), np.int64, len(found) + 1)
-                both = (ids[:-1] >= 0) & (ids[1:] >= 0)
-                held.append(ids[:-1][both] * n + ids[1:][both])
-                size += len(held[-1])
-            if size > PAIRS:
-                yield combined()
-                held, size = [], 0
-        if held:
-            yield combined()
-
-    if not n:
-        return []
-    counted = narrow.where("training").select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    return [(code // n, code % n, times) for code, times in counted.where(F.col("n") >= least).collect()]  # at most 1 / arc_rate
-
-
 def documents_scores(docs: DataFrame) -> DataFrame:
     found = score(docs, fold("doc_id", 5) != 1)
     return found.select(F.col("id").alias("doc_id"), (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -141,28 +141,31 @@ def test_components_of_a_chain(spark):
 
 
 def test_language_is_brute_force(spark):
-    texts = [(i, prose(i, 30, "abc")) for i in range(20)] + ODD
+    texts = [(i, prose(i, 30, "abc")) for i in range(20)] + [(30, prose(3, 30, "abc")), (31, prose(4, 30, "abc")), (32, "rare pair once"), (33, "rare pair once more")] + ODD
     docs = documents(spark, texts)
-    found = language.score(docs, shared.fold("doc_id", 5) != 1, history_rate=1e-2, arc_rate=1e-3).collect()
-    learnt = [words(x) + ["\n"] for i, x in texts if zlib.crc32(str("" if i is None else i).encode()) % 5 != 1]
+    learns = [zlib.crc32(str("" if i is None else i).encode()) % 5 != 1 for i, _ in texts]
+    learnt = [words(x) + ["\n"] for (_, x), learn in zip(texts, learns, strict=True) if learn]
     c = Counter(w for x in learnt for w in x)
     n, v = sum(c.values()), len(c)
-    p = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
-    frequent = {w for w in c if c[w] >= 1e-2 * n}
-    pairs = Counter((a, b) for x in learnt for a, b in zip(["\n", *x], x, strict=False) if a in frequent and b in frequent)
-    pairs = {k: m for k, m in pairs.items() if m >= 1e-3 * n}
-    left = {h: 1 - sum(m - 0.5 for (a, _), m in pairs.items() if a == h) / c[h] for h in {a for a, _ in pairs}}
-
-    def best(w, h):
-        return (pairs[h, w] - 0.5) / c[h] + left[h] * p(w) if (h, w) in pairs else left.get(h, 1.0) * p(w)
-
-    assert all(abs(sum(best(w, h) for w in c) + left[h] * 0.5 / (n + 0.5 * (v + 1)) - 1) < 1e-9 for h in left)
+    pairs = Counter((a, b) for x in learnt for a, b in zip(["\n", *x], x, strict=False))
+    triples = Counter((a, b, d) for x in learnt for a, b, d in zip(["\n", *x], x, x[1:], strict=False))
+    root = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    k2, k3 = language.WORD_WEIGHT, language.PAIR_WEIGHT
+    word = lambda b, w: (pairs[b, w] + k2 * root(w)) / (c[b] + k2)
+    pair = lambda a, b, w: (triples[a, b, w] + k3 * word(b, w)) / (pairs[a, b] + k3)
+    unseen = 0.5 / (n + 0.5 * (v + 1))
+    for a, b in list(pairs)[::17]:
+        if b != "\n":
+            rest = k3 / (pairs[a, b] + k3) * k2 / (c[b] + k2) * unseen
+            assert abs(sum(pair(a, b, w) for w in c) + rest - 1) < 1e-9
     want = Counter()
     for i, x in texts:
         w = words(x) + ["\n"]
-        score = sum(math.log10(best(b, a)) for a, b in zip(["\n", *w], w, strict=False))
-        want[i, len(w), sum(c[y] > 0 for y in w), n, round(sum(math.log10(p(y)) for y in w), 6), round(score, 6)] += 1
-    assert Counter((r.id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in found) == want
+        score = math.log10(word("\n", w[0])) + sum(math.log10(pair(a, b, d)) for a, b, d in zip(["\n", *w], w, w[1:], strict=False))
+        want[i, len(w), sum(c[y] > 0 for y in w), n, round(sum(math.log10(root(y)) for y in w), 6), round(score, 6)] += 1
+    for sizes in (language.BLOCK_BYTES, (1, 300)):  # one block, and many
+        found = language.score(docs, shared.fold("doc_id", 5) != 1, block_range=sizes).collect()
+        assert Counter((r.id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in found) == want
     assert language.score(docs.limit(0), F.lit(True)).count() == 0
     assert [r.score for r in language.score(docs.where("doc_id = 4"), F.lit(False)).collect()] == [0.0, 0.0]  # two rows have this id
 
