@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Documents can hold a megabyte each, so the default of 10,000 is too many.
 BATCH_ROWS = 512
+#: A key that more than this fraction of all rows have is joined without moving them.
+HOT = 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,6 +42,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """``left`` joined to ``right``, which has each ``key`` once; ``sizes(key, n)`` tells how many rows of ``left`` have it.
+
+    Keys that hold a HOT-th of all rows are at most HOT; their rows of ``right`` go to every task and those of ``left``
+    stay where they are. All other rows meet by shuffle.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = staged(sizes.where(F.col("n") * HOT > total).where(F.col("n") > 1).select(key), "hot")
+    if hot.isEmpty():
+        return left.join(right, key)
+    few = F.broadcast(hot)
+    cold = left.join(few, key, "left_anti").join(right.join(few, key, "left_anti"), key)
+    return cold.unionByName(left.join(F.broadcast(right.join(few, key, "left_semi")), key))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole documents within memory; a value that the user set stays."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":

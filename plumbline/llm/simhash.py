@@ -1,18 +1,19 @@
 """SimHash near-duplicates by a Gray-order hierarchical index (operator 7).
 
-Plan: one pass over the texts gives 64-bit fingerprints; equal fingerprints are one node from then on.
-A pair that differs in at most three bits agrees on two whole blocks out of five, so the ten masks
-of two blocks are the top nodes of the index: each fingerprint goes under ten masked patterns. Under
-one pattern the fingerprints are sorted by Gray rank, neighbours are factored into nodes that keep the
-bits all below share, and a search adds up differences from node to node and leaves a whole group as
-soon as they exceed the radius. Each pattern yields a forest of links, never all pairs; the forests
-are merged into connected components by distributed contraction.
+One pass over the texts gives 64-bit fingerprints; equal fingerprints are one node from then on. A pair within the
+radius agrees on a whole block out of ``radius + 1``; so fingerprints are dealt out once by each block, values of a
+block together, and every bucket that this makes is searched through an index of its own. There, fingerprints are sorted
+by the Gray rank of the block and then of the rest; neighbours are factored into nodes that keep the bits
+that all below share; and a search adds up differences from node to node and leaves a whole group as soon as they
+exceed the radius, touch the block, or the group hangs together with the one who asks already. Each bucket
+yields a forest of links, never all pairs; the forests are merged into connected components by distributed
+contraction.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,22 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.graph import components
-from plumbline.llm.shared import binaries, small_batches, staged
+from plumbline.llm.shared import binaries, joined, small_batches, staged
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
-#: Bits of the five blocks.
-BLOCKS = (13, 13, 13, 13, 12)
-#: Fingerprints of one pattern that a task searches at a time; larger groups are cut into chunks and
-#: each pair of chunks is searched, so that no link is lost.
+#: Fingerprints that a task searches at a time. A block's value that more share is dealt out again by the blocks of the
+#: other bits; what is larger even then is cut into chunks and each pair of chunks is searched, so that no link is lost.
 CHUNK = 8192
 #: Children of a node of the index, and members of its lowest nodes.
 FAN = 16
+#: Fingerprints that walk down the index together.
+BATCH = 128
 #: Shingles hashed at a time.
 STEP = 1 << 16
-#: Up to so many fingerprints the distances of all are computed at once.
-DIRECT = 96
+#: Values that are sent to every task; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -83,10 +84,14 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Fingerprints in Gray order under nodes of FAN children that keep the bits shared below them."""
+    """Fingerprints in Gray order under nodes of FAN children that keep the bits shared below them.
 
-    def __init__(self, codes: np.ndarray):
-        self.order = np.argsort(gray_rank(codes), kind="stable")
+    exact: bits in which what is found must agree with the one who asks; the order goes by them first.
+    """
+
+    def __init__(self, codes: np.ndarray, exact: int = 0):
+        self.exact = np.uint64(exact)
+        self.order = np.lexsort((gray_rank(codes), gray_rank(codes & self.exact)))
         self.codes = codes[self.order]
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # lowest first: (shared bits' mask, pattern)
         first, mask = self.codes, np.full(len(codes), ~np.uint64(0))
@@ -98,138 +103,133 @@ class GrayIndex:
             first = head
             self.levels.append((mask, first & mask))
 
-    def search(self, query: np.uint64, radius: int, alive: list[np.ndarray]) -> np.ndarray:
-        """Positions, in Gray order, of living fingerprints within the radius.
+    def spans(self, label: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The least and largest label below each node, level by level, the fingerprints' own first."""
+        found = [(label, label)]
+        for mask, _ in self.levels:
+            starts = np.arange(0, len(found[-1][0]), FAN)
+            found.append((np.minimum.reduceat(found[-1][0], starts), np.maximum.reduceat(found[-1][1], starts)))
+        return found
+
+    def search(self, asking: np.ndarray, radius: int, spans: list[tuple[np.ndarray, np.ndarray]], later: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Places ``(who asks, who is found)`` of other labels within the radius; ``later``: found after who asks only.
 
-        alive: the number of living fingerprints below each node, lowest level (the fingerprints) first.
         A child's shared bits include its parent's, so differences only add up on the way down.
         """
         top = len(self.levels)
-        at = np.flatnonzero(alive[top])
-        known = np.zeros(len(at), np.uint64)
-        gone = np.zeros(len(at), np.int64)
-        for level in range(top, 0, -1):
-            mask, pattern = self.levels[level - 1]
-            here = mask[at]
-            gone += np.bitwise_count((query ^ pattern[at]) & here & ~known)
-            stay = gone <= radius
-            at, known, gone = at[stay], here[stay], gone[stay]
-            below = len(alive[level - 1])
-            at = (at[:, None] * FAN + np.arange(FAN)).ravel()
-            known, gone = np.repeat(known, FAN), np.repeat(gone, FAN)
-            real = at < below
-            at, known, gone = at[real], known[real], gone[real]
-            living = alive[level - 1][at] > 0
-            at, known, gone = at[living], known[living], gone[living]
-        gone += np.bitwise_count((query ^ self.codes[at]) & ~known)
-        return at[gone <= radius]
-
-
-def link_forest(codes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each distinct code the smallest code that links of at most ``radius`` bits reach."""
-    n = len(codes)
-    if n <= DIRECT:
-        near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= radius
-        label = codes.copy()
+        width = len(spans[top][0])
+        who, at = np.repeat(asking, width), np.tile(np.arange(width), len(asking))
+        label = spans[0][0]
+        for level in range(top, -1, -1):
+            low, high = spans[level]
+            mine = label[who]
+            stay = (low[at] != mine) | (high[at] != mine)
+            if later:
+                stay &= (at + 1) * FAN**level > who + 1
+            who, at = who[stay], at[stay]
+            mask, pattern = self.levels[level - 1] if level else (None, self.codes)
+            differ = self.codes[who] ^ pattern[at]
+            if level:
+                differ &= mask[at]
+            stay = (np.bitwise_count(differ) <= radius) & ((differ & self.exact) == 0)
+            who, at = who[stay], at[stay]
+            if level:
+                who, at = np.repeat(who, FAN), (at[:, None] * FAN + np.arange(FAN)).ravel()
+                real = at < len(spans[level - 1][0])
+                who, at = who[real], at[real]
+        return who, at
+
+
+def link_forest(codes: np.ndarray, radius: int = RADIUS, exact: int = 0) -> np.ndarray:
+    """For each distinct code one that links of at most ``radius`` bits, none of them in ``exact``, reach: the same for all it reaches."""
+    index = GrayIndex(codes, exact)
+    label = np.arange(len(codes))
+    for start in range(0, len(codes), BATCH):
+        who, at = index.search(np.arange(start, min(start + BATCH, len(codes))), radius, index.spans(label), later=True)
         while True:
-            best = np.where(near, label[None, :], ~np.uint64(0)).min(1)
-            if np.array_equal(best, label):
-                return label
-            label = best
-    index = GrayIndex(codes)
-    alive = [np.ones(n, np.int32)]
-    for mask, _ in index.levels:
-        alive.append(np.add.reduceat(alive[-1], np.arange(0, len(alive[-1]), FAN)).astype(np.int32))
-        assert len(alive[-1]) == len(mask)
-    label = np.empty(n, np.uint64)
-    for seed in range(n):
-        if not alive[0][seed]:
-            continue
-        group, frontier = [], np.array([seed])
-        while len(frontier):
-            group.append(frontier)
-            at = frontier
-            for level in alive:
-                np.subtract.at(level, at, 1)
-                at = at // FAN
-            found = []
-            for x in frontier:
-                hits = index.search(index.codes[x], radius, alive)
-                if len(hits):
-                    found.append(hits)
-                    at = hits
-                    for level in alive:
-                        np.subtract.at(level, at, 1)
-                        at = at // FAN
-            frontier = np.concatenate(found) if found else np.array([], int)
-            at = frontier
-            for level in alive:  # they are taken out again as they enter the group
-                np.add.at(level, at, 1)
-                at = at // FAN
-        members = np.concatenate(group)
-        label[members] = index.codes[members].min()
-    out = np.empty(n, np.uint64)
-    out[index.order] = label
+            a, b = label[who], label[at]
+            if (a == b).all():
+                break
+            parent = np.arange(len(codes))
+            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            label = parent[label]
+    out = np.empty(len(codes), np.uint64)
+    out[index.order] = index.codes[label]
     return out
 
 
-def masks() -> list[int]:
-    """The ten masks of two blocks, as signed 64-bit numbers."""
-    blocks, at = [], 0
-    for bits in BLOCKS:
-        blocks.append(((1 << bits) - 1) << at)
-        at += bits
-    pairs = [a | b for a, b in combinations(blocks, 2)]
-    return [x - (1 << 64) if x >> 63 else x for x in pairs]
-
-
-def links(codes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """``(u, v)``: a forest of links between the distinct values of column ``fp``; v is the smaller one, unsigned."""
-    if radius > len(BLOCKS) - 2:
-        raise ValueError(f"two of {len(BLOCKS)} blocks agree only up to {len(BLOCKS) - 2} differing bits")
-    under = codes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks()])).alias("mask", "pattern"))
-    sizes = under.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where("n > 1")
-    groups = (
-        under.join(sizes, ["mask", "pattern"])
-        .withColumn("cuts", F.ceil(F.col("n") / chunk).cast("int"))
+def blocks(bits: list[int], count: int) -> list[int]:
+    """``count`` masks that share out the bits."""
+    return [sum(1 << b for b in part.tolist()) for part in np.array_split(bits, count)]
+
+
+def masks(radius: int) -> dict[tuple[int, int], int]:
+    """The bits of block b by (b, -1), and of b and the s-th block of the others by (b, s)."""
+    found = {}
+    for b, mask in enumerate(blocks(list(range(64)), radius + 1)):
+        found[b, -1] = mask
+        for s, more in enumerate(blocks([x for x in range(64) if not mask >> x & 1], radius + 1)):
+            found[b, s] = mask | more
+    return found
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _buckets(codes: DataFrame, radius: int, chunk: int) -> DataFrame:
+    """``(block, sub, bucket, a, c, fp)``: what is searched together; sub is -1 unless a block's value was dealt out again."""
+    of = masks(radius)
+    under = codes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(of[b, -1]))) for b in range(radius + 1)])).alias("block", "value"))
+    buckets = max(1, 2 * codes.count() // chunk)
+    hot = staged(under.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > chunk // 2).select("block", "value"), "hot")
+    few = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    nothing = F.lit(0)
+    cold = under.join(few, ["block", "value"], "left_anti").select("block", F.lit(-1).alias("sub"), F.pmod(F.xxhash64("value"), F.lit(buckets)).alias("bucket"), nothing.alias("a"), nothing.alias("c"), "fp")
+    if hot.isEmpty():
+        return cold
+    of_block = [F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(of[b, s]))) for s in range(radius + 1)]) for b in range(radius + 1)]
+    again = under.join(few, ["block", "value"], "left_semi").select("fp", "block", F.posexplode(F.element_at(F.array(*of_block), F.col("block") + 1)).alias("sub", "bucket"))
+    sizes = again.groupBy("block", "sub", "bucket").agg(F.ceil(F.count("*") / chunk).cast("int").alias("cuts"))
+    cut = (
+        again.join(sizes, ["block", "sub", "bucket"])
         .withColumn("cut", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        .select("mask", "pattern", F.least("cut", "other").alias("a"), F.greatest("cut", "other").alias("b"), "fp")
     )
-    key = ["mask", "pattern", "a", "b"]
+    return cold.unionByName(cut.select("block", "sub", "bucket", F.least("cut", "other").alias("a"), F.greatest("cut", "other").alias("c"), "fp"))
+
+
+def links(codes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """``(u, v)``: a forest of links between the distinct values of column ``fp``."""
+    key = ["block", "sub", "bucket", "a", "c"]
+    of = masks(radius)
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(group: np.ndarray, us: list, vs: list) -> None:
-            label = link_forest(group, radius)
+        def out(group: np.ndarray, exact: int) -> pa.RecordBatch:
+            label = link_forest(group, radius, exact)
             moved = label != group
-            us.append(group[moved])
-            vs.append(label[moved])
+            return pa.RecordBatch.from_arrays([pa.array(x[moved].view(np.int64)) for x in (group, label)], names=["u", "v"])
 
         held: list[np.ndarray] = []  # the last group may go on in the next batch
         last = None
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(4)], 1)
-            fps = b.column(4).to_numpy().view(np.uint64)
+            keys = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(5)], 1)
+            fps = b.column(5).to_numpy().view(np.uint64)
             starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
-            ends = np.r_[starts[1:], len(fps)]
-            us: list[np.ndarray] = []
-            vs: list[np.ndarray] = []
-            for s, e in zip(starts, ends, strict=True):
+            for s, e in zip(starts, np.r_[starts[1:], len(fps)], strict=True):
                 if last is not None and not np.array_equal(keys[s], last):
-                    out(np.concatenate(held), us, vs)
+                    yield out(np.concatenate(held), of[last[0], last[1]])
                     held = []
                 held.append(fps[s:e])
                 last = keys[s]
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)], names=["u", "v"])
         if held:
-            us, vs = [], []
-            out(np.concatenate(held), us, vs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)], names=["u", "v"])
+            yield out(np.concatenate(held), of[last[0], last[1]])
 
-    dealt = groups.repartition(*key).sortWithinPartitions(*key)
+    dealt = _buckets(codes, radius, chunk).repartition(*key).sortWithinPartitions(*key)
     return dealt.mapInArrow(forest, "u long, v long").distinct()
 
 
@@ -238,34 +238,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Fingerprints of at most ``radius`` differing bits are linked; ``component_id`` is the smallest id
     that links reach, the document's own included. Null and empty texts have fingerprint zero and are
-    linked like any other. A null id is no candidate for the smallest; a component of such ids alone
-    has a null ``component_id``. Repeated rows stay. An empty table gives an empty result; other
+    linked like any other; a text of any length counts as a whole. A null id is no candidate for the smallest; a component
+    of such ids alone has a null ``component_id``. Repeated rows stay. An empty table gives an empty result; other
     columns of ``docs`` are not read.
     """
     fps = staged(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    edges = staged(links(nodes.select("fp"), radius), "links")
-    roots = components(edges)
-    by_root = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = by_root.join(least, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest id; rows without an id stay.
-
-    Rows that repeat an id within a component count as one document, of which one row stays.
-    """
-    return one_of_each(docs, near_duplicates(docs, id_col, text_col, radius), id_col)
-
-
-def one_of_each(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` with the rows whose id is the ``component_id`` of ``found(id, component_id)``, one row an id, and those without an id."""
-    found = staged(found, "components")
-    kept = found.where("id = component_id or id is null")
-    rows, ids = found.agg(F.count("id"), F.count_distinct("id")).first()
-    stay = docs.join(kept.where("id is not null").select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi").select(docs.columns)
-    if rows != ids:
-        stay = stay.dropDuplicates([id_col])
-    return stay.unionByName(docs.where(F.col(id_col).isNull()))
+    nodes = staged(fps.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("least"), F.count("*").alias("n")), "nodes")
+    edges = staged(links(nodes.select(F.col("node").alias("fp")), radius), "links")
+    of_node = least_reached(nodes, edges)
+    return joined(fps.withColumnRenamed("fp", "node"), of_node, "node", nodes).select("id", F.col("node").alias("fp"), F.col("least").alias("component_id"))
+
+
+def least_reached(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(node, least)``: for each row of ``nodes(node, least, n)`` the smallest ``least`` that ``edges(u, v)`` reach."""
+    linked = staged(components(edges).join(nodes, "node"), "linked")
+    smallest = staged(linked.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("n")), "smallest")
+    of_linked = joined(linked.select("node", "root"), smallest.select("root", "least"), "root", smallest).select("node", "least")
+    return nodes.select("node", "least").join(linked.select("node"), "node", "left_anti").unionByName(of_linked)

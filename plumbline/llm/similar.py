@@ -2,7 +2,8 @@
 
 Two sets whose Jaccard similarity is at least SIMILAR share one of their first ``n // 5 + 1`` shingles in
 any order that holds for all sets; common shingles come last in it, so few sets meet in one. Sets that meet are
-candidates if their sizes and 128-bit SimHashes are near enough. Each set is first compared with its
+candidates if their sizes and 128-bit SimHashes are near enough; in a large group they are found by the Gray-order
+index over the SimHashes' first half. Each set is first compared with its
 nearest candidate of a smaller key, so that a group of copies costs one comparison a member and not one
 a pair; then all candidates that this left in different components are compared. All comparisons are of whole sets.
 """
@@ -15,12 +16,12 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.graph import components
-from plumbline.llm.shared import binaries, small_batches, staged
-from plumbline.llm.simhash import CHUNK, SEED, STEP, one_of_each
+from plumbline.llm.shared import binaries, joined, small_batches, staged
+from plumbline.llm.simhash import BATCH, CHUNK, SEED, STEP, GrayIndex, least_reached
 
 #: Words of a shingle; a text of fewer words is one shingle.
 SHINGLE = 5
@@ -29,11 +30,13 @@ SIMILAR = (4, 5)
 #: Differing bits of 128 up to which candidates are compared. Sets of similarity 0.8 differ in about 19, sets of
 #: four and five shingles in about 24, with a deviation of 4.4.
 RADIUS = 48
+#: Differing bits of the first 64 up to which the index finds candidates: 4.5 deviations beyond what 0.8 makes.
+HALF = 26
 #: Documents among which common shingles are counted, and the share from which one is common. Both change the
 #: order of shingles only, never a result.
 SAMPLE, COMMON = 4096, 0.002
-#: Rows that a task searches at a time, and rows of a group whose distances are computed at a time.
-ROWS, PART = 1 << 16, 256
+#: Rows that a task searches at a time.
+ROWS = 1 << 16
 #: Ids that are sent to every task; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -69,8 +72,13 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(found)).view(np.uint64)
 
 
+def _row(id_col: str, text_col: str) -> Column:
+    """The same number for rows of equal id and text."""
+    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+
+
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _row(id_col, text_col).alias("row"))
 
 
 def _sets(narrow: DataFrame) -> DataFrame:
@@ -95,7 +103,7 @@ def _common(narrow: DataFrame) -> np.ndarray:
 
 
 def _sketches(narrow: DataFrame, common: np.ndarray) -> DataFrame:
-    """``(id, key, n, low, high, prefix)`` of every row: the set's key, size, sketch and first shingles."""
+    """``(id, row, key, n, low, high, prefix)`` of every row: the set's key, size, sketch and first shingles."""
     kind = narrow.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,12 +112,12 @@ def _sketches(narrow: DataFrame, common: np.ndarray) -> DataFrame:
             bits = np.array([sketch(x) for x in found], np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0), pa.array(np.array([key(x) for x in found], np.uint64).view(np.int64)), pa.array(np.array([len(x) for x in found], np.int64)),
+                    b.column(0), b.column(2), pa.array(np.array([key(x) for x in found], np.uint64).view(np.int64)), pa.array(np.array([len(x) for x in found], np.int64)),
                     pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), pa.array([prefix(x, common).view(np.int64) for x in found], pa.list_(pa.int64())),
-                ], names=["id", "key", "n", "low", "high", "prefix"],
+                ], names=["id", "row", "key", "n", "low", "high", "prefix"],
             )
 
-    return narrow.mapInArrow(run, f"id {kind}, key long, n long, low long, high long, prefix array<long>")
+    return narrow.mapInArrow(run, f"id {kind}, row long, key long, n long, low long, high long, prefix array<long>")
 
 
 def _members(nodes: DataFrame, chunk: int) -> DataFrame:
@@ -131,18 +139,20 @@ def _search(members: DataFrame, nearest: bool, radius: int) -> DataFrame:
     columns = ["h", "a", "b", "key", "n", "low", "high", *([] if nearest else ["root"])]
 
     def near(g: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        index = GrayIndex(g[:, 5].astype(np.int64).view(np.uint64))
+        g = g[index.order]
         k, n, bits = g[:, 3], g[:, 4], g[:, 5:7].astype(np.int64).view(np.uint64)
-        for at in range(0, len(g), PART):
-            x = slice(at, at + PART)
-            far = sum(np.bitwise_count(bits[x, None, i] ^ bits[None, :, i]).astype(np.int64) for i in (0, 1))
-            fits = (far <= radius) & (k[None, :] < k[x, None]) & (den * n[x, None] >= num * n[None, :]) & (den * n[None, :] >= num * n[x, None])
+        spans = index.spans(np.arange(len(g)) if nearest else np.unique(g[:, 7], return_inverse=True)[1])
+        for at in range(0, len(g), BATCH):
+            u, v = index.search(np.arange(at, min(at + BATCH, len(g))), min(HALF, radius), spans)
+            far = (np.bitwise_count(bits[u, 0] ^ bits[v, 0]) + np.bitwise_count(bits[u, 1] ^ bits[v, 1])).astype(np.int64)
+            fits = (far <= radius) & (k[v] < k[u]) & (den * n[u] >= num * n[v]) & (den * n[v] >= num * n[u])
+            u, v, far = u[fits], v[fits], far[fits]
             if nearest:
-                best = np.where(fits, far, 255).argmin(1)
-                u = np.flatnonzero(fits[np.arange(len(best)), best])
-                v = best[u]
-            else:
-                u, v = np.nonzero(fits & (g[x, None, 7] != g[None, :, 7]))
-            yield k[at + u], k[v], far[u, v]
+                order = np.lexsort((k[v], far, u))
+                order = order[np.r_[True, u[order][1:] != u[order][:-1]]] if len(order) else order
+                u, v, far = u[order], v[order], far[order]
+            yield k[u], k[v], far
 
     def groups(g: np.ndarray) -> pa.RecordBatch:
         cuts = np.flatnonzero((g[1:, :3] != g[:-1, :3]).any(1)) + 1
@@ -155,7 +165,7 @@ def _search(members: DataFrame, nearest: bool, radius: int) -> DataFrame:
         far = sum(np.bitwise_count((p[:, i] ^ q[:, i]).view(np.uint64)).astype(np.int64) for i in (5, 6))
         fits = (far <= radius) & (den * p[:, 4] >= num * q[:, 4]) & (den * q[:, 4] >= num * p[:, 4]) & (nearest or p[:, -1] != q[:, -1])
         out.append((p[fits, 3], q[fits, 3], far[fits]))
-        for s, e in zip(starts[sizes > 2], ends[sizes > 2], strict=True):
+        for s, e in zip(starts[sizes > 2], ends[sizes > 2], strict=True):  # up to FAN rows are one node of an index
             if nearest or (g[s:e, 7] != g[s, 7]).any():
                 out += near(g[s:e])
         u, v, bits = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -187,7 +197,7 @@ def _verified(pairs: DataFrame, narrow: DataFrame, nodes: DataFrame) -> DataFram
     """``(u, v)`` of the pairs whose whole sets are similar."""
     num, den = SIMILAR
     keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    ids = staged(nodes.join(keys, "key", "left_semi").select(F.col("least").alias("wanted")).distinct(), "wanted")
+    ids = staged(nodes.join(keys, "key", "left_semi").select(F.col("least.id").alias("wanted")).distinct(), "wanted")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     sets = _sets(narrow.join(few, narrow["id"].eqNullSafe(few["wanted"]), "left_semi")).join(keys, "key", "left_semi").dropDuplicates(["key"])
     sets = staged(sets, "sets")
@@ -196,34 +206,51 @@ def _verified(pairs: DataFrame, narrow: DataFrame, nodes: DataFrame) -> DataFram
     return same.where(den * F.col("same") >= num * (F.col("both") - F.col("same"))).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """``(id, component_id)`` with one row per row of ``docs``.
-
-    Texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8 are linked, chains
-    included; ``component_id`` is the smallest id that links reach. Words are split at white space and
-    lower-cased (A-Z only). Null, empty and blank texts are alike. A null id is no candidate for the
-    smallest. Repeated rows stay. An empty table gives an empty result; other columns are not read.
-    """
+def _found(docs: DataFrame, id_col: str, text_col: str, radius: int, chunk: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows ``(id, row, key)``; ``(node, n)``, how many rows have a key; ``(node, least)``, the first ``(no id, id, row)`` that its links reach."""
     small_batches(docs.sparkSession)
     narrow = _narrow(docs, id_col, text_col)
     rows = staged(_sketches(narrow, _common(narrow)), "sketches")
-    least = rows.groupBy("key").agg(F.min("id").alias("least"))
-    nodes = staged(rows.drop("id").dropDuplicates(["key"]).join(least, "key"), "nodes")
+    least = rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "row")).alias("least"), F.count("*").alias("rows"))
+    nodes = staged(rows.drop("id", "row").dropDuplicates(["key"]).join(least, "key"), "nodes")
     members = staged(_members(nodes, chunk), "members")
     nearest = _search(members, True, radius).groupBy("u").agg(F.min(F.struct("bits", "v")).alias("best")).select("u", "best.v")
     edges = staged(_verified(staged(nearest, "nearest"), narrow, nodes), "links")
     roots = components(edges)
     rooted = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     others = staged(_search(rooted, False, radius).select("u", "v").distinct(), "others")
-    roots = components(staged(edges.unionByName(_verified(others, narrow, nodes)), "links"))
-    by_root = nodes.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    smallest = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("id", "key").join(by_root.join(smallest, "root").select("key", "component_id"), "key").select("id", "component_id")
+    edges = staged(edges.unionByName(_verified(others, narrow, nodes)), "links")
+    counted = nodes.select(F.col("key").alias("node"), "least", F.col("rows").alias("n"))
+    return rows.select("id", "row", "key"), counted, least_reached(counted, edges)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """``(id, component_id)`` with one row per row of ``docs``.
+
+    Texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8 are linked, chains
+    included; ``component_id`` is the smallest id that links reach. Words are split at white space and
+    lower-cased (A-Z only); texts count as a whole, however long. Null, empty and blank texts are alike. A null id is no
+    candidate for the smallest. Repeated rows stay. An empty table gives an empty result; other columns are not read.
+    """
+    rows, nodes, least = _found(docs, id_col, text_col, radius, chunk)
+    found = joined(rows.select("id", F.col("key").alias("node")), least, "node", nodes.select("node", "n"))
+    return found.select("id", F.col("least.id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest id; rows without an id stay.
+    """``docs`` with one row of each component: that of the smallest id, rows without an id last.
 
-    Rows that repeat an id within a component count as one document, of which one row stays.
+    Rows are told apart by id and text, so rows that share an id but not a component each stay. Of rows of
+    one id in a component one stays; of rows equal in id and text any one.
     """
-    return one_of_each(docs, near_duplicates(docs, id_col, text_col), id_col)
+    rows, _, least = _found(docs, id_col, text_col, RADIUS, CHUNK)
+    winners = staged(least.select(F.col("least.row").alias("row")).distinct(), "winners")
+    several = staged(rows.join(winners, "row", "left_semi").groupBy("row").count().where("count > 1").select("row"), "several")
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    kept = docs.withColumn(name, _row(id_col, text_col)).join(winners.withColumnRenamed("row", name), name, "left_semi")
+    if not several.isEmpty():
+        again = several.withColumnRenamed("row", name)
+        kept = kept.join(again, name, "left_anti").unionByName(kept.join(again, name, "left_semi").dropDuplicates([name]))
+    return kept.select(*docs.columns)
