@@ -7,10 +7,8 @@ failure arc carries what is left for all other words, ``weight / (count of the s
 probabilities out of a state sum to one. A text is walked from left to right: each word takes the arc of the longest
 state that has one, after the failure arcs of longer ones.
 
-All words, pairs and triples of the corpus are counted, none is cut off by a threshold, and nothing of that is sent to
-every task. Texts lie in blocks of bounded size. Each block sends its distinct n-grams as sorted 64-bit hashes,
-cut into ranges; one task a range adds up the counts of all blocks and answers each block in the
-order it asked in, so an n-gram costs one entry a block however often it stands. Triples are asked for
+All words, pairs and triples of the corpus are counted (``blocks.py``), none is cut off by a threshold, and nothing of
+that is sent to every task. Triples are asked for
 only where both of their pairs stand twice in all texts: any other triple stands where its rare pair does, and nowhere
 else. Each block then walks its texts through that part of the automaton that they can reach.
 """
@@ -23,20 +21,16 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import binaries, fold, shuffle_partitions, small_batches, staged
+from plumbline.llm.blocks import ANSWERED, ASKED, ASKED_SCHEMA, BLOCK_BYTES, answer, answers, asked, column_of, counted, in_blocks, table, texts_of
+from plumbline.llm.shared import fold, small_batches, staged
 
 #: The token after a text's last word. No word can hold a newline.
 END = b"\n"
 #: Weights of the shorter state in an arc of a word state and of a pair state.
 WORD_WEIGHT, PAIR_WEIGHT = 400.0, 4.0
-#: Least and largest bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = (1 << 20, 16 << 20)
-#: Bytes of text that are compressed together.
-CHUNK_BYTES = 1 << 20
 SEED = 42
 
 
@@ -86,88 +80,8 @@ class Tokens:
         return at, paired(self.pair[at - 1], self.word[at])
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Eight-byte numbers, byte by byte: of sorted or small numbers most bytes are alike, and compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unpacked(data: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
-
-
-ASKED = "part int, block long, length int, keys binary, learnt binary, everywhere binary"
-ANSWERED = "block long, length int, part int, learnt binary, again binary, total long, distinct long"
-
-
-def _asked(block: int, length: int, keys: np.ndarray, learnt: np.ndarray, everywhere: np.ndarray, parts: int) -> Iterator[tuple]:
-    """Rows of ASKED: the block's n-grams of a length by range of their hashes."""
-    bounds = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
-    cuts = np.r_[0, np.searchsorted(keys, bounds), len(keys)]
-    for p in np.flatnonzero(cuts[1:] > cuts[:-1]):
-        s = slice(cuts[p], cuts[p + 1])
-        yield int(p), block, length, packed(keys[s]), packed(learnt[s]), packed(everywhere[s])
-
-
-def _counted(values: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values in order, each value's place among them, and how often they stand in training texts and in all."""
-    keys, place = np.unique(values, return_inverse=True)
-    return keys, place, np.bincount(place, learn, len(keys)).astype(np.int64), np.bincount(place, minlength=len(keys))
-
-
-def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-_ASKED = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("length", pa.int32()), ("keys", pa.binary()), ("learnt", pa.binary()), ("everywhere", pa.binary())])
-_ANSWERED = pa.schema(
-    [("block", pa.int64()), ("length", pa.int32()), ("part", pa.int32()), ("learnt", pa.binary()), ("again", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())]
-)
-
-
-def _answer(asked: pa.Table) -> pa.Table:
-    """Counts of one range's n-grams over all blocks, in the order of each block's question; block -1 has the range's sums."""
-    out = []
-    lengths = asked.column("length").to_numpy()
-    for length in np.unique(lengths).tolist():
-        rows = asked.filter(pa.array(lengths == length))
-        keys = [unpacked(x, np.uint64) for x in rows.column("keys").to_pylist()]
-        _, place = np.unique(np.concatenate(keys), return_inverse=True)
-        learnt = _summed(place, rows.column("learnt"))
-        again = _summed(place, rows.column("everywhere")) > 1
-        at = 0
-        for block, part, size in zip(rows.column("block").to_pylist(), rows.column("part").to_pylist(), map(len, keys), strict=True):
-            here = place[at : at + size]
-            out.append((block, length, part, packed(learnt[here]), again[here].tobytes(), 0, 0))
-            at += size
-        out.append((-1, length, part, b"", b"", int(learnt.sum()), int((learnt > 0).sum())))
-    return _table(out, _ANSWERED)
-
-
-def _summed(place: np.ndarray, column: pa.ChunkedArray) -> np.ndarray:
-    n = np.concatenate([unpacked(x, np.int64) for x in column.to_pylist()])
-    sums = np.zeros(int(place.max()) + 1, np.int64)
-    np.add.at(sums, place, n)
-    return sums
-
-
 def _read(docs: pa.Table) -> Tokens:
-    def texts() -> Iterator[bytes]:
-        for data, ends in zip(docs.column("texts").to_pylist(), docs.column("ends").to_pylist(), strict=True):
-            whole, at = (pa.decompress(data, ends[-1], codec="zstd", asbytes=True) if ends[-1] else b""), 0
-            for end in ends:
-                yield whole[at:end]
-                at = end
-
-    return Tokens(texts(), np.array([x for c in docs.column("training").to_pylist() for x in c], bool))
-
-
-def _answers(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts in training texts, and whether it stands twice, of the block's distinct n-grams of a length, in their order."""
-    rows = rows.filter(pa.array(rows.column("length").to_numpy() == length)).sort_by("part")
-    learnt = [unpacked(x, np.int64) for x in rows.column("learnt").to_pylist()]
-    again = b"".join(rows.column("again").to_pylist())
-    return (np.concatenate(learnt) if learnt else np.empty(0, np.int64)), np.frombuffer(again, bool)
+    return Tokens(texts_of(docs), column_of(docs, "training").to_numpy(zero_copy_only=False))
 
 
 def walk(tokens: Tokens, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, total: int, distinct: int, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,36 +105,6 @@ def walk(tokens: Tokens, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, total:
     return base, np.where(c3 > 0, np.log10(arc), np.log10(PAIR_WEIGHT / (of_pair + PAIR_WEIGHT)) + out)
 
 
-def _blocks(narrow: DataFrame, block_bytes: int) -> DataFrame:
-    """``(block, ids, training, ends, texts)``: texts in compressed chunks, chunks in blocks of about ``block_bytes``."""
-    kind = narrow.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, sizes, of_block = TaskContext.get().partitionId() << 32, [], 0, 0
-
-        def chunk() -> pa.RecordBatch:
-            ids, learn, texts = zip(*held, strict=True)
-            whole = b"".join(texts)
-            columns = [[block], [[x.as_py() for x in ids]], [list(learn)], [np.cumsum([len(x) for x in texts])], [pa.compress(whole, codec="zstd", asbytes=True) if whole else b""]]
-            types = [pa.int64(), pa.list_(ids[0].type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["block", "ids", "training", "ends", "texts"])
-
-        for b in batches:
-            for i, learn, text in zip(b.column(0), b.column(1).to_pylist(), binaries(b.column(2)), strict=True):
-                held.append((i, learn, text))
-                sizes += len(text) + 1
-                of_block += len(text) + 1
-                if sizes >= CHUNK_BYTES or of_block >= block_bytes:
-                    yield chunk()
-                    held, sizes = [], 0
-                    if of_block >= block_bytes:
-                        block, of_block = block + 1, 0
-        if held:
-            yield chunk()
-
-    return narrow.mapInArrow(run, f"block long, ids array<{kind}>, training array<boolean>, ends array<long>, texts binary")
-
-
 def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", block_range: tuple[int, int] = BLOCK_BYTES) -> DataFrame:
     """Score every whole text under a model of the texts for which the condition ``training`` holds.
 
@@ -237,49 +121,41 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     narrow = docs.select(
         F.col(id_col).alias("id"), F.coalesce(training, F.lit(False)).alias("training"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
-    size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    wide = shuffle_partitions(spark)
-    if narrow.rdd.getNumPartitions() * 4 <= wide:  # a table in few files
-        narrow = narrow.repartition(wide)
-    block_bytes = min(max(size // (2 * wide), block_range[0]), block_range[1])
-    blocks = staged(_blocks(narrow, block_bytes), "blocks")
-    parts = max(wide, size // (2 * BLOCK_BYTES[1]))
+    blocks, parts = in_blocks(narrow, block_range)
 
     def ask(docs: pa.Table) -> pa.Table:
         tokens, block = _read(docs), docs.column("block")[0].as_py()
         rows = []
         for length, values in ((1, tokens.word), (2, tokens.pair)):
-            keys, _, learnt, everywhere = _counted(values, tokens.learn)
-            rows += _asked(block, length, keys, learnt, everywhere, parts)
-        return _table(rows, _ASKED)
+            keys, _, learnt, everywhere = counted(values, tokens.learn)
+            rows += asked(block, length, keys, learnt, everywhere, parts)
+        return table(rows, ASKED_SCHEMA)
 
-    def ask_triples(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def ask_triples(docs: pa.Table, found: pa.Table) -> pa.Table:
         tokens, block = _read(docs), docs.column("block")[0].as_py()
-        at, values = tokens.triples(_answers(answers, 2)[1][np.unique(tokens.pair, return_inverse=True)[1]])
-        keys, _, learnt, everywhere = _counted(values, tokens.learn[at])
-        return _table(list(_asked(block, 3, keys, learnt, everywhere, parts)), _ASKED)
+        at, values = tokens.triples(answers(found, 2)[1][np.unique(tokens.pair, return_inverse=True)[1]])
+        keys, _, learnt, everywhere = counted(values, tokens.learn[at])
+        return table(list(asked(block, 3, keys, learnt, everywhere, parts)), ASKED_SCHEMA)
 
-    answered = staged(blocks.groupBy("block").applyInArrow(ask, ASKED).groupBy("part").applyInArrow(_answer, ANSWERED), "counts")
+    answered = staged(blocks.groupBy("block").applyInArrow(ask, ASKED).groupBy("part").applyInArrow(answer, ANSWERED), "counts")
     of_blocks = answered.where("block >= 0")
     total, distinct = answered.where("block < 0 and length = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     texts = blocks.agg(F.coalesce(F.sum(F.size(F.filter("training", lambda x: x))), F.lit(0))).first()[0]
-    asked = blocks.groupBy("block").cogroup(of_blocks.where("length = 2").groupBy("block")).applyInArrow(ask_triples, ASKED)
-    of_triples = staged(asked.groupBy("part").applyInArrow(_answer, ANSWERED), "triples").where("block >= 0")
+    triples = blocks.groupBy("block").cogroup(of_blocks.where("length = 2").groupBy("block")).applyInArrow(ask_triples, ASKED)
+    of_triples = staged(triples.groupBy("part").applyInArrow(answer, ANSWERED), "triples").where("block >= 0")
 
-    def scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def scored(docs: pa.Table, found: pa.Table) -> pa.Table:
         tokens = _read(docs)
-        c1 = _answers(answers, 1)[0][np.unique(tokens.word, return_inverse=True)[1]]
-        learnt, again = _answers(answers, 2)
+        c1 = answers(found, 1)[0][np.unique(tokens.word, return_inverse=True)[1]]
+        learnt, again = answers(found, 2)
         place = np.unique(tokens.pair, return_inverse=True)[1]
         c2 = learnt[place]
         c3 = (tokens.learn & tokens.later).astype(np.int64)  # a triple of a pair that stands once stands once
         at, values = tokens.triples(again[place])
-        c3[at] = _answers(answers, 3)[0][np.unique(values, return_inverse=True)[1]]
+        c3[at] = answers(found, 3)[0][np.unique(values, return_inverse=True)[1]]
         base, along = walk(tokens, c1, c2, c3, total, distinct, texts)
         n, first = len(tokens.sizes), tokens.first
-        ids = pa.concat_arrays([x.flatten() for x in docs.column("ids").chunks])
-        learn = [x for c in docs.column("training").to_pylist() for x in c]
-        values = [ids, learn, tokens.sizes, np.add.reduceat((c1 > 0).astype(np.int64), first), np.full(n, total, np.int64), np.add.reduceat(base, first), np.add.reduceat(along, first)]
+        values = [column_of(docs, "id"), column_of(docs, "training"), tokens.sizes, np.add.reduceat((c1 > 0).astype(np.int64), first), np.full(n, total, np.int64), np.add.reduceat(base, first), np.add.reduceat(along, first)]
         return pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in values], names=names)
 
     names = ["id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"]

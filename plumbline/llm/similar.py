@@ -1,11 +1,15 @@
 """Near-duplicates by exact similarity of five-word shingles, the stage of the pipeline (operator 7 has its own, thin rule).
 
-Two sets whose Jaccard similarity is at least SIMILAR share one of their first ``n // 5 + 1`` shingles in
-any order that holds for all sets; common shingles come last in it, so few sets meet in one. Sets that meet are
-candidates if their sizes and 128-bit SimHashes are near enough; in a large group they are found by the Gray-order
-index over the SimHashes' first half. Each set is first compared with its
-nearest candidate of a smaller key, so that a group of copies costs one comparison a member and not one
-a pair; then all candidates that this left in different components are compared. All comparisons are of whole sets.
+Two sets of n and m shingles whose Jaccard similarity is at least SIMILAR share so many of their first ``n // 5 + 1`` and
+``m // 5 + 1`` shingles, in any order that holds for all sets, that few others do: shingles of one set alone come first in
+that order (all shingles of the corpus are counted for it, ``blocks.py``), common ones last. Sets that meet in a shingle are
+candidates if their sizes and 128-bit SimHashes are near enough, which the Gray-order index of operator 7 finds out
+over the SimHashes' first half. At first each set is compared only with its nearest candidate and with the one that most
+others are near to, so that a group of copies costs two comparisons a member and not one a pair; then all candidates that
+this left in different components and that share enough. All comparisons are of whole sets.
+
+The index alone cannot deal sets out: SimHashes of sets 0.8 alike differ in about 10 bits of 64, up to 20, and
+with 21 blocks of three bits each set would meet most others.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.blocks import ANSWERED, ASKED, ASKED_SCHEMA, answer, answers, asked, column_of, counted, in_blocks, table, texts_of
 from plumbline.llm.graph import components
 from plumbline.llm.shared import binaries, joined, small_batches, staged
 from plumbline.llm.simhash import BATCH, CHUNK, SEED, STEP, GrayIndex, least_reached
@@ -28,13 +33,15 @@ SHINGLE = 5
 #: Jaccard similarity of near-duplicates, as a ratio; ``prefix`` needs the 5.
 SIMILAR = (4, 5)
 #: Differing bits of 128 up to which candidates are compared. Sets of similarity 0.8 differ in about 19, sets of
-#: four and five shingles in about 24, with a deviation of 4.4.
-RADIUS = 48
+#: four and five shingles in about 24, with a deviation of 4.4; of the pairs 0.8 alike in 50,000 documents none differed in more than 31.
+RADIUS = 38
 #: Differing bits of the first 64 up to which the index finds candidates: 4.5 deviations beyond what 0.8 makes.
 HALF = 26
 #: Documents among which common shingles are counted, and the share from which one is common. Both change the
-#: order of shingles only, never a result.
-SAMPLE, COMMON = 4096, 0.002
+#: order of shingles only, never a result; so does BITS, the leading bits of shingles that are counted for it.
+SAMPLE, COMMON, BITS = 4096, 0.002, 40
+#: Differing bits of 128 up to which sets are neighbours in the choice of the one that most are near to.
+TIGHT = 24
 #: Rows that a task searches at a time.
 ROWS = 1 << 16
 #: Ids that are sent to every task; more are joined by shuffle.
@@ -55,9 +62,26 @@ def key(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED) if len(found) else 0
 
 
-def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
-    rare = ~np.isin(found, common, assume_unique=True) if len(common) else np.ones(len(found), bool)
-    return np.concatenate([found[rare], found[~rare]])[: len(found) // SIMILAR[1] + 1]
+def prefix(found: np.ndarray, shared: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Those of the set's first shingles that other sets may have; ``shared`` tells which may."""
+    rest, room = found[shared], prefix_size(len(found)) - int((~shared).sum())
+    rare = ~np.isin(rest, common, assume_unique=True) if len(common) else np.ones(len(rest), bool)
+    return np.concatenate([rest[rare], rest[~rare]])[: max(room, 0)]
+
+
+def prefix_size(n):
+    return n // SIMILAR[1] + 1
+
+
+def least_shared(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How many of their first shingles similar sets of these sizes share at least."""
+    num, den = SIMILAR
+    both = -(-num * (n + m) // (num + den))
+    return np.minimum(prefix_size(n) - n, prefix_size(m) - m) + both
+
+
+def leading(found: np.ndarray) -> np.ndarray:
+    return found >> np.uint64(64 - BITS) << np.uint64(64 - BITS)
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
@@ -105,19 +129,30 @@ def _common(narrow: DataFrame) -> np.ndarray:
 def _sketches(narrow: DataFrame, common: np.ndarray) -> DataFrame:
     """``(id, row, key, n, low, high, prefix)`` of every row: the set's key, size, sketch and first shingles."""
     kind = narrow.schema["id"].dataType.simpleString()
+    blocks, parts = in_blocks(narrow.select("id", "row", F.coalesce("text", F.lit("")).alias("text")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingles(x) for x in binaries(b.column(1))]
-            bits = np.array([sketch(x) for x in found], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0), b.column(2), pa.array(np.array([key(x) for x in found], np.uint64).view(np.int64)), pa.array(np.array([len(x) for x in found], np.int64)),
-                    pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), pa.array([prefix(x, common).view(np.int64) for x in found], pa.list_(pa.int64())),
-                ], names=["id", "row", "key", "n", "low", "high", "prefix"],
-            )
+    def read(docs: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+        found = [shingles(x) for x in texts_of(docs)]
+        once = {key(x): x for x in found}
+        return found, leading(np.concatenate(list(once.values())))
+
+    def ask(docs: pa.Table) -> pa.Table:
+        keys, _, never, everywhere = counted(values := read(docs)[1], np.zeros(len(values)))
+        return table(list(asked(docs.column("block")[0].as_py(), SHINGLE, keys, never, everywhere, parts)), ASKED_SCHEMA)
 
-    return narrow.mapInArrow(run, f"id {kind}, row long, key long, n long, low long, high long, prefix array<long>")
+    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        found, values = read(docs)
+        asked_for, again = np.unique(values), answers(replies, SHINGLE)[1]
+        firsts = [prefix(x, again[np.searchsorted(asked_for, leading(x))] if len(x) else np.empty(0, bool), common) for x in found]
+        bits = np.array([sketch(x) for x in found], np.uint64).reshape(-1, 2).view(np.int64)
+        keys = np.array([key(x) for x in found], np.uint64).view(np.int64)
+        columns = [column_of(docs, "id"), column_of(docs, "row"), keys, np.array([len(x) for x in found], np.int64), bits[:, 0].copy(), bits[:, 1].copy()]
+        columns.append(pa.array([x.view(np.int64) for x in firsts], pa.list_(pa.int64())))
+        return pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["id", "row", "key", "n", "low", "high", "prefix"])
+
+    replies = staged(blocks.groupBy("block").applyInArrow(ask, ASKED).groupBy("part").applyInArrow(answer, ANSWERED), "shared").where("block >= 0")
+    both = blocks.groupBy("block").cogroup(replies.groupBy("block"))
+    return both.applyInArrow(run, f"id {kind}, row long, key long, n long, low long, high long, prefix array<long>")
 
 
 def _members(nodes: DataFrame, chunk: int) -> DataFrame:
@@ -133,43 +168,59 @@ def _members(nodes: DataFrame, chunk: int) -> DataFrame:
     )
 
 
-def _search(members: DataFrame, nearest: bool, radius: int) -> DataFrame:
-    """Candidates ``(u, v, bits)``, v the smaller key: of each set in a group the nearest one, or all of another root."""
+def _search(members: DataFrame, first: bool, radius: int) -> DataFrame:
+    """Candidates ``(u, v, bits, degree, least)``.
+
+    first: of each set in a group the nearest one, and the one that most are near to; else all of another root, u the
+    larger key. bits: of 128 that differ; degree: how many are near to v; least: shingles that the two must share.
+    """
     num, den = SIMILAR
-    columns = ["h", "a", "b", "key", "n", "low", "high", *([] if nearest else ["root"])]
+    columns = ["h", "a", "b", "key", "n", "low", "high", *([] if first else ["root"])]
+    names = ["u", "v", "bits", "degree", "least"]
 
-    def near(g: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        index = GrayIndex(g[:, 5].astype(np.int64).view(np.uint64))
+    def group(g: np.ndarray) -> Iterator[pa.RecordBatch]:
+        index = GrayIndex(g[:, 5].view(np.uint64))
         g = g[index.order]
-        k, n, bits = g[:, 3], g[:, 4], g[:, 5:7].astype(np.int64).view(np.uint64)
-        spans = index.spans(np.arange(len(g)) if nearest else np.unique(g[:, 7], return_inverse=True)[1])
-        for at in range(0, len(g), BATCH):
+        k, n, bits = g[:, 3], g[:, 4], g[:, 5:7].view(np.uint64)
+        spans = index.spans(np.arange(len(g)) if first else np.unique(g[:, 7], return_inverse=True)[1])
+        degree = np.zeros(len(g), np.int64)
+
+        def near(at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             u, v = index.search(np.arange(at, min(at + BATCH, len(g))), min(HALF, radius), spans)
             far = (np.bitwise_count(bits[u, 0] ^ bits[v, 0]) + np.bitwise_count(bits[u, 1] ^ bits[v, 1])).astype(np.int64)
-            fits = (far <= radius) & (k[v] < k[u]) & (den * n[u] >= num * n[v]) & (den * n[v] >= num * n[u])
-            u, v, far = u[fits], v[fits], far[fits]
-            if nearest:
-                order = np.lexsort((k[v], far, u))
-                order = order[np.r_[True, u[order][1:] != u[order][:-1]]] if len(order) else order
-                u, v, far = u[order], v[order], far[order]
-            yield k[u], k[v], far
-
-    def groups(g: np.ndarray) -> pa.RecordBatch:
+            fits = (far <= radius) & (den * n[u] >= num * n[v]) & (den * n[v] >= num * n[u])
+            if not first:
+                fits &= k[v] < k[u]
+            return u[fits], v[fits], far[fits]
+
+        if first:
+            for at in range(0, len(g), BATCH):
+                _, v, far = near(at)
+                degree += np.bincount(v[far <= TIGHT], minlength=len(g))
+        for at in range(0, len(g), BATCH):
+            u, v, far = near(at)
+            if first and len(u):
+                by_bits, by_degree = np.lexsort((k[v], far, u)), np.lexsort((k[v], far, -degree[v], u))
+                heads = [o[np.r_[True, u[o][1:] != u[o][:-1]]] for o in (by_bits, by_degree)]
+                take = np.unique(np.concatenate(heads))
+                u, v, far = u[take], v[take], far[take]
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[u], k[v], far, degree[v], least_shared(n[u], n[v]))], names=names)
+
+    def groups(g: np.ndarray) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero((g[1:, :3] != g[:-1, :3]).any(1)) + 1
         starts, ends = np.r_[0, cuts], np.r_[cuts, len(g)]
         sizes = ends - starts
-        out = []
         two = starts[sizes == 2]
         p, q = g[two], g[two + 1]
         p, q = np.where((p[:, 3] < q[:, 3])[:, None], q, p), np.where((p[:, 3] < q[:, 3])[:, None], p, q)
         far = sum(np.bitwise_count((p[:, i] ^ q[:, i]).view(np.uint64)).astype(np.int64) for i in (5, 6))
-        fits = (far <= radius) & (den * p[:, 4] >= num * q[:, 4]) & (den * q[:, 4] >= num * p[:, 4]) & (nearest or p[:, -1] != q[:, -1])
-        out.append((p[fits, 3], q[fits, 3], far[fits]))
-        for s, e in zip(starts[sizes > 2], ends[sizes > 2], strict=True):  # up to FAN rows are one node of an index
-            if nearest or (g[s:e, 7] != g[s, 7]).any():
-                out += near(g[s:e])
-        u, v, bits = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(bits)], names=["u", "v", "bits"])
+        fits = (far <= radius) & (den * p[:, 4] >= num * q[:, 4]) & (den * q[:, 4] >= num * p[:, 4]) & (first or p[:, -1] != q[:, -1])
+        p, q = p[fits], q[fits]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (p[:, 3], q[:, 3], far[fits], np.zeros(len(p), np.int64), least_shared(p[:, 4], q[:, 4]))], names=names)
+        for s, e in zip(starts[sizes > 2], ends[sizes > 2], strict=True):
+            if first or (g[s:e, 7] != g[s, 7]).any():
+                yield from group(g[s:e])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # the last group may go on in the next batch
@@ -184,19 +235,19 @@ def _search(members: DataFrame, nearest: bool, radius: int) -> DataFrame:
             g = np.concatenate(held)
             cut = len(g) - int((g[:, :3] == g[-1, :3]).all(1)[::-1].argmin() or len(g))
             if cut:
-                yield groups(g[:cut])
+                yield from groups(g[:cut])
             held, size = [g[cut:]], len(g) - cut if cut else 0
         if held:
-            yield groups(np.concatenate(held))
+            yield from groups(np.concatenate(held))
 
     dealt = members.select(columns).repartition("h", "a", "b").sortWithinPartitions("h", "a", "b")
-    return dealt.mapInArrow(run, "u long, v long, bits long")
+    return dealt.mapInArrow(run, "u long, v long, bits long, degree long, least long")
 
 
 def _verified(pairs: DataFrame, narrow: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(u, v)`` of the pairs whose whole sets are similar."""
     num, den = SIMILAR
-    keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    keys = staged(pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct(), "keys")
     ids = staged(nodes.join(keys, "key", "left_semi").select(F.col("least.id").alias("wanted")).distinct(), "wanted")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     sets = _sets(narrow.join(few, narrow["id"].eqNullSafe(few["wanted"]), "left_semi")).join(keys, "key", "left_semi").dropDuplicates(["key"])
@@ -214,11 +265,13 @@ def _found(docs: DataFrame, id_col: str, text_col: str, radius: int, chunk: int)
     least = rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "row")).alias("least"), F.count("*").alias("rows"))
     nodes = staged(rows.drop("id", "row").dropDuplicates(["key"]).join(least, "key"), "nodes")
     members = staged(_members(nodes, chunk), "members")
-    nearest = _search(members, True, radius).groupBy("u").agg(F.min(F.struct("bits", "v")).alias("best")).select("u", "best.v")
-    edges = staged(_verified(staged(nearest, "nearest"), narrow, nodes), "links")
+    found = _search(members, True, radius).groupBy("u").agg(F.min(F.struct("bits", "v")).alias("best"), F.max(F.struct("degree", F.negative("bits"), "v")).alias("middle"))
+    both = found.select("u", F.explode(F.array("best.v", "middle.v")).alias("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges = staged(_verified(staged(both.distinct(), "nearest"), narrow, nodes), "links")
     roots = components(edges)
     rooted = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    others = staged(_search(rooted, False, radius).select("u", "v").distinct(), "others")
+    met = _search(rooted, False, radius).groupBy("u", "v").agg(F.count("*").alias("met"), F.max("least").alias("least"))
+    others = staged(met.where("met >= least").select("u", "v"), "others")
     edges = staged(edges.unionByName(_verified(others, narrow, nodes)), "links")
     counted = nodes.select(F.col("key").alias("node"), "least", F.col("rows").alias("n"))
     return rows.select("id", "row", "key"), counted, least_reached(counted, edges)
