@@ -34,14 +34,33 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and nothing is computed twice.
 
-    The written table outlives a lost executor, unlike a cached one.
+    The written table outlives a lost executor, unlike a cached one. It stays until ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written(spark).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _written(spark: SparkSession) -> list[str]:
+    context = spark.sparkContext
+    if not hasattr(context, "_plumbline_written"):
+        context._plumbline_written = []
+    return context._plumbline_written
+
+
+def release(spark: SparkSession, but: DataFrame | None = None) -> None:
+    """Delete all tables that ``staged`` has written, except ``but``'s: what was made of them must have been written or be done with."""
+    kept = [] if but is None else but.inputFiles()
+    paths = _written(spark)
+    stay = [p for p in paths if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in kept)]
+    for path in set(paths) - set(stay):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths[:] = stay
+
+
 def joined(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
     """``left`` joined to ``right``, which has each ``key`` once; ``sizes(key, n)`` tells how many rows of ``left`` have it.
 
