@@ -443,9 +443,11 @@ def test_decontamination_is_brute_force(spark):
     docs = [
         (1, prose(1, 50) + " " + items[0][1].upper() + " " + prose(2, 20)), (2, prose(3, 80)), (3, items[1][1]), (4, "x one, two y"), (5, prose(4, 9) + " " + " ".join(other)),
         (6, " ".join(items[0][1].split()[:15]) + " " + prose(5, 30)), (7, " ".join(items[0][1].split()[:28])), *[(10 + i, x) for i, (_, x) in enumerate(ODD[:6])],
+        (None, "lead " + items[0][1]), (None, "other"), (20, items[0][1] + " " + items[0][1]), (20, items[0][1]), (21, " ".join(items[5][1].split()[:6] * 300)), (22, prose(9, 2500) + " " + items[1][1]),
     ]
     bench = spark.createDataFrame([(i, x, "own") for i, x in items], "item_id long, text string, id string")
-    got = {(r.id, r.item_id): round(r.similarity, 9) for r in decontaminate.contaminated(documents(spark, docs), bench).collect()}
+    rows = decontaminate.contaminated(documents(spark, docs), bench).collect()
+    got = {(r.id, r.item_id): (round(r.similarity, 9), -r.start) for r in rows}
     tokens = lambda x: [w for w in re.split(r"[\W_]+", (x or "").lower()) if w]
     want = {}
     for d, x in docs:
@@ -460,13 +462,42 @@ def test_decontamination_is_brute_force(spark):
                 theirs = Counter(tuple(w[k : k + q]) for k in range(len(w) - q + 1))
                 sim = sum((mine & theirs).values()) / sum((mine | theirs).values())
                 if sim >= 0.8:
-                    want[d, i] = max(round(sim, 9), want.get((d, i), 0))
-    assert got == want and {(1, 1), (3, 2), (4, 3), (5, 6), (7, 1)} <= set(want)
+                    want[d, i] = max((round(sim, 9), -s), want.get((d, i), (0, 0)))
+    assert got == want and {(None, 1), (20, 1), (22, 2)} <= set(want) and {(1, 1), (3, 2), (4, 3), (5, 6), (7, 1)} <= set(want)
     kept = decontaminate.drop_contaminated(documents(spark, docs), bench)
-    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want} and kept.columns == documents(spark, docs).columns
     assert decontaminate.contaminated(documents(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_hamming_blocks_guarantee_the_radius(spark):
+    r = random.Random(6)
+    pairs = []
+    for _ in range(300):
+        a = r.getrandbits(64)
+        b = a
+        for bit in r.sample(range(64), r.randint(0, decontaminate.RADIUS)):
+            b ^= 1 << bit
+        pairs.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
+    frame = spark.createDataFrame(pairs, "a long, b long")
+    met = F.arrays_overlap(decontaminate.values(F.col("a")), decontaminate.entries(F.col("b"), decontaminate.RADIUS))
+    assert frame.where(met).count() == len(pairs)
+    far = spark.range(2000).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 10**6).alias("b"))
+    assert far.where(met).count() < 600  # most others are never met
+
+
+def test_shared_hashes_and_wide_counters(spark):
+    rows = [([1, 2, 2, 3], [2, 2, 2, 4]), ([], [1]), ([5, 5, 5], [5, 5]), ([-1, 0, 7], [7, 0, -1])]
+    got = [x[0] for x in spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").select(decontaminate.shared(F.col("a"), F.col("b"))).collect()]
+    assert got == [sum((Counter(a) & Counter(b)).values()) for a, b in rows]
+    many = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(70_001)), lambda x: F.xxhash64(x % 9)).alias("h"))
+    hashes = [x % 2**64 for x in many.first()[0]]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert many.select(decontaminate.simhash(F.col("h"))).first()[0] % 2**64 == want
+    short = many.select(F.slice("h", 1, 11).alias("h"))
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes[:11]) > 11)
+    assert short.select(decontaminate.simhash(F.col("h")), decontaminate._simhash(F.col("h"), 32)).first()[:] == (want - (1 << 64) * (want >> 63),) * 2
+
+
 def test_reordered_passages_are_found(spark):
     items = {1: prose(110, 60).split(), 2: prose(111, 100).split(), 3: prose(112, 45).split()}
     swapped = {(i, cut): w[cut:] + w[:cut] for i, w in items.items() for cut in (10, len(w) // 2)}
