@@ -32,6 +32,10 @@ RECALL = 0.97
 ONE_LEAF = 1024
 #: Queries for which a task holds results before it sends them on.
 HELD = 50_000
+#: Queries that meet in a leaf at a time, about: leaves with more get their candidates several times, once for each part of the queries.
+MEETING = 8192
+#: Products in another order of addition may differ by so much: what is so near to the last kept one is ranked exactly too.
+ROUNDING = 1e-9
 
 
 @dataclass
@@ -151,6 +155,7 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
     drawn = sample.toArrow().sort_by("class")
     forest = fit(_unit(_vectors(drawn.column("v").combine_chunks())), n, k)
     keep = 2 * (k + 1)
+    cuts = max(1, -(-asking.select("class").distinct().count() * forest.leaves // (forest.cuts.shape[0] * 2**forest.depth * MEETING)))
 
     def deal(kind: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,20 +165,21 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
                 unit = _unit(_vectors(b.column(1)))
                 if kind:
                     place = forest.place(unit)
-                    trees, row = (x.ravel() for x in np.indices(place.shape))
-                    leaf = place.ravel()
+                    trees, row, cut = (x.ravel() for x in np.indices((*place.shape, cuts)))
+                    leaf = np.repeat(place.ravel(), cuts)
                 else:
                     opened = [forest.open(q) for q in unit]
                     row = np.repeat(np.arange(len(opened)), list(map(len, opened)))
                     trees, leaf = np.array([x for o in opened for x in o]).T
+                    cut = b.column(0).to_numpy()[row] % cuts
                 for s in range(0, len(row), 4096):
                     part = pa.array(row[s : s + 4096])
-                    columns = [pa.array(trees[s : s + 4096].astype(np.int32)), pa.array(leaf[s : s + 4096].astype(np.int64)), pa.array(np.full(len(part), kind, np.int32))]
-                    yield pa.RecordBatch.from_arrays([*columns, b.column(0).take(part), b.column(1).take(part)], names=["tree", "leaf", "kind", "class", "v"])
+                    columns = [pa.array(trees[s : s + 4096].astype(np.int32)), pa.array(leaf[s : s + 4096].astype(np.int64)), pa.array(cut[s : s + 4096].astype(np.int64)), pa.array(np.full(len(part), kind, np.int32))]
+                    yield pa.RecordBatch.from_arrays([*columns, b.column(0).take(part), b.column(1).take(part)], names=["tree", "leaf", "cut", "kind", "class", "v"])
 
         return run
 
-    dealt = "tree int, leaf long, kind int, class long, v array<double>"
+    dealt = "tree int, leaf long, cut long, kind int, class long, v array<double>"
     base = classes.select("class", "v")
     asked = base.join(asking.select("class").distinct(), "class", "left_semi")
     both = base.mapInArrow(deal(1), dealt).unionByName(asked.mapInArrow(deal(0), dealt))
@@ -190,8 +196,8 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
         for b in batches:
             if not b.num_rows:
                 continue
-            leaf = np.stack([b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy()], 1)
-            kind, names, x = b.column(2).to_numpy(), b.column(3).to_numpy(), _vectors(b.column(4))
+            leaf = np.stack([b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy(), b.column(2).to_numpy()], 1)
+            kind, names, x = b.column(3).to_numpy(), b.column(4).to_numpy(), _vectors(b.column(5))
             starts = np.flatnonzero(np.r_[True, (leaf[1:] != leaf[:-1]).any(1)])
             for s, e in zip(starts, np.r_[starts[1:], len(kind)], strict=True):
                 if here is None or not np.array_equal(leaf[s], here):
@@ -202,23 +208,22 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
                 if m == e or not len(ids):
                     continue
                 near = _unit(qs) @ _unit(x[m:e]).T
-                top = np.argpartition(-near, keep - 1, 1)[:, :keep] if near.shape[1] > keep else np.tile(np.arange(near.shape[1]), (len(ids), 1))
-                for q, vector, chosen in zip(ids.tolist(), qs, top, strict=True):
+                last = np.partition(near, -keep, 1)[:, -keep] if near.shape[1] > keep else np.full(len(ids), -np.inf)
+                for q, vector, chosen in zip(ids.tolist(), qs, near >= last[:, None] - ROUNDING, strict=True):
                     c, score = names[m:e][chosen], cosine(x[m:e][chosen], vector)
                     if q in best:
                         c, score = np.r_[best[q][0], c], np.r_[best[q][1], score]
                         c, first = np.unique(c, return_index=True)
                         score = score[first]
-                        order = np.lexsort((c, -score))[:keep]
-                        c, score = c[order], score[order]
-                    best[q] = (c, score)
+                    order = np.lexsort((c, -score))[:keep]
+                    best[q] = (c[order], score[order])
             if len(best) > HELD:
                 yield out()
                 best.clear()
         if best:
             yield out()
 
-    ranked = both.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "kind").mapInArrow(rank, "query long, class long, score double")
+    ranked = both.repartition("tree", "leaf", "cut").sortWithinPartitions("tree", "leaf", "cut", "kind").mapInArrow(rank, "query long, class long, score double")
     met = ranked.groupBy("query", "class").agg(F.max("score").alias("score"))
     near_classes = met.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "class"))).where(F.col("r") <= keep)
     spread = near_classes.join(classes.select("class", "ids"), "class").select("query", "score", F.explode("ids").alias("vec_id"))

@@ -338,6 +338,18 @@ def test_neighbours(spark):
         assert all(abs(s - score[v]) < 1e-12 for v, s in got[q]) and len(got[q]) == 5
     assert hits / total >= 0.9 and set(got) == set(range(0, 3000, 50))
     assert got[50][0][0] == 7 and [v for v, _ in got[100]] == [101, 102, 103, 104, 105]
+    line = spark.createDataFrame([(i, [2.0 ** (i % 9), 2.0 ** (i % 9) * 3]) for i in range(1, 42)] + [(50, [1.0, 3.0])], "vec_id long, embedding array<double>")
+    assert [(z["rank"], z.vec_id, round(z.score, 12)) for z in neighbours.search(line, F.col("vec_id") == 50).orderBy("rank").collect()] == [(i, i, 1.0) for i in range(1, 6)]
+    signs = [(i, [1.0 if i >> b & 1 else -1.0 for b in range(8)] + [float(i % 3 + 1)]) for i in range(1000)]  # one leaf, so all ties are met
+    for meeting in (neighbours.MEETING, 1):
+        neighbours.MEETING, before = meeting, neighbours.MEETING
+        found = neighbours.search(spark.createDataFrame(signs, "vec_id long, embedding array<double>"), F.col("vec_id") % 250 == 0).collect()
+        neighbours.MEETING = before
+        x = np.array([v for _, v in signs])
+        for q in range(0, 1000, 250):
+            score = neighbours.cosine(x, x[q])
+            order = [int(i) for i in np.lexsort((np.arange(1000), -score)) if i != q][:5]
+            assert [z.vec_id for z in sorted(found, key=lambda z: z["rank"]) if z.query_id == q] == order
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.search(empty, F.lit(True)).count() == 0
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
@@ -382,6 +394,24 @@ def test_mix(spark):
     assert max(each) < 40 and mix.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_keeps_columns_of_any_name(spark):
+    odd = ["rate", "parts", "cumulative", "__place", "__source", "__count", "n", "w", "mixrate", "place", "a.b"]
+    docs = documents(spark, [(i, str(i)) for i in range(60)])
+    for c in odd:
+        docs = docs.withColumn(c, F.lit(c))
+    out = mix.mix(docs)
+    assert out.columns == [*docs.columns, "copy"] and all(r[c] == c for r in out.collect() for c in odd)
+
+
+def test_mix_makes_many_copies_of_few(spark):
+    docs = documents(spark, [(0, "x"), (1, "y"), (3, "z"), (4, "w"), (None, "v")])
+    out = mix.mix(docs, weights={"s0": 1.0, "s1": 3.0}, total=12000)  # sources s0: 0, 3, None; s1: 1, 4
+    rows = [(r.doc_id, r["copy"]) for r in out.collect()]
+    counts = Counter(i for i, _ in rows)
+    assert len(set(rows)) == len(rows) and all(max(c for i, c in rows if i == j) == n for j, n in counts.items())
+    assert all(abs(counts[i] - 4500) < 400 for i in (1, 4)) and all(abs(counts[i] - 1000) < 200 for i in (0, 3, None))
+
+
 def test_poisson_inversion(spark):
     got = spark.range(1).select(mix._cumulative(F.lit(2.5))).first()[0]
     want = np.cumsum([math.exp(-2.5) * 2.5**k / math.factorial(k) for k in range(mix.TERMS)])
