@@ -102,46 +102,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-_TEMPLATES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licences.TEMPLATES.items())
 _WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+_TEMPLATES = ", ".join(f"({whole}, {number}, '{name}', '{w}', {n})" for number, (whole, name, ws) in enumerate(licences.templates()) for w, n in sorted(ws.items()))
+
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {
-    "op5_licences": f"""
-        WITH templates AS (SELECT name, unnest({_WORDS.format("body")}) AS w FROM (VALUES {_TEMPLATES}) AS t(name, body)),
-        of_template AS (SELECT name, w, count(*)::DOUBLE AS tf FROM templates GROUP BY ALL),
+    "op5_licences": rf"""
+        WITH templates(whole, number, name, w, n) AS (VALUES {_TEMPLATES}),
+        total AS (SELECT count(DISTINCT number) AS n FROM templates),
+        idf AS (SELECT w, ln((1 + (SELECT n FROM total)) / (1.0 + count(*))) + 1 AS idf FROM templates GROUP BY w),
+        lengths AS (SELECT number, sqrt(sum((n * idf) ** 2)) AS length FROM templates JOIN idf USING (w) GROUP BY number),
         files AS (
             SELECT row_number() OVER () AS file_no, doc_id, concat_ws('/', source, lang) AS directory, coalesce(text, '') AS text FROM documents),
-        total AS (SELECT count(*) AS n FROM files),
-        holding AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct({_WORDS.format("text")})) AS w FROM files) GROUP BY w),
-        idf AS (
-            SELECT w, ln((1 + (SELECT n FROM total)) / (1.0 + coalesce(max(h.n), 0))) + 1 AS idf
-            FROM of_template LEFT JOIN holding h USING (w) GROUP BY w),
-        lengths AS (SELECT name, sqrt(sum((tf * idf) ** 2)) AS length FROM of_template JOIN idf USING (w) GROUP BY name),
-        lines AS (SELECT DISTINCT file_no, unnest(string_split(text, chr(10))) AS unit FROM files),
-        headers AS (SELECT file_no, unit FROM lines WHERE regexp_matches(unit, '{licences.MARKS}')),
+        marked AS (SELECT * FROM files WHERE regexp_matches(text, '{licences.MARKS}')),
+        lines AS (SELECT file_no, unnest(string_split(text, chr(10))) AS unit FROM marked),
+        parts AS (
+            SELECT file_no, unnest(regexp_split_to_array(text, '{licences.BLANK}')) AS unit FROM marked
+            UNION ALL SELECT * FROM lines
+            UNION ALL SELECT file_no, unnest(regexp_split_to_array(unit, '{licences.STOP}')) FROM lines WHERE regexp_matches(unit, '{licences.MARKS}')),
         units AS (
-            SELECT file_no, unit, bool_or(header) AS header, bool_or(file) AS file FROM (
-                SELECT file_no, unit, true AS header, false AS file FROM headers
-                UNION ALL SELECT file_no, text, false, true FROM files WHERE file_no IN (SELECT file_no FROM headers))
-            GROUP BY ALL),
+            SELECT DISTINCT file_no, false AS whole, unit FROM parts WHERE regexp_matches(unit, '{licences.MARKS}')
+            UNION ALL SELECT file_no, true, text FROM marked),
         numbered AS (SELECT row_number() OVER () AS unit_no, * FROM units),
-        of_unit AS (SELECT unit_no, w, count(*)::DOUBLE AS tf FROM (SELECT unit_no, unnest({_WORDS.format("unit")}) AS w FROM numbered) GROUP BY ALL),
+        of_unit AS (SELECT unit_no, whole, w, count(*)::DOUBLE AS tf FROM (SELECT unit_no, whole, unnest({_WORDS.format("unit")}) AS w FROM numbered) GROUP BY ALL),
         norms AS (
-            SELECT unit_no, sqrt(sum(CASE WHEN idf IS NULL THEN tf * (ln(1 + (SELECT n FROM total)) + 1) ** 2 ELSE (tf * idf) ** 2 END)) AS norm
+            SELECT unit_no, sqrt(sum((tf * coalesce(idf, ln(1 + (SELECT n FROM total)) + 1)) ** 2)) AS norm
             FROM of_unit LEFT JOIN idf USING (w) GROUP BY unit_no),
         scores AS (
-            SELECT unit_no, name, sum(u.tf * t.tf * idf ** 2) / (any_value(norm) * any_value(length)) AS score
-            FROM of_unit u JOIN of_template t USING (w) JOIN idf USING (w) JOIN norms USING (unit_no) JOIN lengths USING (name) GROUP BY unit_no, name),
-        best AS (
-            SELECT unit_no, name, score FROM scores
-            QUALIFY row_number() OVER (PARTITION BY unit_no ORDER BY round(score, 12) DESC, name) = 1),
-        matched AS (SELECT * FROM numbered JOIN best USING (unit_no)),
+            SELECT unit_no, number, name, sum(u.tf * t.n * idf ** 2) / (any_value(norm) * any_value(length)) AS score
+            FROM of_unit u JOIN templates t ON u.w = t.w AND u.whole = t.whole JOIN idf ON idf.w = u.w JOIN norms USING (unit_no) JOIN lengths USING (number)
+            GROUP BY unit_no, number, name),
+        good AS (
+            SELECT file_no, whole, name, score FROM scores JOIN numbered USING (unit_no)
+            WHERE score >= CASE WHEN whole THEN {licences.FILE} ELSE {licences.HEADER} END),
         own AS (
-            SELECT file_no, name, score FROM matched WHERE header AND score >= {licences.HEADER}
-            QUALIFY row_number() OVER (PARTITION BY file_no ORDER BY round(score, 12) DESC, name) = 1),
+            SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY file_no ORDER BY whole DESC, round(score, 12) DESC, name) = 1),
         licensed AS (
-            SELECT directory AS ancestor, name, score FROM matched JOIN files USING (file_no) WHERE file AND score >= {licences.FILE}
+            SELECT directory AS ancestor, name, score FROM good JOIN files USING (file_no) WHERE whole
             QUALIFY row_number() OVER (PARTITION BY directory ORDER BY round(score, 12) DESC, name) = 1),
         above AS (
             SELECT DISTINCT directory, array_to_string(string_split(directory, '/')[1:i], '/') AS ancestor
@@ -150,7 +148,7 @@ ORACLES: dict[str, str] = {
             SELECT directory, ancestor, name, score FROM above JOIN licensed USING (ancestor)
             QUALIFY row_number() OVER (PARTITION BY directory ORDER BY length(ancestor) DESC) = 1)
         SELECT doc_id, coalesce(o.name, n.name, '') AS licence, coalesce(round(coalesce(o.score, n.score), 6), 0.0) AS score,
-               CASE WHEN o.name IS NOT NULL THEN 'header' WHEN n.name IS NOT NULL THEN 'inherited' ELSE 'none' END AS found,
+               CASE WHEN o.whole THEN 'text' WHEN o.name IS NOT NULL THEN 'header' WHEN n.name IS NOT NULL THEN 'inherited' ELSE 'none' END AS found,
                CASE WHEN o.name IS NULL AND n.name IS NOT NULL THEN n.ancestor ELSE '' END AS origin
         FROM files f LEFT JOIN own o USING (file_no) LEFT JOIN nearest n ON f.directory = n.directory
     """,

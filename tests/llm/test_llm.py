@@ -356,20 +356,60 @@ def test_neighbours(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in neighbours.search(two, F.lit(True)).orderBy("query_id").collect()] == [(0, 1, 1), (1, 1, 0)]
 
 
+MIT_OF = """The MIT License (MIT)
+
+Copyright (c) 2021-2024 Jane Roe and the authors of the widget library
+
+"""
+
+
 def test_licences(spark):
+    texts = licences.TEXTS
+    mit, bsd = MIT_OF + texts["MIT"].split("\n\n", 1)[1], "Copyright (c) 2019, Some People\nAll rights reserved.\n\n" + texts["BSD-3-Clause"].split("\n\n", 1)[1]
+    apache = "/*\n * Copyright 2020 The Widget Authors\n *\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n" \
+        " * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n */\nint main() { return 0; }\n"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n" \
+        "# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\nprint(1)\n"
     rows = [
-        ("a/LICENSE", "Released under the MIT License."), ("a/b/x.txt", prose(1, 40)), ("a/b/y.txt", prose(2, 40) + "\nLicensed under the Apache License, Version 2.0.\n" + prose(3, 40)),
-        ("c/z.txt", prose(4, 30)), ("a", None), (None, "Licensed under CC BY-NC 4.0."), ("a/b/x.txt", ""), ("d/w.txt", "my licence is my own business and none of yours at all"),
+        ("m/LICENSE", mit, "MIT", "text", None), ("m/a.py", "print(1)", "MIT", "inherited", "m"), ("m/b/c/d.py", None, "MIT", "inherited", "m"),
+        ("b/anything.txt", bsd, "BSD-3-Clause", "text", None), ("b/x", "", "BSD-3-Clause", "inherited", "b"),
+        ("g/COPYING", texts["GPL-3.0"], "GPL-3.0", "text", None), ("g2/COPYING", texts["GPL-2.0"], "GPL-2.0", "text", None), ("ap/LICENSE", texts["Apache-2.0"], "Apache-2.0", "text", None),
+        ("ap/isc/LICENSE", "Copyright 2001 Me\n\n" + texts["ISC"].split("\n\n", 1)[1], "ISC", "text", None), ("ap/isc/y.c", prose(1, 40), "ISC", "inherited", "ap/isc"),
+        ("m/apache.c", apache, "Apache-2.0", "header", None), ("m/gpl.py", gpl, "GPL-3.0", "header", None),
+        ("s/one.py", "# SPDX-License-Identifier: MIT\n" + prose(2, 90), "MIT", "header", None), ("s/two.py", "// SPDX-License-Identifier: Apache-2.0\n" + prose(3, 90), "Apache-2.0", "header", None),
+        ("s/three.py", prose(4, 90), None, None, None),  # a header does not make a licence file of a source file
+        ("n/LICENSE.md", "Copyright Acme. Released under the MIT License.", "MIT", "header", None), ("n/z", "z", "MIT", "inherited", "n"),
+        ("t/x.txt", prose(5, 40) + "\nLicensed under CC BY-NC 4.0.\n" + prose(6, 40), "CC-BY-NC-4.0", "header", None),
+        ("t/y.txt", "Released under the MIT License by Acme", "MIT", "header", None), ("t/mit.c", "/* " + mit + " */\n" + prose(7, 3000), "MIT", "header", None),
+        ("d/w.txt", "my licence is my own business and none of yours at all", None, None, None), ("d", None, None, None, None), (None, "Licensed under CC BY 4.0.", "CC-BY-4.0", "header", None),
+        (None, "nothing", None, None, None), ("", "", None, None, None), ("m/a.py", "print(1)", "MIT", "inherited", "m"), ("l/NOTICE", "Released under the MIT License.\n" * 4000, "MIT", "header", None),
+        ("e/LICENSE", "Licensed under the ISC License", "ISC", "header", None), ("e/COPYING", "Licensed under the zlib License", "Zlib", "header", None), ("e/f", "f", "ISC", "inherited", "e"),  # a tie
     ]
-    got = {(r.path, r.licence, r.found, r.origin) for r in licences.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
-    assert got == {
-        ("a/LICENSE", "MIT", "header", None), ("a/b/x.txt", "MIT", "inherited", "a"), ("a/b/y.txt", "Apache-2.0", "header", None), ("c/z.txt", None, None, None),
-        ("a", None, None, None), (None, "CC-BY-NC-4.0", "header", None), ("d/w.txt", None, None, None),
-    }
-    assert licences.scan(spark.createDataFrame([], "path string, text string")).count() == 0
-    # a notice that fills a long text makes a licence file of it
-    long = [("p/NOTICE", "Released under the MIT License.\n" * 5000), ("p/q/x", "none"), ("p/NOTICE", "Released under the MIT License.\n" * 5000)]
-    assert {(r.path, r.licence, r.found, r.origin) for r in licences.scan(spark.createDataFrame(long, "path string, text string")).collect()} == {("p/NOTICE", "MIT", "header", None), ("p/q/x", "MIT", "inherited", "p")}
+    frame = spark.createDataFrame([(p, x, "own", "own", 1.0) for p, x, *_ in rows], "path string, text string, licence string, directory string, score double")
+    want = Counter((p, *rest) for p, _, *rest in rows)
+    got = [(r.path, r.licence, r.found, r.origin) for r in licences.scan(frame).collect()]
+    assert Counter(got) - want == Counter() and Counter(got) == want
+    many = frame.unionByName(spark.range(3000).select(F.concat(F.lit("o/"), "id").alias("path"), F.lit("some words about a licence").alias("text"), F.lit("").alias("licence"), F.lit("").alias("directory"), F.lit(0.0).alias("score")))
+    assert Counter((r.path, r.licence, r.found, r.origin) for r in licences.scan(many).where("path is null or path not like 'o/%'").collect()) == want  # the size of the table does not matter
+    assert licences.scan(frame.limit(0)).count() == 0
+
+
+def test_licence_scores_are_cosines():
+    idf, other, rows = licences.weights()
+    dense = {}
+    for whole, number, name, w, x in rows:
+        dense.setdefault((whole, number, name), {})[w] = x
+    assert all(abs(sum(x * x for x in v.values()) - 1) < 1e-9 for v in dense.values())
+
+    def best(text, whole):
+        v = {w: n * idf.get(w, other) for w, n in Counter(licences.plain_words(text)).items()}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return max((sum(v.get(w, 0) * x for w, x in t.items()) / length, name) for (is_whole, _, name), t in dense.items() if is_whole == whole)
+
+    for name, text in licences.TEXTS.items():
+        assert best("Copyright 1999 A. N. Other, the widget authors. " + text, True)[1] == name and best(text, True)[0] > 0.999
+    for name, notices in licences.NOTICES.items():
+        assert all(best(x, False)[1] == name for x in notices)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
