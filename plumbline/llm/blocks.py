@@ -135,7 +135,7 @@ def in_blocks(rows: DataFrame, block_range: tuple[int, int] = BLOCK_BYTES) -> tu
             yield chunk()
 
     found = rows.select(*others, "text").mapInArrow(run, f"block long, {kinds}, ends array<long>, texts binary")
-    return staged(found, "blocks"), max(wide, size // (4 * BLOCK_BYTES[1]))
+    return staged(found, "blocks"), max(4 * wide, size // BLOCK_BYTES[1])
 
 
 def texts_of(chunks: pa.Table) -> Iterator[bytes]:
