@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -131,6 +131,10 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
         yield here, rows
 
 
+def _stretch() -> Column:
+    return F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-(2**62)))
+
+
 def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``(conv, turn, role, text, new_role, empty_before, joins, cost)``: what becomes of each distinct given turn.
 
@@ -144,7 +148,7 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     rows = turns.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
-    rows = rows.distinct().withColumn("stretch", F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-(2**62))))
+    rows = rows.distinct().withColumn("stretch", _stretch())
     order = ["conv", "stretch", "turn", "role", "text"]
 
     def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,12 +188,18 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 def rendered(repaired: DataFrame) -> DataFrame:
     """``(conv, turn_no, role, text, n_given, rendered)``: the repaired turns, numbered from zero; joined texts are parted by a newline.
 
-    ``rendered`` is the turn in chat markup, ``<|role|>``, a newline, the text and ``<|end|>``.
+    Stretches are numbered by themselves, and the few sums of a conversation's stretches are added up. ``rendered`` is the turn in
+    chat markup, ``<|role|>``, a newline, the text and ``<|end|>``.
     """
     adds = F.when(F.col("joins"), 0).when(F.col("empty_before").isNotNull(), 2).otherwise(1)
-    order = Window.partitionBy("conv").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = repaired.withColumn("no", F.sum(adds).over(order).cast("long") - 1).withColumn("at", F.row_number().over(order))
-    given = numbered.groupBy("conv", F.col("no").alias("turn_no"), F.col("new_role").alias("role")).agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
+    cut = repaired.withColumn("stretch", _stretch())
+    sums = cut.groupBy(F.col("conv").alias("c"), F.col("stretch").alias("s")).agg(F.sum(adds).alias("of_stretch"))
+    before = F.coalesce(F.sum("of_stretch").over(Window.partitionBy("c").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("c", "s", before.alias("before"))
+    order = Window.partitionBy("conv", "stretch").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = cut.withColumn("no", F.sum(adds).over(order).cast("long") - 1).withColumn("at", F.row_number().over(order))
+    numbered = numbered.join(sums, F.col("conv").eqNullSafe(F.col("c")) & (F.col("stretch") == F.col("s"))).withColumn("no", F.col("no") + F.col("before"))
+    given = numbered.groupBy("conv", F.col("no").alias("turn_no"), F.col("new_role").alias("role")).agg(F.array_sort(F.collect_list(F.struct("stretch", "at", "text"))).alias("parts"))
     given = given.select("conv", "turn_no", "role", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"), F.size("parts").alias("n_given"))
     empty = numbered.where("empty_before is not null").select("conv", (F.col("no") - 1).alias("turn_no"), F.col("empty_before").alias("role"), F.lit("").alias("text"), F.lit(0).alias("n_given"))
     return given.unionByName(empty).withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("<|end|>")))

@@ -1,7 +1,7 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field (operator 3).
 
-The base patterns give certain spans. What is left around digits, at-signs and written-out at-signs is
-cut into short windows; in each window the field scores whole candidate segments (digit counts, group
+The base patterns give certain spans. What is left around digits, at-signs and written-out at-signs, as many
+tokens on either side as a segment can have, is looked at in windows; in each the field scores whole candidate segments (digit counts, group
 shapes, Luhn sums, separators, neighbouring words) of at most MAX_TOKENS tokens, and a dynamic program
 over all segmentations picks boundaries and kinds jointly. The field's weights are learnt on the driver,
 by its exact likelihood, from windows that a fixed grammar writes: personal data in unusual dress, and
@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,6 @@ from plumbline.llm.shared import small_batches
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of the longest segment that the field considers.
 MAX_TOKENS = 16
-#: Characters of context on either side of what may be part of a segment.
-CONTEXT = 48
 #: A segment must beat leaving its tokens alone by so much (log odds).
 MARGIN = 2.0
 
@@ -36,8 +35,8 @@ DOTTED = re.compile(r"[0-9][0-9.]*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-#: A plain "at" counts only before a dot within a domain's length.
-ANCHOR = re.compile(r"[0-9]+|@|[\[({]\s?at\s?[\])}]|\sat\s(?=[^@]{1,40}?(?:\sdot\s|[\[({]\s?dot\s?[\])}]|\.[^\W\d_]))", re.IGNORECASE)
+#: A plain "at" counts only before a dot no further off than a label of a domain can be long.
+ANCHOR = re.compile(r"[0-9]+|@|[\[({]\s?at\s?[\])}]|\sat\s(?=[^@]{1,64}?(?:\sdot\s|[\[({]\s?dot\s?[\])}]|\.[^\W\d_]))", re.IGNORECASE)
 #: Four groups of digits with nothing but signs between them.
 FOUR = re.compile(r"[0-9]+(?:[^\w]{1,7}[0-9]+){3}")
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_")
@@ -111,30 +110,49 @@ def _bucket(n: int) -> str:
     return str(n) if n <= 4 or 7 <= n <= 11 or n in (13, 14, 15, 16) else "5-6" if n < 7 else "12" if n == 12 else "17-19" if n < 20 else "20+"
 
 
-def candidates(text: str) -> tuple[list[re.Match], list[tuple[int, int, int, tuple[str, ...]]]]:
-    """Tokens, and segments ``(first, after last, kind, features)`` that could be of a kind at all."""
-    tokens = list(TOKEN.finditer(text))
-    marks = [(m.start(), m.end()) for m in AT.finditer(text)] + [(i, i + 1) for i, c in enumerate(text) if c == "@"]
+class Marks:
+    """Where at-signs stand, written out or not."""
+
+    def __init__(self, text: str):
+        found = sorted([(m.start(), m.end()) for m in AT.finditer(text)] + [(m.start(), m.end()) for m in re.finditer("@", text)])
+        self.starts = [a for a, _ in found]
+        self.nearest = [b for _, b in found]  # the first end of what starts here or later
+        for i in range(len(found) - 2, -1, -1):
+            self.nearest[i] = min(self.nearest[i], self.nearest[i + 1])
+
+    def inside(self, start: int, end: int) -> bool:
+        """Whether one lies within, touching neither end."""
+        i = bisect_right(self.starts, start)
+        return i < len(self.starts) and self.nearest[i] < end
+
+
+def candidates(text: str, tokens: list[re.Match] | None = None, marks: Marks | None = None) -> tuple[list[re.Match], list[tuple[int, int, int, tuple[str, ...]]]]:
+    """Tokens, and segments ``(first, after last, kind, features)`` that could be of a kind at all. All tokens and marks of the text unless given."""
+    tokens = list(TOKEN.finditer(text)) if tokens is None else tokens
+    marks = marks or Marks(text)
     out = []
     for i, first in enumerate(tokens):
         head = first[0]
-        numeric, dotted, groups = head.isdigit() or head in "+(", head.isdigit(), 0
+        numeric, dotted, groups, n = head.isdigit() or head in "+(", head.isdigit(), 0, 0
+        start = first.start()
         for j in range(i + 1, min(i + MAX_TOKENS, len(tokens)) + 1):
             last = tokens[j - 1]
-            start, end = first.start(), last.end()
-            span = text[start:end]
-            groups += last[0].isdigit()
-            if j > i + 1 and not last[0].isdigit():
-                numeric = numeric and last[0] in "+()-./"
-                dotted = dotted and last[0] in "()[]{}-./"
-            if (numeric or dotted) and last[0].isdigit() and len(span) - span.count(" ") < 40:
-                n = _count(span)
-                kinds = [1] * (dotted and groups == 4 and n >= 4) + [2, 3] * (numeric and n >= 7)
-                if kinds:
-                    common = _numeric(text, span, start, end, n)
-                    out += [(i, j, kind, common) for kind in kinds]
-            if head[0].isalnum() and last[0].isalpha() and any(start < a and b < end for a, b in marks):
-                out.append((i, j, 0, _written(text, span, start, end)))
+            word, end = last[0], last.end()
+            if word.isdigit():
+                groups += 1
+                n += _count(word)
+            elif j > i + 1:
+                numeric = numeric and word in "+()-./"
+                dotted = dotted and word in "()[]{}-./"
+            if (numeric or dotted) and word.isdigit() and n >= 4:
+                span = text[start:end]
+                if len(span) - span.count(" ") < 40:
+                    kinds = [1] * (dotted and groups == 4) + [2, 3] * (numeric and n >= 7)
+                    if kinds:
+                        common = _numeric(text, span, start, end, n)
+                        out += [(i, j, kind, common) for kind in kinds]
+            if head[0].isalnum() and word.isalpha() and marks.inside(start, end):
+                out.append((i, j, 0, _written(text, text[start:end], start, end)))
     return tokens, out
 
 
@@ -314,27 +332,44 @@ def trained() -> Field:
 def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     """Spans that the field finds outside the base spans."""
     taken = sorted((s, e) for _, s, e in base)
-    areas: list[list[int]] = []
+    marks = Marks(text)
+    tokens, runs = [], []  # runs of tokens that no base span touches: (first, after last)
     at = 0
-    for m in ANCHOR.finditer(text):
+    for m in TOKEN.finditer(text):
         while at < len(taken) and taken[at][1] <= m.start():
             at += 1
         if at < len(taken) and taken[at][0] < m.end():
             continue
-        low = max(m.start() - CONTEXT, taken[at - 1][1] if at else 0)
-        high = min(m.end() + CONTEXT, taken[at][0] if at < len(taken) else len(text))
-        if areas and low <= areas[-1][1]:
+        parted = tokens and any(s < m.start() and tokens[-1].end() < e for s, e in taken[max(0, at - 1) : at])
+        if not tokens or parted:
+            runs.append([len(tokens), len(tokens)])
+        tokens.append(m)
+        runs[-1][1] = len(tokens)
+    starts = [m.start() for m in tokens]
+    areas: list[list[int]] = []
+    run = 0
+    for m in ANCHOR.finditer(text):
+        i = max(bisect_right(starts, m.start()) - 1, 0)
+        j = bisect_left(starts, m.end())
+        while run < len(runs) and runs[run][1] <= i:
+            run += 1
+        if run == len(runs):
+            break
+        low, high = max(i - MAX_TOKENS, runs[run][0]), min(j + MAX_TOKENS, runs[run][1])
+        if low >= high:
+            continue
+        if areas and low < areas[-1][1] and runs[run][0] <= areas[-1][0]:
             areas[-1][1] = max(high, areas[-1][1])
         else:
             areas.append([low, high])
     found = []
     for low, high in areas:
-        part = text[low:high]
+        part = text[tokens[low].start() : tokens[high - 1].end()]
         if _count(part) < 7 and "@" not in part and not AT.search(part) and not FOUR.search(part):
             continue
-        tokens, segments = candidates(part)
-        found += [(k, low + tokens[i].start(), low + tokens[j - 1].end()) for i, j, k in field.best(tokens, segments)]
-    return [(k, s, e) for k, s, e in found if not any(a < e and s < b for a, b in taken)]
+        here, segments = candidates(text, tokens[low:high], marks)
+        found += [(k, here[i].start(), here[j - 1].end()) for i, j, k in field.best(here, segments)]
+    return found
 
 
 SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
@@ -345,7 +380,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """``(id, spans)``: personal data of every whole text, in code points, by kind (email, ip, card, phone) and start.
 
     ``base`` tells the fixed patterns' spans from those the field added. A null text is empty; empty
-    texts have an empty array. Each row is handled by itself, so repeated rows give repeated results;
+    texts have an empty array; the time a text takes is in proportion to its length. Each row is handled by itself, so repeated rows give repeated results;
     an empty table gives an empty result; other columns are not read.
     """
     small_batches(docs.sparkSession)

@@ -3,7 +3,8 @@
 Only documents are labelled; sentences are the instances. A sentence's score is logistic in the words it
 holds, a document's score is the noisy-or of its sentences' scores, and the words' weights are fitted to
 the documents' labels through it. Words that can matter are found first, by counts in toxic and other
-labelled documents; they are at most VOCABULARY.
+labelled documents of the sample: all that LEAST_DOCS toxic documents hold and that stand out there. None of them is left
+out, so there are as many as the sample, whose size is bounded, has.
 """
 
 from __future__ import annotations
@@ -21,10 +22,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.shared import small_batches, staged
 from plumbline.llm.supervise import SAMPLE, labelled
 
-#: Words and beginnings that the model weighs, at most.
-VOCABULARY = 4000
-#: Toxic documents that must hold a word before it is weighed.
-LEAST_DOCS = 3
+#: Evidence: toxic documents that must hold a word, or beginning of words, and its least log lift among them, before it is weighed.
+LEAST_DOCS, LEAST_LIFT = 3, 0.7
 ROUNDS, RATE, DECAY, START = 200, 0.3, 0.003, -6.0
 #: A sentence of at least this score is reported as offending.
 OFFENDING = 0.5
@@ -35,34 +34,57 @@ SENTENCE = re.compile(r"[^.!?\n]*[^.!?\n\s][^.!?\n]*")
 BREAKS = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
 
+def split(text: str) -> set[bytes]:
+    """Lower-cased words without ASCII marks around or within."""
+    return set(text.lower().encode().translate(BREAKS).split())
+
+
+def of_word(word: bytes) -> list[bytes]:
+    """A word and its beginnings, which endings do not change."""
+    return [word, *(word[:k] + b"*" for k in STEMS if len(word) >= k)]
+
+
 def features(text: str) -> set[bytes]:
-    """Lower-cased words without ASCII marks around or within, and the words' beginnings, which endings do not change."""
-    found = set(text.lower().encode().translate(BREAKS).split())
-    return found.union(*({w[:k] + b"*" for w in found if len(w) >= k} for k in STEMS))
+    return {f for w in split(text) for f in of_word(w)}
 
 
-@dataclass
-class Model:
-    bias: float
-    weights: dict[bytes, float]
+class Known(dict):
+    """For each word met so far those of its features that a vocabulary has."""
 
-    def sentences(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
-        """The number of sentences, and ``(start, end, score)`` of those that hold a weighed word."""
+    def __init__(self, vocabulary):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: bytes) -> tuple[bytes, ...]:
+        if len(self) > 1 << 20:
+            self.clear()
+        found = self[word] = tuple(f for f in of_word(word) if f in self.vocabulary)
+        return found
+
+    def sentences(self, text: str) -> tuple[int, list[tuple[int, int, list[bytes]]]]:
+        """The number of sentences, and ``(start, end, features)`` of those with known ones, in order."""
+        hits = {w: f for w in split(text) if (f := self[w])}
+        if not hits:
+            return sum(map(bool, map(str.strip, re.split(r"[.!?\n]+", text)))), []
         n, found = 0, []
         for m in SENTENCE.finditer(text):
             n += 1
-            known = features(m[0]) & self.weights.keys()
-            if known:
-                found.append((m.start(), m.end(), sigmoid(self.bias + sum(self.weights[w] for w in sorted(known)))))
+            here = [hits[w] for w in split(m[0]) if w in hits]
+            if here:
+                found.append((m.start(), m.end(), sorted({f for fs in here for f in fs})))
         return n, found
 
-    def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        if self.weights.keys().isdisjoint(features(text)):
-            n, found = sum(map(bool, map(str.strip, re.split(r"[.!?\n]+", text)))), []
-        else:
-            n, found = self.sentences(text)
-        clean = (n - len(found)) * np.log1p(-sigmoid(self.bias)) + sum(np.log1p(-min(p, 1 - 1e-12)) for _, _, p in found)
-        return float(-np.expm1(clean)), [x for x in found if x[2] >= OFFENDING]
+
+@dataclass
+class Model:
+    bias: float
+    weights: dict[bytes, float]
+
+    def score(self, text: str, known: Known | None = None) -> tuple[float, list[tuple[int, int, float]]]:
+        """The text's score and ``(start, end, score)`` of offending sentences. known: of the weighed words, kept from text to text."""
+        n, found = (Known(self.weights) if known is None else known).sentences(text)
+        scored = [(s, e, sigmoid(self.bias + sum(self.weights[f] for f in fs))) for s, e, fs in found]
+        clean = (n - len(scored)) * np.log1p(-sigmoid(self.bias)) + sum(np.log1p(-min(p, 1 - 1e-12)) for _, _, p in scored)
+        return float(-np.expm1(clean)), [x for x in scored if x[2] >= OFFENDING]
 
 
 def sigmoid(z: float) -> float:
@@ -99,7 +121,8 @@ def fit(bags: list[tuple[int, int, list[list[int]]]], first: np.ndarray, rounds:
 def train(docs: DataFrame, labels: DataFrame, training: Column | None = None, label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on about ``sample`` documents with labels for which ``training``, a condition on ``doc_id``, holds.
 
-    Without toxic documents, or without others, the model weighs no word and its bias gives the labels' smoothed share.
+    A document's label counts for each of its rows; rows of an id that stands often, in ``docs`` or ``labels``, are each in the sample
+    or none is. Texts of any length count as a whole. Without toxic documents, or without others, the model weighs no word and its bias gives the labels' smoothed share.
     """
     small_batches(docs.sparkSession)
     known = staged(labelled(docs, labels, label_col, training, sample=sample).select("text", (F.col("label") > 0).alias("toxic")), "labelled")
@@ -123,18 +146,19 @@ def train(docs: DataFrame, labels: DataFrame, training: Column | None = None, la
 
     counted = known.mapInArrow(count, "word binary, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     lift = F.log((F.col("bad") + 0.1) / (toxic + 0.2)) - F.log((F.col("good") + 0.1) / (others + 0.2))
-    chosen = counted.where(F.col("bad") >= LEAST_DOCS).withColumn("gain", F.col("bad") * lift).where(lift > 0.7)
-    top = chosen.orderBy(F.desc("gain"), "word").limit(VOCABULARY).select("word", lift.alias("lift")).collect()
+    chosen = counted.where(F.col("bad") >= LEAST_DOCS).where(lift > LEAST_LIFT)
+    top = chosen.orderBy("word").select("word", lift.alias("lift")).collect()
     vocabulary = [bytes(r[0]) for r in top]
     number = {w: i for i, w in enumerate(vocabulary)}
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(number)
         for b in batches:
             plain, held = [], []
             for text in b.column(0).to_pylist():
-                found = [sorted(number[w] for w in features(m[0]) & number.keys()) for m in SENTENCE.finditer(text)]
-                held.append([x for x in found if x])
-                plain.append(len(found) - len(held[-1]))
+                n, found = known.sentences(text)
+                held.append([[number[f] for f in fs] for _, _, fs in found])
+                plain.append(n - len(found))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(plain, pa.int64()), pa.array(held, pa.list_(pa.list_(pa.int32())))], names=["toxic", "plain", "held"])
 
     bags = known.mapInArrow(bag, "toxic boolean, plain long, held array<array<int>>").toArrow().to_pylist()
@@ -146,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column | None = None, la
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score, offending)`` for every row; ``offending`` has start, end (code points) and score of the sentences at fault.
 
-    A text without sentences, null or empty, scores zero. Repeated rows get equal scores. An empty
+    A text without sentences, null or empty, scores zero; a text of any length is scored as a whole. Repeated rows get equal scores. An empty
     table gives an empty result; other columns are not read.
     """
     small_batches(docs.sparkSession)
@@ -154,8 +178,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(model.weights)
         for b in batches:
-            found = [model.score(text or "") for text in b.column(1).to_pylist()]
+            found = [model.score(text or "", known) for text in b.column(1).to_pylist()]
             at = [[{"start": s, "end": e, "score": p} for s, e, p in x] for _, x in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in found], pa.float64()), pa.array(at, spans)], names=["id", "score", "offending"])
 
@@ -169,7 +194,8 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float, text_col: str =
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(model.weights)
         for b in batches:
-            yield b.filter(pa.array([model.score(text or "")[0] < threshold for text in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([model.score(text or "", known)[0] < threshold for text in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -224,6 +224,22 @@ def test_field_finds_each_form(kind, form):
     assert np.mean(hits) >= 0.9
 
 
+def test_field_is_linear_and_unclipped():
+    import time
+
+    field, seconds = pii.trained(), []
+    for n in (1000, 4000):
+        began = time.perf_counter()
+        pii.spans_of("ab@cd ef " * n, field)
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 10 * seconds[0]
+    name = "m" + "no" * 29  # nearly the longest label of a domain
+    for text in (f"{name} at {name} dot com", f"write to {name} (at) {name} (dot) org now", "x" * 5000 + f" {name} [at] {name} [dot] net " + "y" * 5000):
+        found = pii.spans_of(text, field)
+        assert len(found) == 1 and text[found[0][1] : found[0][2]].startswith(name) and text[found[0][1] : found[0][2]][-3:] in ("com", "org", "net")
+    assert pii.Marks("a@b at c").inside(0, 3) and not pii.Marks("a@b at c").inside(1, 9) is None
+
+
 def test_field_leaves_lists_alone():
     for text in ("see [1] [2] [3] [4] there", "as in [1][2][3][4].", "(1) (2) (3) (4) done", "take 1 2 3 4 of them", "levels 10 - 20 - 30 - 40 here", "we met at noon. Then at home.org news"):
         assert pii.spans_of(text, pii.trained()) == [], text
@@ -319,6 +335,43 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_noisy_or_is_plain_noisy_or():
+    vocabulary = {b"vile": 6.0, b"vile*": 1.0, b"kind": -2.0, b"badly": 4.0, b"badl*": 0.5}
+    model = toxicity.Model(-4.0, vocabulary)
+    r = random.Random(3)
+    known = toxicity.Known(model.weights)
+    for _ in range(300):
+        text = "".join(r.choice(["vile ", "Vilest ", "kind ", "badly ", "so ", "é ", ". ", "! ", "\n", "?", "a-b "]) for _ in range(r.randint(0, 25)))
+        clean, offending = 1.0, []
+        for m in re.finditer(r"[^.!?\n]+", text):
+            if m[0].strip():
+                z = model.bias + sum(vocabulary[f] for f in toxicity.features(m[0]) if f in vocabulary)
+                p = 1 / (1 + math.exp(-z))
+                clean *= 1 - p
+                offending += [(m.start(), m.end())] * (p >= toxicity.OFFENDING)
+        for given in (None, known):
+            score, spans = model.score(text, given)
+            assert abs(score - (1 - clean)) < 1e-9 and [x[:2] for x in spans] == offending
+    # the fit climbs the likelihood that plain products give
+    bags = [(1, 2, [[0], [1]]), (1, 0, [[0, 1]]), (0, 3, [[1]]), (0, 1, []), (1, 1, [[0]]), (0, 0, [[1], [1]])]
+
+    def loss(bias, w):
+        total = 0.0
+        for y, plain, held in bags:
+            none = (1 - 1 / (1 + math.exp(-bias))) ** plain
+            for s in held:
+                none *= 1 - 1 / (1 + math.exp(-bias - sum(w[k] for k in s)))
+            total -= math.log(max(1 - none, 1e-12) if y else none)
+        return total
+
+    start = np.array([1.0, 0.0])
+    bias, w = toxicity.fit(bags, start, decay=0.0)
+    assert loss(bias, w) < loss(toxicity.START, start) / 3
+    for k in range(2):  # near the top: no small step gains much
+        for d in (-0.05, 0.05):
+            assert loss(bias, w + d * (np.arange(2) == k)) > loss(bias, w) - 0.05
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(4)
     x = r.normal(size=(3000, 16))
@@ -504,6 +557,15 @@ def test_chat_frames(spark):
         None: [(0, "system", "s")], 4: [(0, "user", "p"), (1, "assistant", "q"), (2, "user", "r")],
     }
     assert chat.rendered(chat.repair(turns.limit(0))).count() == 0
+    # one long conversation, in stretches and whole
+    r = random.Random(12)
+    long = spark.createDataFrame([(9, i, r.choice(["user", "assistant", "tool", "system"]), f"t{i}") for i in range(400)], "conv_id long, turn long, role string, text string")
+    whole = sorted(map(tuple, chat.rendered(chat.repair(long)).collect()))
+    chat.STRETCH, before = 16, chat.STRETCH
+    parts = sorted(map(tuple, chat.rendered(chat.repair(long)).collect()))
+    chat.STRETCH = before
+    assert [x[1] for x in whole] == list(range(len(whole))) == [x[1] for x in parts] and sum(x[4] for x in parts) == 400
+    assert [x[3] for x in whole if x[4]] and "\n".join(x[3] for x in parts if x[4]).split("\n") == [f"t{i}" for i in range(400)]
 
 
 def test_decontamination_is_brute_force(spark):
