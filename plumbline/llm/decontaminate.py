@@ -31,7 +31,9 @@ RADIUS = 19
 #: Blocks of the bits. With five, an item has 1,890 entries, and a fingerprint picked at random meets one in five items of its length.
 BLOCKS = 5
 #: Shingles, or passages, that are sent to every task; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
+#: The same for rows that carry an item's hashes.
+BROADCAST_WIDE = 10_000
 #: Shingles of a window that 16 bits count.
 COUNTED = 65_535
 
@@ -125,9 +127,9 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> DataF
     return cut.select("*", F.slice(F.array_sort(F.array_distinct("hashes")), 1, keep).alias("top"))
 
 
-def _few(rows: DataFrame) -> DataFrame:
+def _few(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Sent to every task while it is known to be small."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def _windows(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
@@ -182,7 +184,7 @@ def contaminated(
         looked = windows.select("n", "fp").distinct().select("n", "fp", F.explode(values(F.col("fp"))).alias("value"))
         met = looked.join(entered, ["n", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
         near = staged(met.select(F.col("n").alias("item_n"), "fp", "item_fp").distinct().join(marked, ["item_n", "item_fp"]), "near")
-        pairs = windows.join(_few(near.withColumnRenamed("fp", "near_fp")), (F.col("n") == F.col("item_n")) & (F.col("fp") == F.col("near_fp")))
+        pairs = windows.join(_few(near.withColumnRenamed("fp", "near_fp"), BROADCAST_WIDE), (F.col("n") == F.col("item_n")) & (F.col("fp") == F.col("near_fp")))
         exact = pairs.select("id", "item_id", "start", "n", shared(F.col("window"), F.col("hashes")).alias("same"), (F.size("window") + F.size("hashes")).alias("both"))
         hits = exact.where(den * F.col("same") >= num * (F.col("both") - F.col("same"))).select(
             "id", "item_id", "start", F.col("n").alias("n_words"), (F.col("same") / (F.col("both") - F.col("same"))).alias("similarity")

@@ -23,7 +23,7 @@ from plumbline.llm.shared import small_batches, staged
 from plumbline.llm.supervise import SAMPLE, labelled
 
 #: Evidence: toxic documents that must hold a word, or beginning of words, and its least log lift among them, before it is weighed.
-LEAST_DOCS, LEAST_LIFT = 3, 0.7
+LEAST_DOCS, LEAST_LIFT = 8, 0.7
 ROUNDS, RATE, DECAY, START = 200, 0.3, 0.003, -6.0
 #: A sentence of at least this score is reported as offending.
 OFFENDING = 0.5
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column | None = None, la
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), pa.array(np.zeros(len(kept), np.int64)), pa.array([good[w] for w in kept])], names=["word", "bad", "good"])
 
     counted = known.mapInArrow(count, "word binary, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    lift = F.log((F.col("bad") + 0.1) / (toxic + 0.2)) - F.log((F.col("good") + 0.1) / (others + 0.2))
+    lift = F.log((F.col("bad") + 1.0) / (toxic + 2.0)) - F.log((F.col("good") + 1.0) / (others + 2.0))
     chosen = counted.where(F.col("bad") >= LEAST_DOCS).where(lift > LEAST_LIFT)
     top = chosen.orderBy("word").select("word", lift.alias("lift")).collect()
     vocabulary = [bytes(r[0]) for r in top]
