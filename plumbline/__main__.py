@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from pathlib import Path
+from pathlib import Path, PureWindowsPath
 
 from pyspark.sql import SparkSession
 
@@ -14,11 +14,25 @@ from plumbline.sources import backends
 from plumbline.sources.store import Store, new_run_id
 
 
-def config(path: str) -> dict[str, str]:
-    """A flat JSON file of defaults for the options; values of ``*_dir`` keys are taken from the file's folder on."""
-    found = json.loads(Path(path).read_text(encoding="utf-8"))
-    root = Path(path).resolve().parent
-    return {k.lower(): str(root / v) if k.lower().endswith("_dir") and not Path(v).is_absolute() else v for k, v in found.items()}
+#: Keys of a config file whose values are paths.
+PATHS = ("python", "requirements", "base_dir", "demo_dir", "npm_cmd", "export_dir")
+
+
+def config(path: str, root: str | None = None) -> dict[str, str]:
+    """A flat JSON file of defaults for the options. Relative paths are taken from ``root`` on.
+
+    That is the file's folder, or the project's where the file lies in its ``<any>/src/runtime``. ``venv_dir`` is the folder of ``python``'s environment.
+    """
+    at = Path(path).resolve()
+    inside = at.parent.name == "runtime" and at.parents[1].name == "src"
+    base = Path(root) if root else at.parents[3] if inside else at.parent
+    found = {k.lower(): v for k, v in json.loads(at.read_text(encoding="utf-8")).items()}
+    for key in PATHS:
+        if found.get(key) and not PureWindowsPath(found[key]).is_absolute() and not Path(found[key]).is_absolute():
+            found[key] = str((base / PureWindowsPath(found[key]).as_posix()).resolve())
+    if found.get("python"):
+        found["venv_dir"] = str(Path(found["python"]).parent.parent)
+    return found
 
 
 def parser() -> argparse.ArgumentParser:
@@ -41,18 +55,17 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def client(a: argparse.Namespace) -> backends.Client:
-    if backends.provider(a.provider) == "bedrock":
-        region, profile = a.aws_region, a.aws_profile
+def aws(a: argparse.Namespace, service: str):
+    try:
+        import boto3
+    except ImportError as e:
+        raise RuntimeError("boto3 is needed for this provider") from e
+    return boto3.Session(profile_name=a.aws_profile or None, region_name=a.aws_region).client(service)
 
-        def make():
-            try:
-                import boto3
-            except ImportError as e:
-                raise RuntimeError("boto3 is needed for this provider") from e
-            return boto3.Session(profile_name=profile, region_name=region).client("bedrock-runtime")
 
-        return backends.bedrock_client(make)
+def client(a: argparse.Namespace) -> backends.Client:
+    if backends.provider(a.provider) == "bedrock":
+        return backends.bedrock_client(lambda: aws(a, "bedrock-runtime"))
     return backends.openai_client(a.base_url, a.api_key)
 
 
@@ -69,8 +82,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.mode in ("run", "verify") and not models:
             raise ValueError("--models is needed")
         if a.mode == "verify":
-            if provider == "openai":
-                runs.verify(models, a.base_url, a.api_key)
+            runs.verify(models, a.base_url, a.api_key, aws(a, "bedrock") if provider == "bedrock" else None)
             print(f"ready: {', '.join(models)}")
             return 0
         spark = spark or SparkSession.builder.appName("plumbline").getOrCreate()

@@ -66,6 +66,12 @@ def overview(results: DataFrame) -> DataFrame:
     )
 
 
+def exportable(runs: DataFrame, least: int = 0) -> DataFrame:
+    """Of ``runs(run_id, status, total_evaluations)`` those that are completed, or have no status, and have at least so many evaluations."""
+    enough = F.coalesce("total_evaluations", F.lit(0)) >= least if least > 0 else F.lit(True)
+    return runs.where((F.col("status").isNull() | (F.col("status") == "completed")) & enough)
+
+
 def support_counts(claims: DataFrame) -> DataFrame:
     """Claims by support status, from the maps that each response carries."""
     return claims.select(F.explode("claim_support_counts").alias("support_status", "n")).groupBy("support_status").agg(F.sum("n").alias("n"))

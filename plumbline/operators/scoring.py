@@ -66,6 +66,23 @@ def field_results(found: DataFrame, truths: DataFrame, catalog: Catalog = RECORD
     return out
 
 
+def predictions(found: DataFrame, truths: DataFrame, catalog: Catalog = RECORDS) -> DataFrame:
+    """One row per response: its scored fields, what was predicted and what matched, by field (null where unscored), and the hash of the answer key, keys sorted."""
+    keyed = found.join(truths, "case_id", "left")
+    covered = F.coalesce(F.try_element_at(coverage_map(catalog), F.col("prompt_id")), F.array().cast("array<string>"))
+    scored = lambda e: F.array_contains("__covered", e["field_name"])
+    match = lambda e: F.when(scored(e), e["predicted"] == F.try_element_at("truths", e["field_name"]))
+    by_field = lambda value: F.map_from_entries(F.transform("evidence", lambda e: F.struct(e["field_name"], value(e))))
+    keyed = keyed.withColumn("__covered", covered)
+    return keyed.select(
+        "timestamp", "case_id", "model_name", "prompt_id",
+        F.col("__covered").alias("scored_fields"),
+        by_field(lambda e: e["predicted"]).alias("predicted_fields"),
+        by_field(match).alias("matches"),
+        t.digest(t.sorted_json(F.col("truths"), catalog.fields)).alias("ground_truth_hash"),
+    )
+
+
 def first_usage(usage: Column, *names: str) -> Column:
     """The value of the first key that is present, even if it is null; empty text if none is."""
     value = F.lit("")

@@ -126,8 +126,8 @@ def best_by_join(claims: DataFrame, candidates: DataFrame, key: str) -> DataFram
     return found.select(key, "claim", F.coalesce("overlap", F.lit(0)).alias("overlap"), "unit", F.coalesce("text", F.lit("")).alias("text"))
 
 
-#: Words of the runs by which ``contained`` finds texts.
-RUN = 3
+#: Words of the runs by which ``contained`` finds texts, and characters for texts without a whole word within.
+RUN, GRAM = 3, 3
 #: Items whose runs are sent to every task; beyond, the join shuffles.
 BROADCAST_ITEMS = 50_000
 
@@ -136,20 +136,30 @@ def contained(documents: DataFrame, items: DataFrame, key: str = "doc_id", item_
     """``(key, item_key)`` of every item whose text stands within a document's, exactly.
 
     Instead of trying every pair: the inner words of an item stand in the document as they are, so the pair
-    meets in a hash join on the hash of RUN of them, and only then are texts compared. Items without
-    enough inner words are tried on every document. Null and empty items are in none.
+    meets in a hash join on up to RUN of them; an item of one or two words meets on its first GRAM characters. Only keys and
+    hashes are joined; texts are fetched for the pairs that met, and compared. Null and empty items are in none.
     """
     split = lambda c: F.split(c, r"[ \t-\r]+")
-    runs = lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - RUN), lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(RUN)]))
+    runs = lambda ws, n: F.transform(F.sequence(F.lit(0), F.size(ws) - n), lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(n)]))
+    grams = lambda s, n: F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.xxhash64(F.substring(s, i, F.lit(n))))
     # texts are split at white space; the first and the last word of an item may be parts of words
     items = items.select(F.col(item_key), F.col("text").alias("item_text")).where(F.coalesce("item_text", F.lit("")) != "").withColumn("ws", split("item_text"))
-    long = items.where(F.size("ws") >= RUN + 2).select(item_key, "item_text", F.xxhash64(*[F.get("ws", F.lit(1 + k)) for k in range(RUN)]).alias("h"))
-    short = items.where(F.size("ws") < RUN + 2).select(item_key, "item_text")
+    texts = documents.select(key, "text").where("text is not null")
     small = items.count() <= BROADCAST_ITEMS
-    texts = documents.select(key, "text", split("text").alias("ws"))
-    spread = texts.where(F.size("ws") >= RUN).select(key, "text", F.explode(F.array_distinct(runs(F.col("ws")))).alias("h"))
-    met = spread.join(F.broadcast(long) if small else long, "h")
-    found = met.where(F.contains("text", F.col("item_text"))).select(key, item_key)
-    if not short.isEmpty():
-        found = found.unionByName(documents.select(key, "text").join(F.broadcast(short) if small else short, F.contains("text", F.col("item_text"))).select(key, item_key))
-    return found.distinct()
+    few = lambda rows: F.broadcast(rows) if small else rows
+    inner = F.least(F.size("ws") - 2, F.lit(RUN))
+    sizes = {r[0] for r in items.select(F.when(inner > 0, inner).otherwise(-F.least(F.length("item_text"), F.lit(GRAM)))).distinct().collect()}  # six values at most
+    met = None
+    for size in sorted(sizes):
+        if size > 0:
+            wanted = items.where(inner == size).select(item_key, F.xxhash64(*[F.get("ws", F.lit(1 + k)) for k in range(size)]).alias("h"))
+            spread = texts.select(key, split("text").alias("ws")).where(F.size("ws") >= size).select(key, F.explode(F.array_distinct(runs(F.col("ws"), size))).alias("h"))
+        else:
+            wanted = items.where((inner <= 0) & (F.least(F.length("item_text"), F.lit(GRAM)) == -size)).select(item_key, F.xxhash64(F.substring("item_text", 1, -size)).alias("h"))
+            spread = texts.where(F.length("text") >= -size).select(key, F.explode(F.array_distinct(grams(F.col("text"), -size))).alias("h"))
+        pairs = spread.join(few(wanted), "h").select(key, item_key)
+        met = pairs if met is None else met.unionByName(pairs)
+    if met is None:
+        return texts.select(key).join(items.select(item_key), F.lit(True)).where("false")
+    fetched = texts.join(met.distinct(), key).join(few(items.select(item_key, "item_text")), item_key)
+    return fetched.where(F.contains("text", F.col("item_text"))).select(key, item_key).distinct()

@@ -12,13 +12,19 @@ from pyspark.sql import functions as F
 from plumbline import schemas
 from plumbline.catalog import RECORDS, RESULT_TYPES, Catalog
 from plumbline.functions import text as t
-from plumbline.operators import audits, claims, cleanup, evidence, scoring, support
+from plumbline.operators import audits, claims, cleanup, evidence, metrics, scoring, support, views
 from plumbline.plans import report as reports
 from plumbline.sources import backends, docx, files
 from plumbline.sources.store import Store
 
 #: Longest input put to a model, in characters.
 MOST_INPUT = 120_000
+#: Requests that are put to a model at a time, and requests whose answers are written before the next are asked:
+#: a failed task asks no more than those again.
+AT_A_TIME, BATCH = 8, 256
+#: Cases that are sent to every task; more are joined by shuffle.
+BROADCAST_CASES = 100_000
+KEY = ("timestamp", "case_id", "model_name", "prompt_id")
 DOC_TYPES = ("IEP", "BIP")
 
 
@@ -31,11 +37,15 @@ class Cases:
     truth: DataFrame
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_CASES else rows
+
+
 def _listed(spark: SparkSession, folder: str, wanted: Sequence[str] | None) -> tuple[DataFrame, dict[str, DataFrame]]:
     everything = files.files(spark, f"{folder}/cases")
     order = files.select_cases(everything.select(F.col("folder").alias("case_id")), wanted)
     kinds = {d: f"{d}.docx" for d in DOC_TYPES} | {"json": ".json"}
-    inside = everything.join(F.broadcast(order.select(F.col("case_id").alias("folder"))), "folder", "left_semi")
+    inside = everything.join(_few(order.select(F.col("case_id").alias("folder"))), "folder", "left_semi")
     return order, {k: inside.where(F.col("name").endswith(end)) for k, end in kinds.items()}
 
 
@@ -113,7 +123,7 @@ def requests(cases: Cases, prompts: DataFrame, models: Sequence[str], most: int
     """Cases times models times prompts, with the text put to the model; one longer than ``most`` fails. Models and prompts are few."""
     spark = cases.order.sparkSession
     asked = spark.createDataFrame([(m, i) for i, m in enumerate(models)], "model_name string, model_seq int")
-    rows = joined_texts(cases.documents).join(F.broadcast(cases.order), "case_id").crossJoin(F.broadcast(asked)).crossJoin(F.broadcast(prompts.withColumnRenamed("text", "question")))
+    rows = joined_texts(cases.documents).join(_few(cases.order), "case_id").crossJoin(F.broadcast(asked)).crossJoin(F.broadcast(prompts.withColumnRenamed("text", "question")))
     put = backends.model_input(F.col("case_id"), F.col("first"), F.col("second"), F.col("question"))
     rows = rows.withColumn("model_input", put)
     tall = F.raise_error(F.concat(F.lit("input too long for case "), F.col("case_id"), F.lit(", prompt "), F.col("prompt_id"))).cast("string")
@@ -203,9 +213,15 @@ def run(
     try:
         documents = _write_audits(cases, store, run_id, order, catalog)
         asked = requests(Cases(cases.order, documents, cases.truth), prompts, models)
-        answered = backends.replay(asked, client) if isinstance(client, DataFrame) else backends.ask(asked.repartition(max(1, expected)), client)
-        answered = answered.withColumn("model_input_sha256", t.digest(F.col("model_input"))).withColumn("model_input_char_count", F.length("model_input").cast("bigint")).withColumnRenamed("question", "prompt_text").drop("model_input")
-        responses = store.write(run_id, "responses", answered)
+        if isinstance(client, DataFrame):
+            responses = store.write(run_id, "responses", _saved(backends.replay(asked, client)))
+        else:
+            asked = store.write(run_id, "requests", asked)
+            batch = F.pmod(F.xxhash64("case_id", "model_name", "prompt_id"), F.lit(-(-expected // BATCH)))
+            for i in range(-(-expected // BATCH)):
+                part = asked.where(batch == i).repartition(min(expected, AT_A_TIME))
+                store.append(run_id, "responses", _saved(backends.ask(part, client)))
+            responses = store.read(run_id, "responses")
         evaluate(responses, documents, cases.truth, store, run_id, catalog)
     except Exception as e:
         store.write_json(run_id, "run_manifest.json", manifest | {"status": "failed", "error": str(e)[:2000]})
@@ -215,6 +231,11 @@ def run(
     return out
 
 
+def _saved(answered: DataFrame) -> DataFrame:
+    hashed = answered.withColumn("model_input_sha256", t.digest(F.col("model_input"))).withColumn("model_input_char_count", F.length("model_input").cast("bigint"))
+    return hashed.withColumnRenamed("question", "prompt_text").drop("model_input")
+
+
 def evaluate(responses: DataFrame, documents: DataFrame, truth: DataFrame, store: Store, run_id: str, catalog: Catalog = RECORDS) -> None:
     """Score saved responses and check their claims against the cleaned documents."""
     found = store.write(run_id, "evidence", evidence.evidence(responses, catalog))
@@ -228,13 +249,32 @@ def evaluate(responses: DataFrame, documents: DataFrame, truth: DataFrame, store
     store.write(run_id, "results", results)
     fields = scoring.field_results(found, truths, catalog).withColumn("prompt_label", F.coalesce(F.try_element_at(labels, F.col("prompt_id")), F.col("prompt_id")))
     store.write(run_id, "field_results", fields.select(*schemas.FIELD_COLUMNS, "ordinal"))
+    store.write(run_id, "predicted", scoring.predictions(found, truths, catalog))
     for name, columns in (("results", schemas.RESULT_COLUMNS), ("field_results", schemas.FIELD_COLUMNS)):
         store.export_csv(run_id, name, columns)
-    cut = claims.breakdown(responses.select("timestamp", "case_id", "model_name", "prompt_id", "text"), prefix=t.file_stem(F.col("case_id"), F.col("model_name"), F.col("prompt_id")))
+    cut = _cut(responses)
     source = support.sources(joined_texts(documents).select("case_id", F.col("cleaned_text").alias("text")))
     store.write(run_id, "claims", support.support(cut, source).drop("text"))
 
 
+def _cut(responses: DataFrame) -> DataFrame:
+    return claims.breakdown(responses.select(*KEY, "text"), prefix=t.file_stem(F.col("case_id"), F.col("model_name"), F.col("prompt_id")))
+
+
+def saved_claims(store: Store, run_id: str) -> DataFrame | None:
+    """A run's claims; those of responses that have none are made from the responses, and written. Without their documents they are not checked."""
+    saved, responses = store.read(run_id, "claims"), store.read(run_id, "responses")
+    if responses is None:
+        return saved
+    lacking = responses if saved is None else responses.join(saved.select(*KEY), list(KEY), "left_anti")
+    lacking = lacking.where(F.coalesce("text", F.lit("")) != "")
+    if not lacking.isEmpty():
+        none = support.sources(lacking.select("case_id", "text").limit(0))
+        store.append(run_id, "claims", support.support(_cut(lacking), none).drop("text"))
+        saved = store.read(run_id, "claims")
+    return saved
+
+
 def report(store: Store, run_id: str | None = None, catalog: Catalog = RECORDS) -> dict[str, Any]:
     """Metrics and Markdown of a run, the latest if none is named; a run without rows has zeros."""
     name = store.resolve(run_id)
@@ -245,45 +285,74 @@ def report(store: Store, run_id: str | None = None, catalog: Catalog = RECORDS)
     return out
 
 
+def standing(store: Store, names: Sequence[str]) -> DataFrame:
+    """``(run_id, status, total_evaluations)``; the status of a run without a manifest is null."""
+    rows = []
+    for name in names:
+        manifest, done = store.read_json(name, "run_manifest.json"), store.read_json(name, "summary_metrics.json")
+        rows.append((name, (manifest.get("status") or "") if manifest else None, int(done.get("total_evaluations") or 0)))
+    return store.spark.createDataFrame(rows, "run_id string, status string, total_evaluations long")
+
+
 def exportable(store: Store, run_id: str, least: int = 0) -> bool:
     """Completed, if a manifest tells, and with at least so many evaluations."""
-    manifest = store.read_json(run_id, "run_manifest.json")
-    if manifest and manifest.get("status") != "completed":
-        return False
-    return least <= 0 or int(store.read_json(run_id, "summary_metrics.json").get("total_evaluations") or 0) >= least
+    return not metrics.exportable(standing(store, [run_id]), least).isEmpty()
 
 
 def nested(store: Store, run_id: str) -> DataFrame:
-    """One row per result with its field results and claims nested."""
-    key = ["timestamp", "case_id", "model_name", "prompt_id"]
-    results = reports.typed_results(store.results(run_id))
-    fields = reports.typed_fields(store.field_results(run_id))
+    """One row per result with its field results, predictions and claims nested."""
+    results, fields = reports.typed_results(store.results(run_id)), reports.typed_fields(store.field_results(run_id))
+    return nest(results, fields, saved_claims(store, run_id), store.read(run_id, "responses"), store.read(run_id, "predicted"))
+
+
+def nest(results: DataFrame, fields: DataFrame, saved: DataFrame | None = None, responses: DataFrame | None = None, predicted: DataFrame | None = None) -> DataFrame:
+    """Results with what belongs to each, by timestamp, case, model and prompt; a result keeps its row where something is missing."""
+    key = list(KEY)
     place = "ordinal" if "ordinal" in fields.columns else "seq"
     rest = [c for c in schemas.FIELD_COLUMNS if c not in (*key, "prompt_label")]
     by_result = fields.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("place"), *rest))).alias("f"))
     by_result = by_result.select(*key, F.transform("f", lambda x: F.struct(*[x[c].alias(c) for c in rest])).alias("field_results"))
     out = results.join(by_result, key, "left").withColumn("result_id", F.concat_ws("__", t.file_stem(F.col("case_id"), F.col("model_name"), F.col("prompt_id")), F.col("timestamp")))
-    saved = store.read(run_id, "claims")
+    if predicted is not None:
+        out = out.join(predicted.select(*key, "predicted_fields", "matches", "ground_truth_hash"), key, "left")
     if saved is not None:
         out = out.join(saved.withColumnRenamed("units", "claim_units"), key, "left")
-    responses = store.read(run_id, "responses")
     if responses is not None:
         out = out.join(responses.select(*key, F.col("text").alias("raw_response"), "prompt_text"), key, "left")
     return out
 
 
 def export(stores: Sequence[Store], target: str, least: int = 0) -> list[str]:
-    """Write ``target/<group>/<run>`` as JSON rows, one per result, for each run that may be exported; returns the runs."""
+    """Write ``target/<group>/<run>`` as JSON rows, one per result, for each run that may be exported; returns the runs.
+
+    Beside them stands ``target/<group>/<run>.json``: provider, metrics and summary of the run, its folder named from the stores' root on.
+    """
     done = []
     for store in stores:
-        for run_id in store.runs():
-            if exportable(store, run_id, least):
-                nested(store, run_id).write.mode("overwrite").json(f"{target}/{store.group}/{run_id}")
-                done.append(f"{store.group}/{run_id}")
+        names = store.runs()
+        for run_id in [r[0] for r in metrics.exportable(standing(store, names), least).orderBy("run_id").collect()] if names else []:
+            nested(store, run_id).write.mode("overwrite").json(f"{target}/{store.group}/{run_id}")
+            Store(store.spark, target, store.group).write_json("", f"{run_id}.json", about(store, run_id))
+            done.append(f"{store.group}/{run_id}")
     return done
 
 
-def verify(models: Sequence[str], base_url: str, api_key: str | None = None) -> None:
-    """Fails if the backend does not list a model."""
+def about(store: Store, run_id: str) -> dict[str, Any]:
+    """What a run is, and how it went; metrics that were never written are worked out."""
+    manifest, found = store.read_json(run_id, "run_manifest.json"), store.read_json(run_id, "summary_metrics.json")
+    if not found:
+        found = reports.run_metrics(store.results(run_id), store.field_results(run_id), store.read(run_id, "claims"), run_id, store.path(run_id))
+    own, provider = store.path(run_id), manifest.get("provider", "unknown")
+    shown = views.public_path(own, own.rsplit("/", 3)[0])
+    text = (store.read_text(run_id, "result_summary.md") or "").replace(own, shown)
+    return {"run_id": run_id, "provider": provider, "run_path": shown, "summary": found | {"run_dir": shown, "provider": provider}, "summary_markdown": text}
+
+
+def verify(models: Sequence[str], base_url: str, api_key: str | None = None, bedrock: Any = None) -> None:
+    """Fails if the backend does not list a model, or ``bedrock``, a client that manages models, knows it neither as model nor as profile."""
+    if bedrock is not None:
+        if wrong := backends.bedrock_problems(list(models), bedrock):
+            raise ValueError("; ".join(f"{m}: {why}" for m, why in wrong.items()))
+        return
     if missing := backends.missing_models(list(models), backends.available(base_url, api_key)):
         raise ValueError(f"the backend does not list: {', '.join(missing)}")

@@ -35,9 +35,9 @@ def api_root(url: str) -> str:
 
 
 def content_text(content: Any) -> str:
-    """A message's content is text, or parts of which those with text count."""
+    """A message's content is text, or parts of which those of the type text count."""
     if isinstance(content, list):
-        return "\n".join(p.get("text", "") if isinstance(p, dict) else str(p) for p in content).strip()
+        return "\n".join(p.get("text", "") for p in content if isinstance(p, dict) and p.get("type") == "text").strip()
     return (content or "").strip()
 
 
@@ -64,7 +64,7 @@ def bedrock_client(make: Callable[[], Any], temperature: float = TEMPERATURE, ma
         messages = [{"role": "user", "content": [{"text": prompt}]}]
         data = held[0].converse(modelId=model, messages=messages, system=[{"text": SYSTEM}], inferenceConfig={"temperature": temperature, "maxTokens": max_tokens})
         parts = data["output"]["message"]["content"]
-        text = "\n".join(p["text"] for p in parts if "text" in p).strip()
+        text = "\n".join(p["text"] for p in parts if isinstance(p, dict) and p.get("text")).strip()
         return {"text": text, "usage": data.get("usage") or {}, "metrics": data.get("metrics") or {}, "keys": sorted(data)}
 
     return ask
@@ -77,6 +77,22 @@ def available(base_url: str, api_key: str | None = None, timeout: int = 30) -> l
         return [m["id"] for m in json.load(response).get("data", [])]
 
 
+def bedrock_problems(models: list[str], client: Any) -> dict[str, str]:
+    """For each model that is neither a foundation model nor an inference profile, why not. ``client`` manages models."""
+    out = {}
+    for model in models:
+        said = []
+        for kind, look in (("foundation model", lambda m: client.get_foundation_model(modelIdentifier=m)), ("inference profile", lambda m: client.get_inference_profile(inferenceProfileIdentifier=m))):
+            try:
+                look(model)
+                break
+            except Exception as e:  # whatever the service raises
+                said.append(f"{kind}: {e}")
+        else:
+            out[model] = "; ".join(said)
+    return out
+
+
 def missing_models(wanted: list[str], listed: list[str]) -> list[str]:
     return [m for m in wanted if m not in set(listed)]
 

@@ -52,8 +52,9 @@ def single(found: DataFrame, cases: DataFrame, what: str) -> DataFrame:
 
 
 def as_bool(value: Column) -> Column:
-    """What a JSON value amounts to: false for false, zero, null and what is empty; true for the rest, the text ``false`` included."""
-    return ~F.coalesce(value, F.lit("null")).isin("false", "null", "0", "0.0", "", "[]", "{}", '""')
+    """What a JSON value, given as JSON, amounts to: false for false, zero, null and what is empty; true for the rest, the text ``"false"`` included."""
+    given = F.coalesce(value, F.lit("null"))
+    return ~given.isin("false", "null", "[]", "{}", '""') & (F.coalesce(given.try_cast("double"), F.lit(1.0)) != 0)
 
 
 def truth(texts: DataFrame, catalog: Catalog = RECORDS) -> DataFrame:
@@ -61,9 +62,14 @@ def truth(texts: DataFrame, catalog: Catalog = RECORDS) -> DataFrame:
 
     Fields stand at the top or one level down; others are ignored; the last of equal names in the text wins.
     """
-    kind = "map<string,string>"
-    top = texts.select("case_id", F.posexplode(F.map_entries(F.from_json("text", kind))).alias("pos", "e"))
-    inner = F.when(F.col("e.value").startswith("{"), F.map_entries(F.from_json("e.value", kind)))
+
+    def entries(json: Column) -> Column:
+        """Keys and values, the values as JSON, so that texts keep their quotes."""
+        found = F.map_entries(F.from_json(json, "map<string,variant>"))
+        return F.transform(found, lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value")))
+
+    top = texts.select("case_id", F.posexplode(entries(F.col("text"))).alias("pos", "e"))
+    inner = F.when(F.col("e.value").startswith("{"), entries(F.col("e.value")))
     here = F.array(F.struct(F.col("e.key").alias("key"), F.col("e.value").alias("value")))
     flat = top.select("case_id", "pos", F.posexplode(F.coalesce(inner, here)).alias("pos2", "f")).where(F.col("f.key").isin(*catalog.fields))
     last = flat.groupBy("case_id", F.col("f.key").alias("field_name")).agg(F.max_by(F.struct(F.col("f.value").alias("v")), F.struct("pos", "pos2")).alias("last"))
@@ -99,16 +105,22 @@ def csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     return found.select(*kept, F.monotonically_increasing_id().alias("seq"))
 
 
-def json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON files of the schema; a missing path has no rows."""
+def json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """JSON files of the schema, one value a file or, for ``lines``, a line; a missing path has no rows."""
     try:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+        return spark.read.schema(schema).option("multiLine", not lines).json(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
 
 
+def json_or(spark: SparkSession, path: str, otherwise: DataFrame) -> DataFrame:
+    """JSON rows of a folder, as an export writes them; ``otherwise`` if it is missing or has none."""
+    found = json(spark, path, otherwise.schema.simpleString()[7:-1], lines=True)
+    return otherwise if found.isEmpty() else found
+
+
 def runs(spark: SparkSession, root: str) -> DataFrame:
     """``(run_group, run_id)`` of the runs with results under ``root/group/run``, by group and name."""
     found = files(spark, root, "results.csv")

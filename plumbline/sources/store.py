@@ -79,6 +79,9 @@ class Store:
         table.write.mode("overwrite").parquet(self.path(run, name))
         return self.spark.read.schema(table.schema).parquet(self.path(run, name))
 
+    def append(self, run: str, name: str, table: DataFrame) -> None:
+        table.write.mode("append").parquet(self.path(run, name))
+
     def read(self, run: str, name: str) -> DataFrame | None:
         try:
             return self.spark.read.parquet(self.path(run, name))

@@ -5,15 +5,18 @@ from __future__ import annotations
 import csv
 import io
 import json
+import shutil
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline import schemas
-from plumbline.__main__ import main
+from plumbline.__main__ import config, main
 from plumbline.catalog import RECORDS
+from plumbline.operators import views
 from plumbline.plans import runs
-from plumbline.sources import backends, docx
+from plumbline.sources import backends, docx, files
 from plumbline.sources.store import Store, run_id
 
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -96,6 +99,17 @@ def test_run_report_and_export(spark, folder):
     assert runs.export([store], str(folder / "export")) == ["runs/run_b", "runs/run_c"]
     nested = spark.read.json(str(folder / "export/runs/run_b"))
     assert nested.count() == 6 and nested.selectExpr("max(size(field_results))").first()[0] == 24
+    row = nested.where("prompt_id = 'prompt_1'").first()
+    assert row.predicted_fields.bip_exists and row.matches.bip_exists and row.matches.safety_plan_present and len(row.ground_truth_hash) == 64
+    assert nested.where("prompt_id = 'prompt_3'").first().matches.bip_exists is None
+    about = json.loads((folder / "export/runs/run_b.json").read_text(encoding="utf-8"))
+    assert about["provider"] == "openai" and about["run_path"] == "outputs/runs/run_b" == about["summary"]["run_dir"] and str(folder) not in about["summary_markdown"]
+    shutil.rmtree(folder / "outputs/runs/run_c/claims")  # claims that are missing are made from the responses
+    again = {r.prompt_id: r for r in runs.nested(store, "run_c").where("case_id = 'CASE001'").collect()}
+    assert again["prompt_1"].claim_count == 3 and {c.support_status for c in again["prompt_1"].claims} == {"not_checked"}
+    assert store.read("run_c", "claims").count() == 6
+    shown = files.json_or(spark, str(folder / "export/runs/run_b"), nested.select("case_id", "prompt_id").limit(0))
+    assert shown.count() == 6 and files.json_or(spark, str(folder / "none"), shown).count() == 6
 
 
 def test_report_of_csv_files(spark, tmp_path, capsys):
@@ -122,11 +136,63 @@ def test_report_of_csv_files(spark, tmp_path, capsys):
     assert main(["--mode", "report", "--base-dir", str(tmp_path), "--run-id", "none"], spark) == 1
 
 
+def test_answer_keys_keep_their_types(spark):
+    names = RECORDS.fields
+    values = [True, False, "false", "0", "", 0, 0.0, 1, None, [], [0], {}, " ", "true"]
+    flat = dict(zip(names, values, strict=False)) | {"other": 1}
+    deep = {"A": dict(list(flat.items())[:7]), "B": dict(list(flat.items())[7:]), names[0]: False, "C": {names[0]: "x"}}
+    texts = spark.createDataFrame([("flat", json.dumps(flat)), ("deep", json.dumps(deep))], "case_id string, text string")
+    got = {(r.case_id, r.field_name): r.truth for r in files.truth(texts).collect()}
+    for f, v in zip(names, values, strict=False):
+        if not isinstance(v, dict):  # an object is a group of fields
+            assert got["flat", f] == bool(v), (f, v)
+            assert f == names[0] or got["deep", f] == bool(v)
+    assert got["deep", names[0]] is True  # the last of equal names
+
+
+def test_bedrock_readiness_and_config(tmp_path):
+    class Service:
+        def get_foundation_model(self, modelIdentifier):
+            if modelIdentifier != "a":
+                raise LookupError("no such model")
+
+        def get_inference_profile(self, inferenceProfileIdentifier):
+            if inferenceProfileIdentifier != "b":
+                raise LookupError("no such profile")
+
+    runs.verify(["a", "b"], "", bedrock=Service())
+    with pytest.raises(ValueError, match="c: foundation model: no such model; inference profile: no such profile"):
+        runs.verify(["a", "c"], "", bedrock=Service())
+    at = tmp_path / "engine/src/runtime/run.json"
+    at.parent.mkdir(parents=True)
+    at.write_text(json.dumps({"PYTHON": ".venv/bin/python", "base_dir": ".\\cases", "npm_cmd": "C:\\npm.cmd", "models": "m"}), encoding="utf-8")
+    found = config(str(at))
+    assert found == {"python": f"{tmp_path}/.venv/bin/python", "base_dir": f"{tmp_path}/cases", "npm_cmd": "C:\\npm.cmd", "models": "m", "venv_dir": f"{tmp_path}/.venv"}
+
+
+def test_bedrock_parts():
+    class Runtime:
+        def converse(self, **given):
+            return {"output": {"message": {"content": [{"text": "a"}, {"text": ""}, {"reasoningContent": {}}, {"text": "b"}]}}}
+
+    assert backends.bedrock_client(Runtime)("m", "p")["text"] == "a\nb"
+
+
+def test_views(spark):
+    rows = spark.createDataFrame([(24, 22, 91.67, True), (24, 24, 70.0, False), (2, None, 0.0, None)], "scored_field_count long, correct_scored_fields long, accuracy_percent double, abstention_detected boolean")
+    got = [(r.misses, r.accuracy_class, r.summary) for r in views.result_view(rows).collect()]
+    assert got == [(2, "good", "Accuracy 91.67% | Correct 22/24 | Misses 2 | Abstention Yes"), (0, "", "Accuracy 70.0% | Correct 24/24 | Misses 0 | Abstention No"), (2, "bad", "Accuracy 0.0% | Correct 0/2 | Misses 2 | Abstention No")]
+    rows = spark.createDataFrame([("omission", False), ("", None), (None, True), ("", False)], "error_type string, is_match boolean").withColumn("predicted", F.col("is_match")).withColumn("ground_truth", F.lit(True))
+    assert [(r.outcome, r.is_match_word) for r in views.field_view(rows).collect()] == [("omission", "No"), ("unscored", "Unscored"), ("match", "Yes"), ("miss", "No")]
+    assert views.public_path("/a/b/c", "/a") == "b/c" and views.public_path("/x/c/", "/a") == "c"
+
+
 def test_small_parts():
     assert backends.provider(" LM_Studio ") == "openai" and backends.provider("aws") == "bedrock"
     with pytest.raises(ValueError):
         backends.provider("other")
-    assert backends.content_text([{"text": "a"}, {"image": 1}, {"text": "b"}]) == "a\n\nb"
+    assert backends.content_text([{"type": "text", "text": "a"}, {"type": "reasoning", "text": "no"}, {"image": 1}, {"type": "text", "text": "b"}]) == "a\nb"
+    assert backends.content_text(" plain ") == "plain"
     assert backends.api_root("http://x/") == "http://x/v1" == backends.api_root("http://x/v1")
     assert backends.missing_models(["a", "b"], ["b"]) == ["a"]
     with pytest.raises(ValueError):
