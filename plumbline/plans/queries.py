@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.catalog import Catalog, Rule
+from plumbline.catalog import UNSUPPORTABLE, Catalog, Rule
 from plumbline.functions import text as t
 from plumbline.functions.held import held
-from plumbline.operators import audits, claims, cleanup, evidence, metrics, scoring, support
+from plumbline.operators import audits, claims, cleanup, evidence, metrics, scoring, support, views
+from plumbline.plans import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -274,16 +275,38 @@ def q13_field_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fields(spark, sf_dir).select("doc_id", "field_name", "scored_in_prompt", "predicted", "ground_truth", F.coalesce(F.col("is_match").cast("string"), F.lit("none")).alias("is_match"), "error_type")
 
 
-@query(f"""WITH {_RESULTS} SELECT lang, source, sum(correct_scored_fields)::BIGINT AS correct, sum(scored_field_count)::BIGINT AS scored, count(*) AS evaluations,
-    round(avg(accuracy_percent), 2) AS average_accuracy, CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE '' END AS grouped
-    FROM accuracies GROUP BY GROUPING SETS ((lang), (source), ())""")
+def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result for each labelled document; its source stands for the model."""
+    found, truths = _scored(spark, sf_dir)
+    return scoring.summaries(found.withColumn("model_name", F.col("source")), truths, CORPUS)
+
+
+@query(f"""WITH {_RESULTS}, named AS (SELECT source AS model_name, CASE WHEN lang = 'en' THEN 'both' ELSE 'quality' END AS prompt_id, accuracy_percent FROM accuracies)
+    SELECT model_name, prompt_id, round(avg(accuracy_percent), 2) AS average_accuracy, count(*) AS evaluations,
+    CASE WHEN grouping(model_name) = 0 THEN 'model_name' WHEN grouping(prompt_id) = 0 THEN 'prompt_id' ELSE '' END AS grouped
+    FROM named GROUP BY GROUPING SETS ((model_name), (prompt_id), ())""")
 def q14_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _accuracies(spark, sf_dir)
-    name = F.concat_ws(",", *[F.when(F.grouping(c) == 0, F.lit(c)) for c in ("lang", "source")])
-    return rows.groupingSets([[F.col("lang")], [F.col("source")], []], F.col("lang"), F.col("source")).agg(
-        F.sum("correct_scored_fields").alias("correct"), F.sum("scored_field_count").alias("scored"), F.count("*").alias("evaluations"),
-        F.round(F.avg("accuracy_percent"), 2).alias("average_accuracy"), name.alias("grouped"),
-    )
+    return metrics.average_accuracy(_summaries(spark, sf_dir), ["model_name"], ["prompt_id"])
+
+
+@query(f"""WITH {_RESULTS} SELECT doc_id::VARCHAR AS case_id, source AS model_name, CASE WHEN lang = 'en' THEN 'both' ELSE 'quality' END AS prompt_id, scored_field_count,
+    correct_scored_fields, accuracy_percent, {_either("norm", tuple(CORPUS.abstention.values()))} AS abstention_detected, sha256(text) AS raw_response_sha256,
+    sha256('{{' || (SELECT string_agg('"' || f.field_name || '": ' || (len(pos) > 0 AND len(neg) = 0)::VARCHAR, ', ' ORDER BY f.field_name) FROM fields f WHERE f.doc_id = a.doc_id) || '}}') AS predicted_json_sha256
+    FROM accuracies a JOIN norms USING (doc_id) JOIN (SELECT doc_id, text FROM documents) USING (doc_id)""")
+def q35_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summaries(spark, sf_dir).select(
+        "case_id", "model_name", "prompt_id", "scored_field_count", "correct_scored_fields", "accuracy_percent", "abstention_detected", "raw_response_sha256", "predicted_json_sha256"
+    )
+
+
+@query(f"""WITH {_RESULTS} SELECT doc_id::VARCHAR AS case_id, string_agg(field_name || ':' || predicted::VARCHAR || ':' || coalesce(is_match::VARCHAR, 'none'), ';' ORDER BY field_name) AS fields,
+    sha256('{{"licence_stated": false, "low_quality": ' || bool_or(field_name = 'low_quality' AND ground_truth)::VARCHAR || ', "secret_shown": false, "toxic_language": ' || bool_or(field_name = 'toxic_language' AND ground_truth)::VARCHAR || '}}') AS ground_truth_hash
+    FROM typed GROUP BY doc_id""")
+def q36_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, truths = _scored(spark, sf_dir)
+    rows = scoring.predictions(found, truths, CORPUS)
+    one = lambda f: F.concat_ws(":", F.lit(f), F.element_at("predicted_fields", f).cast("string"), F.coalesce(F.element_at("matches", f).cast("string"), F.lit("none")))
+    return rows.select("case_id", F.concat_ws(";", one("low_quality"), one("toxic_language")).alias("fields"), "ground_truth_hash")
 
 
 @query(f"""WITH {_RESULTS}, ends AS (SELECT doc_id, accuracy_percent, row_number() OVER (ORDER BY accuracy_percent DESC, doc_id) AS best, row_number() OVER (ORDER BY accuracy_percent, doc_id) AS worst FROM accuracies)
@@ -342,24 +365,48 @@ def q19_best_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlaps(spark, sf_dir).select("conv_id", "claim", "n_words", "overlap", F.coalesce("unit", F.lit(-1)).alias("unit"), F.col("text").alias("evidence"))
 
 
-@query(f"""WITH {_BEST}, judged AS (SELECT CASE WHEN n_words = 0 THEN 'unclear' WHEN 100 * coalesce(overlap, 0) >= 55 * n_words AND overlap >= 3 THEN 'supported'
-    WHEN 100 * coalesce(overlap, 0) >= 30 * n_words AND overlap >= 2 THEN 'unclear' ELSE 'unsupported' END AS support_status FROM best WHERE nth = 1)
-    SELECT support_status, count(*) AS n FROM judged GROUP BY support_status""")
+@query(f"""WITH {TURN_UNITS},
+    sources AS (SELECT conv_id, turn + 1 AS turn, lower(trim(regexp_replace(text, '[ \\t]+', ' ', 'g'))) AS source, trim(regexp_replace(text, '[ \\t]+', ' ', 'g')) AS text FROM conversations WHERE text <> ''),
+    cells AS (
+        SELECT conv_id, turn, trim(c.cell) AS cell, l.i * 100000 + c.j AS place
+        FROM sources, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i) l,
+             LATERAL (SELECT unnest(regexp_split_to_array(trim(l.line), '\\s+\\|\\|\\s+|\\s+\\|\\s+')) AS cell, unnest(range(len(regexp_split_to_array(trim(l.line), '\\s+\\|\\|\\s+|\\s+\\|\\s+')))) AS j) c),
+    worded AS (SELECT *, {_WORDS.format("cell")} AS words FROM cells WHERE len([x for x in regexp_split_to_array(cell, '\\s+') if x <> '']) >= 3),
+    claimed AS (
+        SELECT u.conv_id, u.turn, unit, unit_index, {_WORDS.format("unit")} AS words FROM units u JOIN conversations c ON u.conv_id = c.conv_id AND u.turn = c.turn
+        WHERE c.role = 'assistant' AND {_CLAIM}),
+    pairs AS (
+        SELECT c.*, s.source, w.cell, coalesce(len(list_intersect(c.words, w.words)), 0) AS overlap, w.place
+        FROM claimed c LEFT JOIN sources s ON c.conv_id = s.conv_id AND c.turn = s.turn LEFT JOIN worded w ON c.conv_id = w.conv_id AND c.turn = w.turn),
+    best AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, unit_index ORDER BY overlap DESC, place) AS nth FROM pairs),
+    judged AS (
+        SELECT conv_id, turn, unit_index, CASE WHEN overlap > 0 THEN cell ELSE '' END AS cell, unit,
+               CASE WHEN len(words) > 0 THEN round(overlap / len(words)::DOUBLE, 3) ELSE 0 END AS score,
+               CASE WHEN source IS NULL THEN 'no_document' WHEN regexp_matches(lower(unit), '{UNSUPPORTABLE}') THEN 'abstains' WHEN contains(source, lower(unit)) THEN 'exact' WHEN len(words) = 0 THEN 'wordless'
+                    WHEN 100 * overlap >= 55 * len(words) AND overlap >= 3 THEN 'supported' WHEN 100 * overlap >= 30 * len(words) AND overlap >= 2 THEN 'unclear' ELSE 'unsupported' END AS why
+        FROM best WHERE nth = 1)
+    SELECT conv_id, turn, unit_index, CASE why WHEN 'no_document' THEN 'not_checked' WHEN 'exact' THEN 'supported' WHEN 'abstains' THEN 'unclear' WHEN 'wordless' THEN 'unclear' ELSE why END AS support_status,
+           CASE why WHEN 'exact' THEN unit WHEN 'no_document' THEN '' WHEN 'abstains' THEN '' WHEN 'wordless' THEN '' ELSE cell END AS support_evidence,
+           CASE why WHEN 'exact' THEN 1.0 WHEN 'no_document' THEN 0.0 WHEN 'abstains' THEN 0.0 WHEN 'wordless' THEN 0.0 ELSE score END::DOUBLE AS support_score
+    FROM judged""")
 def q20_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.transform(F.sequence(F.lit(1), F.greatest("n_words", F.lit(1))), lambda i: i.cast("string"))
-    words = F.when(F.col("n_words") > 0, words).otherwise(F.array().cast("array<string>"))
-    status = support.verdict(F.lit("claim"), words, F.struct("overlap", "text"), F.lit(""))
-    return _overlaps(spark, sf_dir).select(status["support_status"].alias("support_status")).groupBy("support_status").agg(F.count("*").alias("n"))
+    """Claims of an assistant's turn against the turn before it; the first turn of a conversation has no document."""
+    turns = table(spark, sf_dir, "conversations")
+    cut = claims.breakdown(turns.where("role = 'assistant'").select(F.concat_ws("/", "conv_id", "turn").alias("case_id"), "conv_id", "turn", "text"), lexicon=LEXICON)
+    source = support.sources(turns.select(F.concat_ws("/", "conv_id", F.col("turn") + 1).alias("case_id"), "text"))
+    rows = support.support(cut, source).select("conv_id", "turn", F.explode_outer("claims").alias("c")).where("c is not null")
+    return rows.select("conv_id", "turn", F.col("c.source_unit_index").alias("unit_index"), "c.support_status", "c.support_evidence", "c.support_score")
 
 
 # --- audits ----------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {_FIELDS}, truth AS (SELECT lang, field_name, len(pos) > 0 AND len(neg) = 0 AS t FROM fields JOIN documents USING (doc_id))
-    SELECT lang, field_name, count(*) FILTER (t) AS true_count, count(*) FILTER (NOT t) AS false_count, count(*) FILTER (t) = 0 AS never_true, count(*) FILTER (NOT t) = 0 AS always_true FROM truth GROUP BY ALL""")
+@query(f"""WITH {_FIELDS}, truth AS (SELECT field_name, doc_id::VARCHAR AS case_id, len(pos) > 0 AND len(neg) = 0 AS t FROM fields)
+    SELECT field_name, count(*) FILTER (t) AS true_count, count(*) FILTER (NOT t) AS false_count, md5(coalesce(string_agg(case_id, ',' ORDER BY case_id) FILTER (t), '')) AS true_cases_md5,
+           count(*) FILTER (t) = 0 AS never_true, count(*) FILTER (NOT t) = 0 AS always_true FROM truth GROUP BY field_name""")
 def q21_never_or_always(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evidence.by_field(_evidence(spark, sf_dir)).groupBy("lang", "field_name").agg(F.count_if("predicted").alias("true_count"), F.count_if(~F.col("predicted")).alias("false_count"))
-    return rows.withColumn("never_true", F.col("true_count") == 0).withColumn("always_true", F.col("false_count") == 0)
+    truth = evidence.by_field(_evidence(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("case_id"), "field_name", F.col("predicted").alias("truth"))
+    return audits.case_set(truth).select("field_name", "true_count", "false_count", F.md5(F.array_join("true_cases", ",")).alias("true_cases_md5"), "never_true", "always_true")
 
 
 @query(f"""WITH {_KEPT}, cleaned AS (SELECT doc_id, string_agg(kept, chr(10) ORDER BY pos) FILTER (kept <> '' AND nth = 1) AS text FROM ranked GROUP BY doc_id),
@@ -376,19 +423,27 @@ def q22_truth_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.truth_audit(cases, CORPUS).groupBy("field_name", "review_status").agg(F.count("*").alias("n"))
 
 
-@query("""WITH prompts AS (SELECT DISTINCT role FROM conversations), cases AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
-    SELECT source, role, n FROM cases, prompts""")
+@query("""WITH asked AS (SELECT * FROM (VALUES ('large', 0), ('small', 1)) m(model_name, model_seq), (VALUES ('p1', 'What is said?'), ('p2', 'Who says it?')) q(prompt_id, question)),
+    put AS (SELECT doc_id::VARCHAR AS case_id, model_name, prompt_id, model_seq, trim('You are reviewing synthetic special education documentation for research evaluation.' || chr(10) || chr(10) || 'CASE ID: ' || doc_id
+        || chr(10) || chr(10) || 'IEP DOCUMENT:' || chr(10) || lang || chr(10) || chr(10) || 'BIP DOCUMENT:' || chr(10) || source || chr(10) || chr(10) || 'QUESTION:' || chr(10) || question || chr(10) || chr(10)
+        || 'Answer naturally as if responding to a teacher. Do not output JSON unless asked.') AS model_input FROM documents, asked)
+    SELECT case_id, model_name, prompt_id, model_seq, sha256(model_input) AS model_input_sha256 FROM put""")
 def q23_cross_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every source with every role: both sides are distinct values of a column, and few."""
-    prompts = table(spark, sf_dir, "conversations", "role").distinct()
-    cases = table(spark, sf_dir, "documents", "source").groupBy("source").agg(F.count("*").alias("n"))
-    return cases.crossJoin(F.broadcast(prompts))
+    """The requests for every document with every model and prompt; its language and source stand for the case's two documents."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "source").withColumn("case_id", F.col("doc_id").cast("string"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(d).alias("doc_type"), F.col(c).alias("cleaned_text"), F.col(c).alias("raw_text")) for d, c in zip(runs.DOC_TYPES, ("lang", "source"), strict=True)]))
+    order = docs.select("case_id", F.col("doc_id").alias("seq"))
+    prompts = spark.createDataFrame([("p1", "What is said?"), ("p2", "Who says it?")], "prompt_id string, text string")
+    asked = runs.requests(runs.Cases(order, docs.select("case_id", kinds.alias("d")).select("case_id", "d.*"), order), prompts, ["large", "small"])
+    return asked.select("case_id", "model_name", "prompt_id", "model_seq", t.digest(F.col("model_input")).alias("model_input_sha256"))
 
 
-@query("SELECT lang, count(*) AS n_missing FROM documents ANTI JOIN labels USING (doc_id) GROUP BY lang")
+@query("""SELECT field_name, count(*) AS n_missing FROM documents, (VALUES ('low_quality', true), ('toxic_language', true), ('licence_stated', false), ('secret_shown', false)) f(field_name, labelled)
+    WHERE NOT (labelled AND doc_id IN (SELECT doc_id FROM labels)) GROUP BY field_name""")
 def q24_missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
-    return docs.join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id", "left_anti").groupBy("lang").agg(F.count("*").alias("n_missing"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("case_id"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").cast("string").alias("case_id"), F.explode(F.array(F.lit("low_quality"), F.lit("toxic_language"))).alias("field_name"))
+    return audits.missing_answers(docs, labels, CORPUS).groupBy("field_name").agg(F.count("*").alias("n_missing"))
 
 
 @query("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY sha256(text) HAVING count(*) > 1")
@@ -417,19 +472,24 @@ def q28_safe_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_type").agg(F.sum(t.safe_int(F.get_json_object("props", "$.k"))).alias("k_sum"), F.sum(t.safe_int(F.col("value"))).alias("value_sum"))
 
 
-@query(f"WITH {_RESULTS} SELECT doc_id, count(*) AS n_fields, string_agg(field_name || ':' || error_type, '; ' ORDER BY field_name) AS nested FROM typed GROUP BY doc_id")
+@query(f"""WITH {_RESULTS} SELECT t.doc_id::VARCHAR AS case_id, any_value(a.accuracy_percent) AS accuracy_percent, count(*) AS n_fields, string_agg(field_name || ':' || error_type, '; ' ORDER BY field_name) AS nested,
+    bool_or(field_name = 'toxic_language' AND predicted) AS toxic_predicted FROM typed t JOIN accuracies a ON t.doc_id = a.doc_id GROUP BY t.doc_id""")
 def q29_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _fields(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("field_name", "error_type"))).alias("fields"))
-    text = F.array_join(F.transform("fields", lambda x: F.concat_ws(":", x["field_name"], x["error_type"])), "; ")
-    return rows.select("doc_id", F.size("fields").cast("bigint").alias("n_fields"), text.alias("nested"))
+    found, truths = _scored(spark, sf_dir)
+    fields = scoring.field_results(found.drop("text"), truths, CORPUS).where(F.col("field_name").isin("low_quality", "toxic_language")).withColumn("prompt_label", F.col("prompt_id"))
+    rows = runs.nest(scoring.summaries(found, truths, CORPUS), fields, predicted=scoring.predictions(found, truths, CORPUS))
+    text = F.array_join(F.transform("field_results", lambda x: F.concat_ws(":", x["field_name"], x["error_type"])), "; ")
+    return rows.select("case_id", "accuracy_percent", F.size("field_results").cast("bigint").alias("n_fields"), text.alias("nested"), F.element_at("predicted_fields", "toxic_language").alias("toxic_predicted"))
 
 
-@query("SELECT user_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 50) GROUP BY user_id HAVING count(*) >= 20")
+@query("""WITH runs AS (SELECT user_id::VARCHAR AS run_id, count(*) AS n, CASE WHEN bool_or(event_type = 'error' AND value > 50) THEN 'failed' WHEN bool_or(event_type = 'error') THEN 'completed' END AS status FROM events GROUP BY user_id)
+    SELECT run_id, coalesce(status, 'none') AS status, n AS total_evaluations FROM runs WHERE (status IS NULL OR status = 'completed') AND n >= 20""")
 def q30_exportable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups with enough rows and no bad one: one aggregation instead of a join."""
-    rows = table(spark, sf_dir, "events", "user_id", "event_type", "value")
-    bad = F.count_if((F.col("event_type") == "error") & (F.col("value") > 50))
-    return rows.groupBy("user_id").agg(F.count("*").alias("n"), bad.alias("bad")).where("bad = 0 and n >= 20").select("user_id", "n")
+    """Users as runs: failed after a grave error, without a status if there was no error at all."""
+    bad = F.bool_or((F.col("event_type") == "error") & (F.col("value") > 50))
+    status = F.when(bad, "failed").when(F.bool_or(F.col("event_type") == "error"), "completed")
+    rows = table(spark, sf_dir, "events", "user_id", "event_type", "value").groupBy(F.col("user_id").cast("string").alias("run_id")).agg(status.alias("status"), F.count("*").alias("total_evaluations"))
+    return metrics.exportable(rows, 20).withColumn("status", F.coalesce("status", F.lit("none")))
 
 
 @query(f"""WITH {DOC_UNITS}, kept AS (SELECT doc_id, unit, unit_index, row_number() OVER (PARTITION BY doc_id ORDER BY unit_index) AS n FROM units WHERE {_CLAIM})
@@ -454,10 +514,40 @@ def q33_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role"), "conv_id", "turn")
 
 
-@query("""SELECT source, sum(CASE WHEN lang IN ('en', 'de') THEN 1 ELSE 0 END)::BIGINT AS n_true, min(lang) AS first_lang, max(lang) AS last_lang,
-    string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents GROUP BY source""")
+@query("""SELECT source, sum(CASE WHEN lang IN ('en', 'de') THEN 1 ELSE 0 END)::BIGINT AS n_true, count(*) FILTER (lang = 'fr') AS n_null FROM documents GROUP BY source""")
 def q34_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text flags parsed as booleans and sorted distinct lists."""
+    """Text flags parsed as booleans, without and with null."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "lang")
-    flag = t.parse_bool(F.when(F.col("lang").isin("en", "de"), " True ").otherwise("no"))
-    return docs.groupBy("source").agg(F.count_if(flag).alias("n_true"), F.min("lang").alias("first_lang"), F.max("lang").alias("last_lang"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
+    flag = F.when(F.col("lang").isin("en", "de"), " True ").when(F.col("lang") == "fr", "None").otherwise("no")
+    return docs.groupBy("source").agg(F.count_if(t.parse_bool(flag)).alias("n_true"), F.count_if(t.parse_optional_bool(flag).isNull()).alias("n_null"))
+
+
+@query(f"""WITH {_RESULTS} SELECT count(*) AS total_evaluations, round(avg(accuracy_percent), 2) AS overall_average_accuracy, count(*) FILTER ({_either("norm", tuple(CORPUS.abstention.values()))}) AS abstention_detected_count,
+    md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR)) AS case_ids_md5, string_agg(DISTINCT source, ',' ORDER BY source) AS model_names, string_agg(DISTINCT CASE WHEN lang = 'en' THEN 'both' ELSE 'quality' END, ',' ORDER BY CASE WHEN lang = 'en' THEN 'both' ELSE 'quality' END) AS prompt_ids
+    FROM accuracies JOIN norms USING (doc_id)""")
+def q37_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = metrics.overview(_summaries(spark, sf_dir))
+    return rows.select("total_evaluations", "overall_average_accuracy", "abstention_detected_count", F.md5(F.array_join("case_ids", ",")).alias("case_ids_md5"), F.array_join("model_names", ",").alias("model_names"), F.array_join("prompt_ids", ",").alias("prompt_ids"))
+
+
+@query(f"""WITH {_RESULTS}, views AS (SELECT *, greatest(scored_field_count - correct_scored_fields, 0) AS misses FROM accuracies)
+    SELECT doc_id::VARCHAR AS case_id, misses, CASE WHEN accuracy_percent >= 85 THEN 'good' WHEN accuracy_percent < 70 THEN 'bad' ELSE '' END AS accuracy_class FROM views""")
+def q38_result_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.result_view(_summaries(spark, sf_dir)).select("case_id", "misses", "accuracy_class")
+
+
+@query("""SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#039;')) AS escaped_sha256 FROM pages""")
+def q39_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.escaped(table(spark, sf_dir, "pages", "page_id", "html"), "html").select("page_id", t.digest(F.col("html")).alias("escaped_sha256"))
+
+
+@query(f"""WITH cells AS (
+        SELECT doc_id, trim(c.cell) AS cell FROM documents, LATERAL (SELECT unnest(string_split(regexp_replace(text, '[ \\t]+', ' ', 'g'), chr(10))) AS line) l,
+            LATERAL (SELECT unnest(regexp_split_to_array(trim(l.line), '\\s+\\|\\|\\s+|\\s+\\|\\s+')) AS cell) c),
+    kept AS (SELECT doc_id, cell FROM cells WHERE len([x for x in regexp_split_to_array(cell, '\\s+') if x <> '']) >= 3 AND len({_WORDS.format("cell")}) > 0)
+    SELECT doc_id, count(*) AS n_units, sum(length(cell))::BIGINT AS n_chars, sum(len({_WORDS.format("cell")}))::BIGINT AS n_words FROM kept GROUP BY doc_id""")
+def q40_source_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    sizes = lambda f: F.aggregate("source_units", F.lit(0).cast("bigint"), lambda a, u: a + f(u))
+    rows = support.sources(docs, "doc_id").where(F.size("source_units") > 0)
+    return rows.select("doc_id", F.size("source_units").cast("bigint").alias("n_units"), sizes(lambda u: F.length(u["text"])).alias("n_chars"), sizes(lambda u: F.size(u["words"])).alias("n_words"))
