@@ -19,6 +19,8 @@ RESPONSES = _struct(
     usage=T.MapType(STRING, STRING), metrics=T.MapType(STRING, STRING), keys=T.ArrayType(STRING),
 )
 
+# --- fixed values: columns of result files, in order -------------------------------------------------
+
 RESULT_COLUMNS = (
     "timestamp", "case_id", "model_name", "prompt_id", "prompt_label", "scored_field_count", "correct_scored_fields", "accuracy_percent",
     "abstention_detected", "abstention_hits", "input_tokens", "output_tokens", "total_tokens", "latency_ms", "raw_response_sha256", "predicted_json_sha256",
