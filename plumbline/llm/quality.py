@@ -134,7 +134,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, training: Column | None = None, label_col: str = "quality", sample: int = SAMPLE) -> Forest:
-    """Fit on about ``sample`` documents with labels for which ``training``, a condition on ``doc_id``, holds."""
+    """Fit on about ``sample`` documents with labels for which ``training``, a condition on ``doc_id``, holds.
+
+    An id that stands several times, in ``docs`` or ``labels``, counts once. Texts of any length count as a whole. Without both
+    labels the forest scores their smoothed share; other columns are not read.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column | None = None, la
 def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score)`` for every row: 0 to 1, higher where label 1 is likelier.
 
-    Null and empty texts have statistics of zero and are scored like others. Repeated rows get equal scores.
+    Null and empty texts have statistics of zero and are scored like others, texts of any length as a whole. Repeated rows get equal scores.
     An empty table gives an empty result; other columns are not read.
     """
     small_batches(docs.sparkSession)

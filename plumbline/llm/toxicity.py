@@ -121,8 +121,7 @@ def fit(bags: list[tuple[int, int, list[list[int]]]], first: np.ndarray, rounds:
 def train(docs: DataFrame, labels: DataFrame, training: Column | None = None, label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on about ``sample`` documents with labels for which ``training``, a condition on ``doc_id``, holds.
 
-    A document's label counts for each of its rows; rows of an id that stands often, in ``docs`` or ``labels``, are each in the sample
-    or none is. Texts of any length count as a whole. Without toxic documents, or without others, the model weighs no word and its bias gives the labels' smoothed share.
+    An id that stands several times, in ``docs`` or ``labels``, counts once. Texts of any length count as a whole. Without toxic documents, or without others, the model weighs no word and its bias gives the labels' smoothed share.
     """
     small_batches(docs.sparkSession)
     known = staged(labelled(docs, labels, label_col, training, sample=sample).select("text", (F.col("label") > 0).alias("toxic")), "labelled")

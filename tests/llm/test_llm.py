@@ -303,6 +303,29 @@ def test_quality_held_out(spark):
     assert quality.score(docs.limit(0), forest).count() == 0
 
 
+def test_sample_is_bounded_by_ids(spark):
+    from plumbline.llm.supervise import labelled as sampled
+
+    docs = documents(spark, [(1, "b"), (1, "a"), (1, "a"), (2, "c"), (3, None), (4, "unlabelled")] + [(5, f"t{i}") for i in range(300)])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 0), (5, 1), (5, 1), (6, 1), (None, 1), (4, None)], "doc_id long, quality int")
+    got = sorted((r.id, r.text, r.label) for r in sampled(docs, labels, "quality", None).collect())
+    assert got == [(1, "a", 0), (2, "c", 1), (3, "", 0), (5, "t0", 1)]
+
+
+def test_statistics_are_plain_counts():
+    for seed in range(20):
+        text = prose(seed, 40, "abcABC.?!,#1é") + "\n\n" + prose(seed, 40, "abcABC.?!,#1é") + "\nend end"
+        w, data = text.split(), text.encode()
+        got = dict(zip(quality.STATISTICS, quality.statistics(data), strict=True))
+        assert math.isclose(got["log_words"], math.log1p(len(w))) and math.isclose(got["mean_word"], len(data) / len(w)) and math.isclose(got["distinct_share"], len(set(w)) / len(w))
+        assert math.isclose(got["top_word_share"], max(Counter(w).values()) / len(w)) and math.isclose(got["repeat_share"], sum(a == b for a, b in zip(w, w[1:], strict=False)) / len(w))
+        assert math.isclose(got["digit_share"], text.count("1") / len(data)) and math.isclose(got["bang_share"], text.count("!") / len(w)) and math.isclose(got["comma_rate"], text.count(",") / len(w))
+        lines = [x for x in text.split("\n") if x.strip()]
+        assert math.isclose(got["distinct_lines"], len(set(lines)) / len(lines)) and math.isclose(got["log_line"], math.log1p(len(w) / len(lines)))
+        assert math.isclose(got["wide_share"], sum(b >= 128 for b in data) / len(data))
+    assert quality.statistics(b" \n ") == [0.0] * len(quality.STATISTICS)
+
+
 def test_trees_are_walked_rightly():
     r = np.random.default_rng(1)
     x, y = r.normal(size=(400, 3)), None
