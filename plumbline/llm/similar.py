@@ -1,12 +1,12 @@
 """Near-duplicates by exact similarity of five-word shingles, the stage of the pipeline (operator 7 has its own, thin rule).
 
-Two sets of n and m shingles whose Jaccard similarity is at least SIMILAR share so many of their first ``n // 5 + 1`` and
-``m // 5 + 1`` shingles, in any order that holds for all sets, that few others do: shingles of one set alone come first in
-that order (all shingles of the corpus are counted for it, ``blocks.py``), common ones last. Sets that meet in a shingle are
+Two sets whose Jaccard similarity is at least SIMILAR share one of their first ``n // 5 + 1`` shingles in any order that holds
+for all sets. Shingles of one set alone come first in that order (all shingles of the corpus are counted for it,
+``blocks.py``), common ones last, so few sets meet in a shingle. Sets that meet are
 candidates if their sizes and 128-bit SimHashes are near enough, which the Gray-order index of operator 7 finds out
 over the SimHashes' first half. At first each set is compared only with its nearest candidate and with the one that most
 others are near to, so that a group of copies costs two comparisons a member and not one a pair; then all candidates that
-this left in different components and that share enough. All comparisons are of whole sets.
+this left in different components, and whose SimHashes of 2048 bits are near. All comparisons are of whole sets.
 
 The index alone cannot deal sets out: SimHashes of sets 0.8 alike differ in about 10 bits of 64, up to 20, and
 with 21 blocks of three bits each set would meet most others.
@@ -42,8 +42,12 @@ HALF = 26
 SAMPLE, COMMON, BITS = 4096, 0.002, 40
 #: Differing bits of 128 up to which sets are neighbours in the choice of the one that most are near to.
 TIGHT = 24
-#: Rows that a task searches at a time.
-ROWS = 1 << 16
+#: Words of 64 bits of the wide SimHash that candidates of different components must be near in.
+WIDE = 32
+#: Smallest of a set's first shingles by which a pair is told to have met in a smaller one already; and what stands for none.
+FIRSTS, NONE = 16, 2**63 - 1
+#: Rows that a task searches at a time, and pairs whose wide SimHashes are compared at a time.
+ROWS, PAIRS = 1 << 16, 1 << 14
 #: Ids that are sent to every task; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -73,13 +77,6 @@ def prefix_size(n):
     return n // SIMILAR[1] + 1
 
 
-def least_shared(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """How many of their first shingles similar sets of these sizes share at least."""
-    num, den = SIMILAR
-    both = -(-num * (n + m) // (num + den))
-    return np.minimum(prefix_size(n) - n, prefix_size(m) - m) + both
-
-
 def leading(found: np.ndarray) -> np.ndarray:
     return found >> np.uint64(64 - BITS) << np.uint64(64 - BITS)
 
@@ -96,6 +93,25 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(found)).view(np.uint64)
 
 
+def wide(found: np.ndarray) -> np.ndarray:
+    """SimHash of the set in WIDE words of 64 bits."""
+    out = np.empty(WIDE, np.uint64)
+    for i in range(WIDE):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(found), STEP):
+            h = (found[at : at + STEP] + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(32)
+            ones += np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int32)
+        out[i] = np.packbits(2 * ones > len(found)).view(np.uint64)[0]
+    return out
+
+
+def wide_radius(n: np.ndarray) -> np.ndarray:
+    """Differing bits of 2048 up to which sets of at least n shingles may be 0.8 alike: they differ in about 308, with a deviation of 16; sets of few shingles in up to 385, with one of 19."""
+    return 385 + 400 // np.maximum(n, 1)
+
+
 def _row(id_col: str, text_col: str) -> Column:
     """The same number for rows of equal id and text."""
     return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
@@ -168,15 +184,41 @@ def _members(nodes: DataFrame, chunk: int) -> DataFrame:
     )
 
 
+def _near(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether pairs of rows are near in their wide SimHashes, and have not met in the group of a smaller shingle."""
+    w = slice(8, 8 + WIDE)
+    far = np.bitwise_count((p[:, w] ^ q[:, w]).view(np.uint64)).sum(1, dtype=np.int64)
+    a, b = p[:, 8 + WIDE :], q[:, 8 + WIDE :]
+    smaller = (a < p[:, :1]) & (a[:, :, None] == b[:, None, :]).any(2)
+    return (far <= wide_radius(np.minimum(p[:, 4], q[:, 4]))) & ~smaller.any(1)
+
+
+def _apart(rooted: DataFrame, narrow: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of the groups in which several components meet, with their sets' wide SimHashes and smallest first shingles."""
+    group = ["h", "a", "b"]
+    several = rooted.groupBy(*group).agg((F.min("root") != F.max("root")).alias("several")).where("several").select(*group)
+    met = staged(rooted.join(several, group, "left_semi"), "apart")
+    sets = _sets_of(met.select("key").distinct(), narrow, nodes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [wide(np.asarray(x, np.int64).view(np.uint64)).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["key", "wide"])
+
+    few = F.slice(F.array_sort("prefix"), 1, FIRSTS)
+    firsts = nodes.select("key", F.concat(few, F.array_repeat(F.lit(NONE), FIRSTS - F.size(few))).alias("firsts"))
+    return met.join(sets.mapInArrow(run, "key long, wide binary"), "key").join(firsts, "key")
+
+
 def _search(members: DataFrame, first: bool, radius: int) -> DataFrame:
-    """Candidates ``(u, v, bits, degree, least)``.
+    """Candidates ``(u, v, bits, degree)``.
 
     first: of each set in a group the nearest one, and the one that most are near to; else all of another root, u the
-    larger key. bits: of 128 that differ; degree: how many are near to v; least: shingles that the two must share.
+    larger key. bits: of 128 that differ; degree: how many are near to v.
     """
     num, den = SIMILAR
-    columns = ["h", "a", "b", "key", "n", "low", "high", *([] if first else ["root"])]
-    names = ["u", "v", "bits", "degree", "least"]
+    columns = ["h", "a", "b", "key", "n", "low", "high", *([] if first else ["root", "wide", "firsts"])]
+    names = ["u", "v", "bits", "degree"]
 
     def group(g: np.ndarray) -> Iterator[pa.RecordBatch]:
         index = GrayIndex(g[:, 5].view(np.uint64))
@@ -191,7 +233,11 @@ def _search(members: DataFrame, first: bool, radius: int) -> DataFrame:
             fits = (far <= radius) & (den * n[u] >= num * n[v]) & (den * n[v] >= num * n[u])
             if not first:
                 fits &= k[v] < k[u]
-            return u[fits], v[fits], far[fits]
+            u, v, far = u[fits], v[fits], far[fits]
+            if not first:
+                fits = np.concatenate([_near(g[u[i : i + PAIRS]], g[v[i : i + PAIRS]]) for i in range(0, len(u), PAIRS)] or [np.empty(0, bool)])
+                u, v, far = u[fits], v[fits], far[fits]
+            return u, v, far
 
         if first:
             for at in range(0, len(g), BATCH):
@@ -205,7 +251,7 @@ def _search(members: DataFrame, first: bool, radius: int) -> DataFrame:
                 take = np.unique(np.concatenate(heads))
                 u, v, far = u[take], v[take], far[take]
             if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[u], k[v], far, degree[v], least_shared(n[u], n[v]))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[u], k[v], far, degree[v])], names=names)
 
     def groups(g: np.ndarray) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero((g[1:, :3] != g[:-1, :3]).any(1)) + 1
@@ -215,9 +261,12 @@ def _search(members: DataFrame, first: bool, radius: int) -> DataFrame:
         p, q = g[two], g[two + 1]
         p, q = np.where((p[:, 3] < q[:, 3])[:, None], q, p), np.where((p[:, 3] < q[:, 3])[:, None], p, q)
         far = sum(np.bitwise_count((p[:, i] ^ q[:, i]).view(np.uint64)).astype(np.int64) for i in (5, 6))
-        fits = (far <= radius) & (den * p[:, 4] >= num * q[:, 4]) & (den * q[:, 4] >= num * p[:, 4]) & (first or p[:, -1] != q[:, -1])
-        p, q = p[fits], q[fits]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (p[:, 3], q[:, 3], far[fits], np.zeros(len(p), np.int64), least_shared(p[:, 4], q[:, 4]))], names=names)
+        fits = (far <= radius) & (den * p[:, 4] >= num * q[:, 4]) & (den * q[:, 4] >= num * p[:, 4]) & (first or p[:, 7] != q[:, 7])
+        p, q, far = p[fits], q[fits], far[fits]
+        if not first:
+            fits = _near(p, q)
+            p, q, far = p[fits], q[fits], far[fits]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (p[:, 3], q[:, 3], far, np.zeros(len(p), np.int64))], names=names)
         for s, e in zip(starts[sizes > 2], ends[sizes > 2], strict=True):
             if first or (g[s:e, 7] != g[s, 7]).any():
                 yield from group(g[s:e])
@@ -228,7 +277,11 @@ def _search(members: DataFrame, first: bool, radius: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append(np.stack([c.to_numpy().astype(np.int64) for c in b.columns], 1))
+            numbers = np.stack([c.to_numpy().astype(np.int64) for c in b.columns[: 7 if first else 8]], 1)
+            if not first:
+                far = np.frombuffer(b"".join(b.column(8).to_pylist()), np.int64).reshape(-1, WIDE)
+                numbers = np.hstack([numbers, far, b.column(9).flatten().to_numpy().reshape(-1, FIRSTS)])
+            held.append(numbers)
             size += b.num_rows
             if size < ROWS:
                 continue
@@ -241,17 +294,20 @@ def _search(members: DataFrame, first: bool, radius: int) -> DataFrame:
             yield from groups(np.concatenate(held))
 
     dealt = members.select(columns).repartition("h", "a", "b").sortWithinPartitions("h", "a", "b")
-    return dealt.mapInArrow(run, "u long, v long, bits long, degree long, least long")
+    return dealt.mapInArrow(run, "u long, v long, bits long, degree long")
+
+
+def _sets_of(keys: DataFrame, narrow: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(key, hashes)`` of the wanted keys, from one text each."""
+    ids = staged(nodes.join(keys, "key", "left_semi").select(F.col("least.id").alias("wanted")).distinct(), "wanted")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return _sets(narrow.join(few, narrow["id"].eqNullSafe(few["wanted"]), "left_semi")).join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
 def _verified(pairs: DataFrame, narrow: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(u, v)`` of the pairs whose whole sets are similar."""
     num, den = SIMILAR
-    keys = staged(pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct(), "keys")
-    ids = staged(nodes.join(keys, "key", "left_semi").select(F.col("least.id").alias("wanted")).distinct(), "wanted")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    sets = _sets(narrow.join(few, narrow["id"].eqNullSafe(few["wanted"]), "left_semi")).join(keys, "key", "left_semi").dropDuplicates(["key"])
-    sets = staged(sets, "sets")
+    sets = staged(_sets_of(staged(pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct(), "keys"), narrow, nodes), "sets")
     both = pairs.join(sets.select(F.col("key").alias("u"), F.col("hashes").alias("of_u")), "u").join(sets.select(F.col("key").alias("v"), F.col("hashes").alias("of_v")), "v")
     same = both.select("u", "v", F.size(F.array_intersect("of_u", "of_v")).alias("same"), (F.size("of_u") + F.size("of_v")).alias("both"))
     return same.where(den * F.col("same") >= num * (F.col("both") - F.col("same"))).select("u", "v")
@@ -270,8 +326,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, radius: int, chunk: int)
     edges = staged(_verified(staged(both.distinct(), "nearest"), narrow, nodes), "links")
     roots = components(edges)
     rooted = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    met = _search(rooted, False, radius).groupBy("u", "v").agg(F.count("*").alias("met"), F.max("least").alias("least"))
-    others = staged(met.where("met >= least").select("u", "v"), "others")
+    others = staged(_search(_apart(rooted, narrow, nodes), False, radius).select("u", "v").distinct(), "others")
     edges = staged(edges.unionByName(_verified(others, narrow, nodes)), "links")
     counted = nodes.select(F.col("key").alias("node"), "least", F.col("rows").alias("n"))
     return rows.select("id", "row", "key"), counted, least_reached(counted, edges)
