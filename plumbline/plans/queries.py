@@ -149,16 +149,16 @@ def q01_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size(F.filter(t.lines(F.col("text")), lambda x: t.compact(x) != "")).cast("bigint").alias("n_lines"))
 
 
-@query(f"WITH {_KEPT} SELECT doc_id, count(*) FILTER (form) AS n_form_lines, count(*) FILTER (kept <> '' AND nth = 1) AS n_kept FROM ranked GROUP BY doc_id")
+@query(f"WITH {_KEPT} SELECT doc_id, count(*) FILTER (form) AS n_form_lines, count(*) FILTER (kept <> '' AND nth = 1) AS n_kept FROM documents LEFT JOIN ranked USING (doc_id) GROUP BY doc_id")
 def q02_form_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _cleaned(spark, sf_dir).where("audit.raw_line_count > 0")
+    found = _cleaned(spark, sf_dir)
     return found.select("doc_id", cleanup.count_reason("removed", cleanup.LINE_REASON).alias("n_form_lines"), F.col("audit.cleaned_line_count").alias("n_kept"))
 
 
 @query(f"""WITH {_KEPT} SELECT doc_id, coalesce(sha256(string_agg(kept, chr(10) ORDER BY pos) FILTER (kept <> '' AND nth = 1)), sha256('')) AS cleaned_sha256,
-    count(*) FILTER (kept <> '' AND nth > 1) AS n_duplicates FROM ranked GROUP BY doc_id""")
+    count(*) FILTER (kept <> '' AND nth > 1) AS n_duplicates FROM documents LEFT JOIN ranked USING (doc_id) GROUP BY doc_id""")
 def q03_cleaned_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _cleaned(spark, sf_dir).where("audit.raw_line_count > 0")
+    found = _cleaned(spark, sf_dir)
     return found.select("doc_id", t.digest(F.col("cleaned_text")).alias("cleaned_sha256"), cleanup.count_reason("removed", cleanup.DUPLICATE_REASON).alias("n_duplicates"))
 
 
@@ -189,9 +189,9 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.breakdown(docs, prefix=F.concat(F.lit("doc_"), F.col("doc_id").cast("string")), lexicon=LEXICON)
 
 
-@query(f"WITH {DOC_UNITS} SELECT doc_id, count(*) AS n_units, md5(string_agg(unit, chr(10) ORDER BY unit_index)) AS units_md5 FROM units GROUP BY doc_id")
+@query(f"WITH {DOC_UNITS} SELECT doc_id, count(unit) AS n_units, md5(coalesce(string_agg(unit, chr(10) ORDER BY unit_index), '')) AS units_md5 FROM documents LEFT JOIN units USING (doc_id) GROUP BY doc_id")
 def q06_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = held(table(spark, sf_dir, "documents", "doc_id", "text"), u=claims.units(F.col("text"))).where(F.size("u") > 0)
+    found = held(table(spark, sf_dir, "documents", "doc_id", "text"), u=claims.units(F.col("text")))
     return found.select("doc_id", F.size("u").cast("bigint").alias("n_units"), F.md5(F.array_join("u", "\n")).alias("units_md5"))
 
 
