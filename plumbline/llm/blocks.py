@@ -19,6 +19,8 @@ from plumbline.llm.shared import binaries, shuffle_partitions, staged
 
 #: Least and largest bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = (1 << 20, 8 << 20)
+#: Bytes of text for each range of hashes; there is at least a range for each shuffle partition.
+RANGE_BYTES = 4 << 20
 #: Bytes of text that are compressed together.
 CHUNK_BYTES = 1 << 20
 
@@ -135,7 +137,7 @@ def in_blocks(rows: DataFrame, block_range: tuple[int, int] = BLOCK_BYTES) -> tu
             yield chunk()
 
     found = rows.select(*others, "text").mapInArrow(run, f"block long, {kinds}, ends array<long>, texts binary")
-    return staged(found, "blocks"), max(4 * wide, size // BLOCK_BYTES[1])
+    return staged(found, "blocks"), max(wide, size // RANGE_BYTES)
 
 
 def texts_of(chunks: pa.Table) -> Iterator[bytes]:
