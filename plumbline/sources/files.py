@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plumbline import schemas
 from plumbline.catalog import PROMPT_FILES, RECORDS, Catalog
@@ -105,7 +106,7 @@ def csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     return found.select(*kept, F.monotonically_increasing_id().alias("seq"))
 
 
-def json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+def json(spark: SparkSession, path: str, schema: str | StructType, lines: bool = False) -> DataFrame:
     """JSON files of the schema, one value a file or, for ``lines``, a line; a missing path has no rows."""
     try:
         return spark.read.schema(schema).option("multiLine", not lines).json(path)
@@ -117,7 +118,7 @@ def json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> Da
 
 def json_or(spark: SparkSession, path: str, otherwise: DataFrame) -> DataFrame:
     """JSON rows of a folder, as an export writes them; ``otherwise`` if it is missing or has none."""
-    found = json(spark, path, otherwise.schema.simpleString()[7:-1], lines=True)
+    found = json(spark, path, otherwise.schema, lines=True)
     return otherwise if found.isEmpty() else found
 
 
