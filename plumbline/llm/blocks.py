@@ -98,10 +98,11 @@ def answers(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(learnt) if learnt else np.empty(0, np.int64)), np.frombuffer(again, bool)
 
 
-def in_blocks(rows: DataFrame, block_range: tuple[int, int] = BLOCK_BYTES) -> tuple[DataFrame, int]:
+def in_blocks(rows: DataFrame, block_range: tuple[int, int] = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
     """``rows(..., text)`` as ``(block, <array of each other column>, ends, texts)``, written, and the number of ranges to cut n-grams into.
 
-    Texts are compressed in chunks, chunks lie in blocks; ``ends`` are the texts' ends in the chunk, in bytes.
+    Texts are compressed in chunks, chunks lie in blocks; ``ends`` are the texts' ends in the chunk, in bytes. With chunks
+    no smaller than the largest block, each block is one row.
     """
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -128,7 +129,7 @@ def in_blocks(rows: DataFrame, block_range: tuple[int, int] = BLOCK_BYTES) -> tu
                 held.append((*values, text))
                 of_chunk += len(text) + 1
                 of_block += len(text) + 1
-                if of_chunk >= CHUNK_BYTES or of_block >= block_bytes:
+                if of_chunk >= chunk_bytes or of_block >= block_bytes:
                     yield chunk()
                     held, of_chunk = [], 0
                     if of_block >= block_bytes:

@@ -16,7 +16,7 @@ else. Each block then walks its texts through that part of the automaton that th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import batched, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.blocks import ANSWERED, ASKED, ASKED_SCHEMA, BLOCK_BYTES, answer, answers, asked, column_of, counted, in_blocks, table, texts_of
-from plumbline.llm.shared import fold, small_batches, staged
+from plumbline.llm.shared import fold, shuffles_removed, small_batches, staged
 
 #: The token after a text's last word. No word can hold a newline.
 END = b"\n"
 #: Weights of the shorter state in an arc of a word state and of a pair state.
 WORD_WEIGHT, PAIR_WEIGHT = 400.0, 4.0
 SEED = 42
+#: Tokens that are walked at once.
+STRETCH = 1 << 16
+#: Ranges of a block's question that leave a task together.
+BATCH_RANGES = 32
 
 
 def words(text: bytes) -> list[bytes]:
@@ -46,10 +50,14 @@ END_HASH = np.uint64(xxhash.xxh64_intdigest(END, SEED))
 
 def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each pair of hashes, order told apart. Of n n-grams about n * n / 2 ** 65 pairs share one."""
-    x = a * np.uint64(0x9E3779B97F4A7C15) + b
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = a * np.uint64(0x9E3779B97F4A7C15)
+    x += b
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class Tokens:
@@ -84,25 +92,47 @@ def _read(docs: pa.Table) -> Tokens:
     return Tokens(texts_of(docs), column_of(docs, "training").to_numpy(zero_copy_only=False))
 
 
+def places(values: np.ndarray) -> np.ndarray:
+    """Each value's place among the distinct values in order."""
+    return np.unique(values, return_inverse=True)[1].astype(np.int32)
+
+
+def counts(tokens: Tokens, found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts in training texts of each token's word, of the pair and the triple that it ends."""
+    learnt, again = answers(found, 2)
+    place = places(tokens.pair)
+    c2, again = learnt[place], again[place]
+    del learnt, place
+    c3 = (tokens.learn & tokens.later).astype(np.int64)  # a triple of a pair that stands once stands once
+    at, values = tokens.triples(again)
+    c3[at] = answers(found, 3)[0][places(values)]
+    del at, values, again
+    return answers(found, 1)[0][places(tokens.word)], c2, c3
+
+
 def walk(tokens: Tokens, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, total: int, distinct: int, texts: int) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of every token at the root, and along the automaton, left to right.
 
     c1, c2, c3: counts of each token's word, of the pair and the triple that it ends; texts: the number of training
-    texts, the count of the state in which a text starts. No step depends on more than the two tokens before it, so all are
-    taken at once.
+    texts, the count of the state in which a text starts. No step depends on more than the two tokens before it, so all of
+    a stretch are taken at once.
     """
-    root = (c1 + 0.5) / (total + 0.5 * (distinct + 1))
-    of_word = np.empty(len(c1))  # counts of the states before each token
-    of_word[1:] = c1[:-1]
-    of_word[tokens.first] = texts
-    of_pair = np.empty(len(c1))
-    of_pair[1:] = c2[:-1]
-    of_pair[tokens.first] = 0
-    base = np.log10(root)
-    arc = (c2 + WORD_WEIGHT * root) / (of_word + WORD_WEIGHT)
-    out = np.where(c2 > 0, np.log10(arc), np.log10(WORD_WEIGHT / (of_word + WORD_WEIGHT)) + base)
-    arc = (c3 + PAIR_WEIGHT * 10**out) / (of_pair + PAIR_WEIGHT)
-    return base, np.where(c3 > 0, np.log10(arc), np.log10(PAIR_WEIGHT / (of_pair + PAIR_WEIGHT)) + out)
+    n = len(c1)
+    base, along = np.empty(n), np.empty(n)
+    starts = np.zeros(n, bool)
+    starts[tokens.first] = True
+    for i in range(0, n, STRETCH):
+        here, before = slice(i, min(i + STRETCH, n)), slice(max(i - 1, 0), min(i + STRETCH, n) - 1)
+        root = (c1[here] + 0.5) / (total + 0.5 * (distinct + 1))
+        of_word, of_pair = np.zeros(len(root)), np.zeros(len(root))  # counts of the states before each token
+        of_word[i == 0 :], of_pair[i == 0 :] = c1[before], c2[before]
+        of_word[starts[here]], of_pair[starts[here]] = texts, 0
+        base[here] = np.log10(root)
+        arc = (c2[here] + WORD_WEIGHT * root) / (of_word + WORD_WEIGHT)
+        out = np.where(c2[here] > 0, np.log10(arc), np.log10(WORD_WEIGHT / (of_word + WORD_WEIGHT)) + base[here])
+        arc = (c3[here] + PAIR_WEIGHT * 10**out) / (of_pair + PAIR_WEIGHT)
+        along[here] = np.where(c3[here] > 0, np.log10(arc), np.log10(PAIR_WEIGHT / (of_pair + PAIR_WEIGHT)) + out)
+    return base, along
 
 
 def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", block_range: tuple[int, int] = BLOCK_BYTES) -> DataFrame:
@@ -121,38 +151,38 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     narrow = docs.select(
         F.col(id_col).alias("id"), F.coalesce(training, F.lit(False)).alias("training"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
-    blocks, parts = in_blocks(narrow, block_range)
+    blocks, parts = in_blocks(narrow, block_range, block_range[1])  # a block is a row, so no task needs another's
 
-    def ask(docs: pa.Table) -> pa.Table:
+    def ask_of(docs: pa.Table) -> Iterator[pa.RecordBatch]:
         tokens, block = _read(docs), docs.column("block")[0].as_py()
-        rows = []
         for length, values in ((1, tokens.word), (2, tokens.pair)):
             keys, _, learnt, everywhere = counted(values, tokens.learn)
-            rows += asked(block, length, keys, learnt, everywhere, parts)
-        return table(rows, ASKED_SCHEMA)
+            for rows in batched(asked(block, length, keys, learnt, everywhere, parts), BATCH_RANGES):
+                yield from table(list(rows), ASKED_SCHEMA).to_batches()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from ask_of(pa.Table.from_batches([b.slice(i, 1)]))
 
     def ask_triples(docs: pa.Table, found: pa.Table) -> pa.Table:
         tokens, block = _read(docs), docs.column("block")[0].as_py()
-        at, values = tokens.triples(answers(found, 2)[1][np.unique(tokens.pair, return_inverse=True)[1]])
+        at, values = tokens.triples(answers(found, 2)[1][places(tokens.pair)])
         keys, _, learnt, everywhere = counted(values, tokens.learn[at])
         return table(list(asked(block, 3, keys, learnt, everywhere, parts)), ASKED_SCHEMA)
 
-    answered = staged(blocks.groupBy("block").applyInArrow(ask, ASKED).groupBy("part").applyInArrow(answer, ANSWERED), "counts")
+    with shuffles_removed(spark):
+        answered = staged(blocks.mapInArrow(ask, ASKED).groupBy("part").applyInArrow(answer, ANSWERED), "counts", "zstd")
     of_blocks = answered.where("block >= 0")
     total, distinct = answered.where("block < 0 and length = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     texts = blocks.agg(F.coalesce(F.sum(F.size(F.filter("training", lambda x: x))), F.lit(0))).first()[0]
     triples = blocks.groupBy("block").cogroup(of_blocks.where("length = 2").groupBy("block")).applyInArrow(ask_triples, ASKED)
-    of_triples = staged(triples.groupBy("part").applyInArrow(answer, ANSWERED), "triples").where("block >= 0")
+    with shuffles_removed(spark):
+        of_triples = staged(triples.groupBy("part").applyInArrow(answer, ANSWERED), "triples", "zstd").where("block >= 0")
 
     def scored(docs: pa.Table, found: pa.Table) -> pa.Table:
         tokens = _read(docs)
-        c1 = answers(found, 1)[0][np.unique(tokens.word, return_inverse=True)[1]]
-        learnt, again = answers(found, 2)
-        place = np.unique(tokens.pair, return_inverse=True)[1]
-        c2 = learnt[place]
-        c3 = (tokens.learn & tokens.later).astype(np.int64)  # a triple of a pair that stands once stands once
-        at, values = tokens.triples(again[place])
-        c3[at] = answers(found, 3)[0][np.unique(values, return_inverse=True)[1]]
+        c1, c2, c3 = counts(tokens, found)
         base, along = walk(tokens, c1, c2, c3, total, distinct, texts)
         n, first = len(tokens.sizes), tokens.first
         values = [column_of(docs, "id"), column_of(docs, "training"), tokens.sizes, np.add.reduceat((c1 > 0).astype(np.int64), first), np.full(n, total, np.int64), np.add.reduceat(base, first), np.add.reduceat(along, first)]

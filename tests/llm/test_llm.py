@@ -6,8 +6,11 @@ import hashlib
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -183,6 +186,34 @@ def test_language_is_brute_force(spark):
     assert [r.score for r in language.score(docs.where("doc_id = 4"), F.lit(False)).collect()] == [0.0, 0.0]  # two rows have this id
 
 
+def test_language_walks_in_little_memory(monkeypatch):
+    r = np.random.default_rng(0)
+    tokens = language.Tokens(iter([prose(i, 20_000).encode() for i in range(10)] + [b"", b"one"]), np.ones(12, bool))
+    c1, c2, c3 = (r.integers(0, k, len(tokens.word)) for k in (900, 9, 3))
+    tracemalloc.start()
+    whole = language.walk(tokens, c1, c2, c3, 10**6, 10**4, 12)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 * len(c1)  # two results of eight bytes a token, and one stretch
+    monkeypatch.setattr(language, "STRETCH", 7)
+    for x, y in zip(whole, language.walk(tokens, c1, c2, c3, 10**6, 10**4, 12), strict=True):
+        assert np.allclose(x, y, rtol=1e-12, atol=0)
+
+
+def test_language_leaves_no_shuffle_files(spark):
+    dirs = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f: f.stat().st_size for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+    before, set_before = files(), spark.conf.get(shared.CLEANUP, None)
+    found = language.score(documents(spark, [(i, prose(i, 5000)) for i in range(20)]), F.lit(True))
+    left = lambda: sum(n for f, n in files().items() if f not in before)
+    for _ in range(100):  # files go soon after the query that wrote them
+        if left() < 50_000:
+            break
+        time.sleep(0.1)
+    assert left() < 50_000  # all that was shuffled took 232,893; files of sums may stay
+    assert found.count() == 20 and spark.conf.get(shared.CLEANUP, None) == set_before
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
