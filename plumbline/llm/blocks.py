@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import binaries, shuffle_partitions, staged
+from plumbline.llm.shared import binaries, shuffle_partitions, staged, trimmed
 
 #: Least and largest bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = (1 << 20, 8 << 20)
@@ -34,17 +34,22 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
+def ranges(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """Each range that sorted hashes fall in, and where."""
+    bounds = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+    cuts = np.r_[0, np.searchsorted(keys, bounds), len(keys)]
+    for p in np.flatnonzero(cuts[1:] > cuts[:-1]):
+        yield int(p), slice(cuts[p], cuts[p + 1])
+
+
 ASKED = "part int, block long, length int, keys binary, learnt binary, everywhere binary"
 ANSWERED = "block long, length int, part int, learnt binary, again binary, total long, distinct long"
 
 
 def asked(block: int, length: int, keys: np.ndarray, learnt: np.ndarray, everywhere: np.ndarray, parts: int) -> Iterator[tuple]:
     """Rows of ASKED: the block's n-grams of a length by range of their hashes."""
-    bounds = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
-    cuts = np.r_[0, np.searchsorted(keys, bounds), len(keys)]
-    for p in np.flatnonzero(cuts[1:] > cuts[:-1]):
-        s = slice(cuts[p], cuts[p + 1])
-        yield int(p), block, length, packed(keys[s]), packed(learnt[s]), packed(everywhere[s])
+    for p, s in ranges(keys, parts):
+        yield p, block, length, packed(keys[s]), packed(learnt[s]), packed(everywhere[s])
 
 
 def counted(values: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,6 +103,51 @@ def answers(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(learnt) if learnt else np.empty(0, np.int64)), np.frombuffer(again, bool)
 
 
+#: A question whether hashes stand twice, without counts: eight bytes and a bit for each, and a bit in the answer.
+TWICE_ASKED = "part int, block long, keys binary, more binary"
+TWICE = "block long, part int, n long, again binary"
+TWICE_ASKED_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("more", pa.binary())])
+TWICE_SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("again", pa.binary())])
+
+
+def asked_twice(block: int, values: np.ndarray, parts: int) -> Iterator[tuple]:
+    """Rows of TWICE_ASKED: the block's distinct values by range, and which of them stand twice in the block itself."""
+    values = np.sort(values)
+    first = np.ones(len(values), bool)
+    first[1:] = values[1:] != values[:-1]
+    at = np.flatnonzero(first)
+    keys, more = values[at], np.diff(at, append=len(values)) > 1
+    del values, first, at
+    for p, s in ranges(keys, parts):
+        yield p, block, packed(keys[s]), np.packbits(more[s]).tobytes()
+
+
+def answer_twice(rows: pa.Table) -> pa.Table:
+    """Which of one range's values stand twice over all blocks, in the order of each block's question."""
+    trimmed()
+    keys = [unpacked(x.as_py(), np.uint64) for x in rows.column("keys")]
+    own = [k[np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(k)).view(bool)] for k, x in zip(keys, rows.column("more"), strict=True)]
+    values = np.concatenate(keys)
+    values.sort()
+    twice = np.unique(np.concatenate([values[1:][values[1:] == values[:-1]], *own]))
+    del values, own
+    out = []
+    for block, part, k in zip(rows.column("block").to_pylist(), rows.column("part").to_pylist(), keys, strict=True):
+        at = np.searchsorted(twice, k)
+        again = np.zeros(len(k), bool)
+        inside = at < len(twice)
+        again[inside] = twice[at[inside]] == k[inside]
+        out.append((block, part, len(k), np.packbits(again).tobytes()))
+    return table(out, TWICE_SCHEMA)
+
+
+def twice_of(rows: pa.Table) -> np.ndarray:
+    """Whether each of the block's distinct values, in order, stands twice."""
+    rows = rows.sort_by("part")
+    found = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for n, x in zip(rows.column("n").to_pylist(), rows.column("again").to_pylist(), strict=True)]
+    return np.concatenate([np.empty(0, np.uint8), *found]).view(bool)
+
+
 def in_blocks(rows: DataFrame, block_range: tuple[int, int] = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
     """``rows(..., text)`` as ``(block, <array of each other column>, ends, texts)``, written, and the number of ranges to cut n-grams into.
 

@@ -108,6 +108,18 @@ def fold(id_col: str, folds: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
 
 
+def trimmed() -> None:
+    """Give what is free in this process back to the system: Python workers serve many tasks, and each keeps what its largest took."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def binaries(column) -> list[bytes]:
     """An Arrow string column as bytes, null as empty, without decoding."""
     import pyarrow as pa

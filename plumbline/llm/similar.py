@@ -15,7 +15,7 @@ with 21 blocks of three bits each set would meet most others.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import batched, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.blocks import ANSWERED, ASKED, ASKED_SCHEMA, answer, answers, asked, column_of, counted, in_blocks, table, texts_of
+from plumbline.llm.blocks import BLOCK_BYTES, TWICE, TWICE_ASKED, TWICE_ASKED_SCHEMA, answer_twice, asked_twice, column_of, in_blocks, table, texts_of, twice_of
 from plumbline.llm.graph import components
-from plumbline.llm.shared import binaries, joined, small_batches, staged
+from plumbline.llm.shared import binaries, joined, small_batches, staged, trimmed
 from plumbline.llm.simhash import BATCH, CHUNK, SEED, STEP, GrayIndex, least_reached
 
 #: Words of a shingle; a text of fewer words is one shingle.
@@ -48,6 +48,8 @@ WIDE = 32
 FIRSTS, NONE = 16, 2**63 - 1
 #: Rows that a task searches at a time, and pairs whose wide SimHashes are compared at a time.
 ROWS, PAIRS = 1 << 16, 1 << 14
+#: Ranges of a block's question that leave a task together.
+BATCH_RANGES = 32
 #: Ids that are sent to every task; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -125,6 +127,7 @@ def _sets(narrow: DataFrame) -> DataFrame:
     """``(key, hashes)`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         for b in batches:
             found = [shingles(x) for x in binaries(b.column(0))]
             keys = np.array([key(x) for x in found], np.uint64).view(np.int64)
@@ -145,28 +148,35 @@ def _common(narrow: DataFrame) -> np.ndarray:
 def _sketches(narrow: DataFrame, common: np.ndarray) -> DataFrame:
     """``(id, row, key, n, low, high, prefix)`` of every row: the set's key, size, sketch and first shingles."""
     kind = narrow.schema["id"].dataType.simpleString()
-    blocks, parts = in_blocks(narrow.select("id", "row", F.coalesce("text", F.lit("")).alias("text")))
+    # a block is a row, so no task needs another's to ask
+    blocks, parts = in_blocks(narrow.select("id", "row", F.coalesce("text", F.lit("")).alias("text")), chunk_bytes=BLOCK_BYTES[1])
 
-    def read(docs: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    def read(docs: pa.Table) -> tuple[list[np.ndarray], list[int], np.ndarray]:
+        trimmed()
         found = [shingles(x) for x in texts_of(docs)]
-        once = {key(x): x for x in found}
-        return found, leading(np.concatenate(list(once.values())))
+        keys = [key(x) for x in found]
+        return found, keys, leading(np.concatenate(list(dict(zip(keys, found, strict=True)).values())))
 
-    def ask(docs: pa.Table) -> pa.Table:
-        keys, _, never, everywhere = counted(values := read(docs)[1], np.zeros(len(values)))
-        return table(list(asked(docs.column("block")[0].as_py(), SHINGLE, keys, never, everywhere, parts)), ASKED_SCHEMA)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                docs = pa.Table.from_batches([b.slice(i, 1)])
+                for rows in batched(asked_twice(docs.column("block")[0].as_py(), read(docs)[2], parts), BATCH_RANGES):
+                    yield from table(list(rows), TWICE_ASKED_SCHEMA).to_batches()
 
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        found, values = read(docs)
-        asked_for, again = np.unique(values), answers(replies, SHINGLE)[1]
+        found, keys, values = read(docs)
+        asked_for = np.unique(values)
+        del values
+        again = twice_of(replies)
         firsts = [prefix(x, again[np.searchsorted(asked_for, leading(x))] if len(x) else np.empty(0, bool), common) for x in found]
+        del asked_for, again
         bits = np.array([sketch(x) for x in found], np.uint64).reshape(-1, 2).view(np.int64)
-        keys = np.array([key(x) for x in found], np.uint64).view(np.int64)
-        columns = [column_of(docs, "id"), column_of(docs, "row"), keys, np.array([len(x) for x in found], np.int64), bits[:, 0].copy(), bits[:, 1].copy()]
+        columns = [column_of(docs, "id"), column_of(docs, "row"), np.array(keys, np.uint64).view(np.int64), np.array([len(x) for x in found], np.int64), bits[:, 0].copy(), bits[:, 1].copy()]
         columns.append(pa.array([x.view(np.int64) for x in firsts], pa.list_(pa.int64())))
         return pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["id", "row", "key", "n", "low", "high", "prefix"])
 
-    replies = staged(blocks.groupBy("block").applyInArrow(ask, ASKED).groupBy("part").applyInArrow(answer, ANSWERED), "shared").where("block >= 0")
+    replies = staged(blocks.mapInArrow(ask, TWICE_ASKED).groupBy("part").applyInArrow(answer_twice, TWICE), "shared")
     both = blocks.groupBy("block").cogroup(replies.groupBy("block"))
     return both.applyInArrow(run, f"id {kind}, row long, key long, n long, low long, high long, prefix array<long>")
 
@@ -272,6 +282,7 @@ def _search(members: DataFrame, first: bool, radius: int) -> DataFrame:
                 yield from group(g[s:e])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         held: list[np.ndarray] = []  # the last group may go on in the next batch
         size = 0
         for b in batches:

@@ -14,11 +14,12 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, language, licences, mix, neighbours, pii, quality, queries, shared, simhash, similar, toxicity
+from plumbline.llm import blocks, chat, decontaminate, language, licences, mix, neighbours, pii, quality, queries, shared, simhash, similar, toxicity
 from plumbline.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, fp string, word string"
@@ -150,6 +151,36 @@ def test_pipeline_copies_are_brute_force_jaccard(spark):
     assert similar.drop_near_duplicates(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_shared_shingles_are_asked_for_in_little_room(spark, monkeypatch):
+    written = {}
+    staged = similar.staged
+    monkeypatch.setattr(similar, "staged", lambda df, name, *rest: written.setdefault(name, staged(df, name, *rest)))
+    texts = [(i, prose(i, 3000)) for i in range(12)] + [(20, prose(3, 3000) + " and more"), (21, ""), (22, None)]
+    rows = {r.id: r for r in similar._sketches(similar._narrow(documents(spark, texts), "doc_id", "text"), np.empty(0, np.uint64)).collect()}
+    replies = written["shared"]
+    taken = sum(len(x) for r in replies.collect() for x in r if isinstance(x, (bytes, bytearray)))
+    sets = {i: similar.shingles((x or "").encode()) for i, x in texts}
+    assert taken < sum(map(len, sets.values())) // 4  # a bit a shingle; counts took nine bytes
+    once = Counter(h for x in {similar.key(x): x for x in sets.values()}.values() for h in similar.leading(x).tolist())
+    for i, x in sets.items():
+        again = np.array([once[h] > 1 for h in similar.leading(x).tolist()], bool)
+        assert rows[i].prefix == similar.prefix(x, again, np.empty(0, np.uint64)).view(np.int64).tolist()
+
+
+def test_which_values_stand_twice():
+    r = np.random.default_rng(2)
+    held = [r.integers(0, 4096, n).astype(np.uint64) << np.uint64(52) for n in (400, 1, 400, 0, 900)]
+    held.append(np.repeat(np.uint64(5), 3))  # twice in one block only
+    want = Counter(np.concatenate(held).tolist())
+    for parts in (1, 7):
+        asked = [x for i, v in enumerate(held) for x in blocks.asked_twice(i, v, parts)]
+        some = [blocks.table([x for x in asked if x[0] == p], blocks.TWICE_ASKED_SCHEMA) for p in range(parts)]
+        found = pa.concat_tables([blocks.answer_twice(x) for x in some if len(x)])
+        for i, v in enumerate(held):
+            of_block = found.filter(pa.array(found.column("block").to_numpy() == i))
+            assert blocks.twice_of(of_block).tolist() == [want[x] > 1 for x in np.unique(v).tolist()]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     roots = {r.node: r.root for r in components(edges).collect()}
